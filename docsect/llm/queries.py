@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from docsect.llm.chat import OP2_SQL, op2_chat_formatting
+from docsect.llm.media import op1_media_columns
 from docsect.llm.packing import op3_best_fit_packing
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": OP2_SQL,
+}
