@@ -5,12 +5,17 @@ from __future__ import annotations
 from docsect.llm.chat import OP2_SQL, op2_chat_formatting
 from docsect.llm.media import op1_media_columns
 from docsect.llm.packing import op3_best_fit_packing
+from docsect.llm.quality import op7_quality_rules
+from docsect.llm.urls import OP9_SQL, op9_url_filters
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_url_filters": op9_url_filters,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
+    "op9_url_filters": OP9_SQL,
 }
