@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docsect.llm.chat import OP2_SQL, op2_chat_formatting
 from docsect.llm.media import op1_media_columns
+from docsect.llm.minhash import op8_minhash_near_dedup
 from docsect.llm.packing import op3_best_fit_packing
 from docsect.llm.quality import op7_quality_rules
 from docsect.llm.urls import OP9_SQL, op9_url_filters
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filters": op9_url_filters,
 }
 ORACLES: dict[str, str] = {
