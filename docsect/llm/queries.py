@@ -8,12 +8,14 @@ from docsect.llm.minhash import op8_minhash_near_dedup
 from docsect.llm.packing import op3_best_fit_packing
 from docsect.llm.quality import op7_quality_rules
 from docsect.llm.substrings import op6_substring_dedup
+from docsect.llm.toxicity import op5_toxicity
 from docsect.llm.urls import OP9_SQL, op9_url_filters
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
