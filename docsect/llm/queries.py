@@ -6,6 +6,7 @@ from docsect.llm.chat import OP2_SQL, op2_chat_formatting
 from docsect.llm.media import op1_media_columns
 from docsect.llm.minhash import op8_minhash_near_dedup
 from docsect.llm.packing import op3_best_fit_packing
+from docsect.llm.pii import op4_pii
 from docsect.llm.quality import op7_quality_rules
 from docsect.llm.substrings import op6_substring_dedup
 from docsect.llm.toxicity import op5_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
