@@ -6,6 +6,7 @@ from docsect.llm.chat import OP2_SQL, op2_chat_formatting
 from docsect.llm.media import op1_media_columns
 from docsect.llm.minhash import op8_minhash_near_dedup
 from docsect.llm.packing import op3_best_fit_packing
+from docsect.llm.pieces import op10_sentencepiece
 from docsect.llm.pii import op4_pii
 from docsect.llm.quality import op7_quality_rules
 from docsect.llm.substrings import op6_substring_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filters": op9_url_filters,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
