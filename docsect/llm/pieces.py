@@ -273,7 +273,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
             found = [transfer(m, p, a, a + n).tobytes() for p, a, n in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size")))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("i"), pa.array(found, pa.binary())], ["row", "i", "matrix"])
 
-    def states(key, table: pa.Table) -> pa.Table:
+    def states(table):
         width = model(path).longest
         table = table.sort_by("i")
         found = scan([np.frombuffer(x, dtype=float).reshape(width, width) for x in table["matrix"].to_pylist()])
