@@ -49,23 +49,21 @@ def choose_branches(messages: DataFrame, scratch: Scratch, top: int = 1) -> Data
     state = base.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("hops"))
     state = scratch.save(state, "jump")
     largest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    levels = [state]
+    done, levels = state.filter("up is null"), [state.filter("up is not null")]
     for _ in range(math.ceil(math.log2(largest)) + 1 if largest > 1 else 0):
-        if not state.filter("up is not null").head(1):
+        open_ones = levels[-1]  # messages that have reached a root are only looked up from now on
+        if not open_ones.head(1):
             break
-        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("hops").alias("further"))
-        state = scratch.save(
-            state.join(above, ["tree", "up"], "left").select("tree", "id", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("hops") + F.coalesce("further", F.lit(0))).alias("hops")),
-            "jump",
-        )
-        levels.append(state)
-    inner = levels[0].filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    leaves = state.filter("up is null").join(inner, ["tree", "id"], "left_anti")
+        above = done.unionByName(open_ones).select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("hops").alias("further"))
+        state = scratch.save(open_ones.join(above, ["tree", "up"]).select("tree", "id", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("hops") + F.col("further")).alias("hops")), "jump")
+        done, levels = done.unionByName(state.filter("up is null")), [*levels, state.filter("up is not null")]
+    inner = levels[0].select("tree", F.col("up").alias("id")).distinct()
+    leaves = done.join(inner, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("hops"), "id")
     chosen = leaves.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top)  # limited in each task before the shuffle
     paths = chosen.select("tree", F.col("id").alias("leaf"), F.lit(0).cast("long").alias("place"), "id")
     for i in reversed(range(len(levels))):
-        jumps = levels[i].filter("up is not null").select("tree", "id", "up")
+        jumps = levels[i].select("tree", "id", "up")
         more = paths.join(jumps, ["tree", "id"]).select("tree", "leaf", (F.col("place") + (1 << i)).alias("place"), F.col("up").alias("id"))
         paths = scratch.save(paths.unionByName(more), "paths")
     return paths
