@@ -149,27 +149,33 @@ def learn(labelled: DataFrame, scratch: Scratch) -> DecisionList:
     return DecisionList([[(f, op, cuts[f][i]) for f, op, i in rule] for rule in rules])
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DecisionList, DataFrame]:
-    """The list learned from labels (doc_id, quality), and the statistics of all documents as a saved table."""
-    counted, name = with_statistics(with_clear_names(docs, "doc_id", "text"))
-    keep = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
-    table = scratch.save(counted.select("doc_id", *[F.col(name[k]).alias(k) for k in keep]), "statistics")
+def learn_from(table: DataFrame, labels: DataFrame, scratch: Scratch) -> DecisionList:
+    """The list learned from labels (doc_id, quality).  table: doc_id, n_repeat_words and the features, saved."""
     known = labels.select("doc_id", "quality").filter("quality is not null")
     rows = table.join(known, "doc_id").filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     labelled = rows.select(*FEATURES, (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("part"))
-    return learn(scratch.save(labelled, "labelled"), scratch), table
+    return learn(scratch.save(labelled, "labelled"), scratch)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that neither the base rule nor the learned list rejects, with the columns they came with."""
-    found, _ = learn_from(docs, labels, Scratch(docs.sparkSession, "quality"))
+    """The documents that neither the base rule nor the learned list rejects, with the columns they came with.
+
+    Texts and statistics are saved together: a filter on the statistics would else be pushed below them and
+    compute each one as often as a rule names it.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
     counted, name = with_statistics(docs)
+    table = scratch.save(counted, "statistics")
+    found = learn_from(table.select("doc_id", *[F.col(name[k]).alias(k) for k in ("n_repeat_words", *FEATURES)]), labels, scratch)
     good = ~base_failed(F.col(name["n_words"]), F.col(name["n_repeat_words"])) & found.verdict(lambda f: F.col(name[f]))
-    return counted.filter(good).select(*docs.columns)
+    return table.filter(good).select(*docs.columns)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    found, table = learn_from(docs, labels, Scratch(spark, "quality"))
+    scratch = Scratch(spark, "quality")
+    counted, name = with_statistics(with_clear_names(docs, "doc_id", "text"))
+    table = scratch.save(counted.select("doc_id", *[F.col(name[k]).alias(k) for k in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES)]), "statistics")
+    found = learn_from(table, labels, scratch)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & found.verdict(F.col)).alias("kept"))
