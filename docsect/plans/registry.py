@@ -3,10 +3,352 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsect.functions import safety as S
+from docsect.functions import text as X
+from docsect.operators import merge as M
+from docsect.operators import navigate as N
+from docsect.operators import sections as P
+from docsect.plans import corpora as C
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+ROOT = "WITH" + C.PAGES_SQL + "," + C.SECTIONS_SQL
+THREADS = "WITH" + C.THREADS_SQL + "," + C.SECTIONS_SQL
+L = F.lit
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with SQL where there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.table(spark, sf_dir, "documents")
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.complete(P.markdown(C.pages(spark, sf_dir)))
+
+
+def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.complete(P.markdown(C.threads(spark, sf_dir)))
+
+
+def _flat(df: DataFrame, *columns: str) -> DataFrame:
+    """Keywords as one string, so that values can be compared across engines."""
+    return df.withColumn("keywords", F.array_join("keywords", "|")).select(*columns)
+
+
+# --- scalars ---
+
+@query("SELECT p_partkey AS id, " + C.fill(C.SLUG, "p_name || ' (' || p_type || ') v2'") + " AS slug FROM part")
+def slugify_titles(spark, sf_dir):
+    return C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.slugify(F.concat("p_name", L(" ("), "p_type", L(") v2"))).alias("slug"))
+
+
+@query("SELECT doc_id, " + C.fill(C.SLUG, "text") + " AS slug FROM documents")
+def slugify_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.slugify(F.col("text")).alias("slug"))
+
+
+@query("WITH" + C.PAGES_SQL + " SELECT file, " + C.fill(C.PREFIX, "file") + " AS prefix FROM pages_")
+def file_prefix(spark, sf_dir):
+    return C.pages(spark, sf_dir).select("file", X.file_prefix(F.col("file")).alias("prefix"))
+
+
+@query("SELECT doc_id, array_to_string(" + C.fill(C.KEYWORDS, "('`Pip Install` ' || text || ' snake_name camelCase `x`')") + ", '|') AS keywords FROM documents")
+def keywords(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(X.keywords(F.concat(L("`Pip Install` "), "text", L(" snake_name camelCase `x`"))), "|").alias("keywords"))
+
+
+@query("SELECT doc_id, substr(md5(substr(text, 1, 200)), 1, 6) AS suffix FROM documents")
+def content_hash_suffix(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.content_suffix(F.col("text")).alias("suffix"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash, strlen(text)::BIGINT AS n_bytes, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents")
+def file_hashes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.file_hash(F.encode("text", "UTF-8")).alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+@query(ROOT + " SELECT file, seq, summary FROM sections_")
+def simple_summary(spark, sf_dir):
+    return _sections(spark, sf_dir).select("file", "seq", "summary")
+
+
+@query(ROOT + ", x AS (SELECT *, list_filter(" + C.fill(C.STRIPPED, "content") + ", lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS line FROM sections_) SELECT file, seq, coalesce(substr(line, 1, 100), title) AS summary FROM x")
+def fallback_summary(spark, sf_dir):
+    return _sections(spark, sf_dir).select("file", "seq", X.fallback_summary(F.col("title"), F.col("content")).alias("summary"))
+
+
+@query(ROOT + r", x AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS c FROM sections_) SELECT file, seq, CASE WHEN c = '' THEN '' WHEN line_count < 3 THEN substr(c, 1, 100) END AS summary FROM x")
+def short_summary(spark, sf_dir):
+    return _sections(spark, sf_dir).select("file", "seq", X.short_summary(F.col("content"), F.col("line_count")).alias("summary"))
+
+
+@query("SELECT lang AS repo, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY lang")
+def token_budget(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy(F.col("lang").alias("repo")).agg(F.sum(X.approx_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM documents")
+def normalised_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.read_text(F.encode(F.replace("text", L("\n"), L("\r\n")), "UTF-8")).alias("content"))
+
+
+_URLS = ["https://github.com/acme/docs", "acme/docs", " https://github.com/acme/docs.git/ ", "o/my.github.io", "nothing"]
+
+
+@query(r"""WITH u AS (SELECT i, regexp_replace(trim(unnest(['https://github.com/acme/docs','acme/docs',' https://github.com/acme/docs.git/ ','o/my.github.io','nothing'])), '/+$', '') AS x, s_suppkey FROM supplier, (SELECT 0 AS i)),
+w AS (SELECT s_suppkey, x, CASE WHEN regexp_matches(x, 'github\.com/[^/]+/[^/]+') THEN 'github\.com/([^/]+)/([^/]+)' WHEN regexp_matches(x, '^[^/]+/[^/]+$') THEN '^([^/]+)/([^/]+)$' END AS p FROM u)
+SELECT s_suppkey AS k, x AS url, CASE WHEN p IS NULL THEN NULL WHEN p[1] = 'g' THEN regexp_extract(x, 'github\.com/([^/]+)/([^/]+)', 1) ELSE regexp_extract(x, '^([^/]+)/([^/]+)$', 1) END AS owner,
+replace(CASE WHEN p IS NULL THEN NULL WHEN p[1] = 'g' THEN regexp_extract(x, 'github\.com/([^/]+)/([^/]+)', 2) ELSE regexp_extract(x, '^([^/]+)/([^/]+)$', 2) END, '.git', '') AS name FROM w""")
+def github_url_parse(spark, sf_dir):
+    urls = C.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(*map(L, _URLS))).alias("raw"))
+    return urls.select("k", F.regexp_replace(X.strip(F.col("raw")), "/+\\z", "").alias("url"), X.parse_repository(F.col("raw")).alias("r")).select("k", "url", "r.owner", "r.name")
+
+
+# --- safety ---
+
+_SECRET_SQL = """SELECT doc_id, 'docs/f' || doc_id || '.md' AS file, text
+ || CASE WHEN doc_id % 17 = 0 THEN ' AKIA' || upper(substr(md5(text), 1, 16)) ELSE '' END || CASE WHEN doc_id % 19 = 0 THEN ' ghp_' || md5(text) || 'abcd' ELSE '' END
+ || CASE WHEN doc_id % 23 = 0 THEN ' xoxb-' || md5(text) ELSE '' END || CASE WHEN doc_id % 29 = 0 THEN ' -----BEGIN RSA PRIVATE KEY-----' ELSE '' END AS content FROM documents"""
+_LABELS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{label}' END" for p, label in S.SECRETS) + "], lambda x: x IS NOT NULL)"
+
+
+def _with_secrets(spark, sf_dir):
+    add = lambda n, c: F.when(F.col("doc_id") % n == 0, c).otherwise("")
+    return _docs(spark, sf_dir).select("doc_id", F.format_string("docs/f%d.md", "doc_id").alias("file"), F.concat("text", add(17, F.concat(L(" AKIA"), F.upper(F.substring(F.md5("text"), 1, 16)))), add(19, F.concat(L(" ghp_"), F.md5("text"), L("abcd"))), add(23, F.concat(L(" xoxb-"), F.md5("text"))), add(29, L(" -----BEGIN RSA PRIVATE KEY-----"))).alias("content"))
+
+
+@query(f"WITH t AS ({_SECRET_SQL}) SELECT doc_id, array_to_string({_LABELS_SQL}, '|') AS labels FROM t")
+def secret_scan(spark, sf_dir):
+    return _with_secrets(spark, sf_dir).select("doc_id", F.array_join(S.secrets(F.col("content")), "|").alias("labels"))
+
+
+@query(f"WITH t AS ({_SECRET_SQL}) SELECT file FROM t WHERE len({_LABELS_SQL}) > 0")
+def skipped_secrets(spark, sf_dir):
+    return _with_secrets(spark, sf_dir).filter(F.size(S.secrets(F.col("content"))) > 0).select("file")
+
+
+_NAMES = ("README.md", ".ENV", "id_rsa.pub", "server.PEM", "server.pem", "credentials.json", "my.key", "config.yaml", ".docker/config.json", "x.markdown", "B.MD", ".md", "node_modules/a.md", ".hidden/a.md", "a/b/c/d/e/f/g.rst", "docs/api-v1.mdx", "docs/[x].md", "_index.md")
+_NAMES_SQL = "SELECT s_suppkey AS k, 'src' || (s_suppkey % 7) || '/' || unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS file FROM supplier"
+
+
+def _names(spark, sf_dir):
+    return C.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(*map(L, _NAMES))).alias("n")).select("k", F.concat(L("src"), (F.col("k") % 7).cast("string"), L("/"), "n").alias("file"))
+
+
+@query(f"WITH n AS ({_NAMES_SQL}), b AS (SELECT *, regexp_extract(file, '[^/]*$') AS base FROM n) SELECT k, file, list_contains(['.env','.env.local','.env.production','.env.staging','.env.development','credentials.json','secrets.yaml','secrets.yml','service-account.json','.npmrc','.pypirc','.netrc','.docker/config.json'], lower(base)) OR regexp_full_match(base, '.*\\.(pem|key|p12|pfx|jks|keystore|cert)|id_rsa.*|id_ed25519.*') AS sensitive FROM b")
+def sensitive_files(spark, sf_dir):
+    return _names(spark, sf_dir).withColumn("sensitive", S.sensitive_name(F.col("file")))
+
+
+@query(f"WITH n AS ({_NAMES_SQL}), p AS (SELECT *, string_split(file, '/') AS parts FROM n) SELECT k, file FROM p WHERE regexp_full_match(lower(parts[-1]), '.+\\.(md|markdown|mdx|rst)') AND len(parts) - 1 <= 5 AND len(list_filter(parts[1:len(parts) - 1], lambda x: starts_with(x, '.') OR list_contains([" + ", ".join(f"'{x}'" for x in S.SKIP_FOLDERS) + "], x))) = 0")
+def discovery_predicates(spark, sf_dir):
+    f = F.col("file")
+    return _names(spark, sf_dir).filter(S.suffix_ok(f) & S.depth_ok(f, 5) & S.folder_ok(f))
+
+
+@query(f"WITH n AS ({_NAMES_SQL}) SELECT k, file FROM n WHERE file GLOB 'src[1-3]/*.md' OR regexp_full_match(file, 'src[1-3]/.*\\.md')")
+def glob_filter(spark, sf_dir):
+    return _names(spark, sf_dir).filter(S.glob_match(F.col("file"), "src[1-3]/*.md"))
+
+
+# --- parsers ---
+
+_ALL = "repo, file, seq, id, path, title, depth, parent, line_count, byte_offset, byte_length, array_to_string(keywords, '|') AS keywords, summary"
+_COLUMNS = ("repo", "file", "seq", "id", "path", "title", "depth", "parent", "line_count", "byte_offset", "byte_length", "keywords", "summary")
+
+
+@query(ROOT + f" SELECT {_ALL} FROM sections_")
+def md_sections(spark, sf_dir):
+    return _flat(_sections(spark, sf_dir), *_COLUMNS)
+
+
+@query(THREADS + f" SELECT {_ALL} FROM sections_")
+def md_preamble(spark, sf_dir):
+    return _flat(_threads(spark, sf_dir), *_COLUMNS)
+
+
+@query(ROOT + " SELECT file, id, title, line_count, byte_length FROM sections_ WHERE regexp_matches(id, '-root$')")
+def headingless_sections(spark, sf_dir):
+    return _sections(spark, sf_dir).filter(F.col("id").endswith("-root")).select("file", "id", "title", "line_count", "byte_length")
+
+
+@query()
+def headingless_chunks(spark, sf_dir):
+    """Files of many documents with blank lines between: a sequential fold, which tests hold against a loop."""
+    big = _docs(spark, sf_dir).groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
+    files = big.select(F.concat(L("docs/"), "lang").alias("repo"), F.concat("source", L(".md")).alias("file"), F.array_join(F.col("x.text"), "\n\n\n").alias("content"))
+    return P.complete(P.markdown(files)).select("repo", "file", "seq", "id", "title", "line_count", "byte_offset", "byte_length")
+
+
+@query("""SELECT doc_id, text AS body, 'Doc ' || doc_id AS title FROM documents""")
+def front_matter(spark, sf_dir):
+    raw = F.concat(L("---\nauthor: me\ntitle: \"Doc "), F.col("doc_id").cast("string"), L("\"\n---\n"), F.col("text"))
+    body, title = P.strip_front_matter(raw)
+    return _docs(spark, sf_dir).select("doc_id", body.alias("body"), title.alias("title"))
+
+
+@query("""SELECT doc_id, chr(10) || chr(10) || text || ' ' || chr(10) || '' || 'inner' || '' AS content FROM documents""")
+def mdx_clean(spark, sf_dir):
+    raw = F.concat(L("---\ntitle: x\n---\nimport A from 'a'\nexport const b = 1\n"), "text", L(" <Button kind=\"a\" />\n<Note a='1'>inner</Note>"))
+    return _docs(spark, sf_dir).select("doc_id", P.clean_mdx(raw).alias("content"))
+
+
+@query(r"""
+WITH l AS (SELECT p_partkey AS k, p_name AS t, 1 + p_partkey % 3 AS style, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS n, p_partkey // 10 AS g FROM part),
+f AS (SELECT *, min(n) OVER (PARTITION BY g, style) AS first FROM l)
+SELECT 'parts/f' || g || '.rst' AS file, n::BIGINT - 1 AS seq, trim(t) AS title, dense_rank() OVER (PARTITION BY g ORDER BY first)::INTEGER AS depth, 4::INTEGER AS line_count,
+ coalesce(sum(2 * strlen(t) + 13) OVER (PARTITION BY g ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM f""")
+def rst_sections(spark, sf_dir):
+    """A file for ten parts: each name underlined in one of three styles, and a line of text."""
+    line = F.expr("repeat(substring('=-~', cast(p_partkey % 3 as int) + 1, 1), length(p_name))")
+    part = F.concat("p_name", L("\n"), line, L("\nsome text\n"))
+    gathered = C.table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("g")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", part.alias("part")))).alias("x"))
+    files = gathered.select(L("parts").alias("repo"), F.format_string("parts/f%d.rst", "g").alias("file"), F.array_join(F.col("x.part"), "\n").alias("content"))
+    return P.rst(files).select("file", "seq", "title", "depth", "line_count", "byte_offset")
+
+
+# --- navigation ---
+
+@query(ROOT + " SELECT repo, file, seq, id, title, depth, parent, nullif(summary, '') AS summary FROM sections_")
+def toc(spark, sf_dir):
+    return N.toc(_sections(spark, sf_dir))
+
+
+@query(ROOT + " SELECT repo, file, seq, id, title, depth, parent, nullif(summary, '') AS summary FROM sections_ WHERE starts_with(file, 'en/') AND depth <= 2 AND regexp_full_match(file, '.*src1.*/doc_.*[0-4]\\.md')")
+def toc_filtered(spark, sf_dir):
+    return N.toc(N.filter_sections(_sections(spark, sf_dir), "en/", 2, "*src1*/doc_*[0-4].md"))
+
+
+@query(ROOT + f" SELECT {_ALL} FROM sections_ WHERE file = (SELECT min(file) FROM sections_)")
+def outline(spark, sf_dir):
+    s = _sections(spark, sf_dir)
+    least = C.pages(spark, sf_dir).agg(F.min("file").alias("file"))
+    return _flat(s.join(F.broadcast(least), "file", "left_semi"), *_COLUMNS)
+
+
+@query(THREADS + " SELECT s.repo, s.file, s.seq, s.id, s.title, s.depth, s.parent, max(p.seq) AS parent_seq FROM sections_ s LEFT JOIN sections_ p ON s.repo = p.repo AND s.file = p.file AND s.parent = p.id GROUP BY ALL")
+def section_tree(spark, sf_dir):
+    return N.tree_edges(_threads(spark, sf_dir))
+
+
+_WALK = THREADS.replace("WITH", "WITH RECURSIVE", 1) + """,
+ids_ AS (SELECT repo, file, id, min(seq) AS seq, arg_min(parent, seq) AS parent FROM sections_ GROUP BY ALL),
+walk_ AS (SELECT repo, file, seq, id, parent AS up, id AS chain, 0 AS level FROM sections_
+  UNION ALL SELECT w.repo, w.file, w.seq, w.id, i.parent, w.up || '/' || w.chain, w.level + 1 FROM walk_ w LEFT JOIN ids_ i ON i.repo = w.repo AND i.file = w.file AND i.id = w.up WHERE w.up IS NOT NULL)
+SELECT repo, file, seq, id, chain AS ancestors, level::BIGINT AS level FROM walk_ WHERE up IS NULL"""
+
+
+@query(_WALK)
+def ancestor_paths(spark, sf_dir):
+    return N.ancestor_paths(_threads(spark, sf_dir).drop("content")).withColumn("ancestors", F.array_join("ancestors", "/"))
+
+
+@query(_WALK.replace("SELECT repo, file, seq, id, chain AS ancestors, level", "SELECT file, seq, repeat('  ', level::INTEGER) || id AS line, level"))
+def flatten(spark, sf_dir):
+    return N.ancestor_paths(_threads(spark, sf_dir).drop("content")).select("file", "seq", F.concat(F.expr("repeat('  ', cast(level as int))"), "id").alias("line"), "level")
+
+
+def _score_sql(q: str) -> str:
+    words = sorted(set(q.lower().split()))
+    parts = [f"CASE WHEN contains(lower(title), '{q.lower()}') THEN 10 ELSE 0 END", f"CASE WHEN contains(lower(summary), '{q.lower()}') THEN 5 ELSE 0 END"]
+    for w in words:
+        parts += [f"CASE WHEN contains(lower(title), '{w}') THEN 3 ELSE 0 END", f"CASE WHEN contains(lower(summary), '{w}') THEN 1 ELSE 0 END", f"CASE WHEN list_contains(keywords, '{w}') THEN 2 ELSE 0 END"]
+    return "(" + " + ".join(parts) + ")::BIGINT"
+
+
+def _search_sql(q: str, n: int, where: str = "true") -> str:
+    return ROOT + f", hits_ AS (SELECT *, {_score_sql(q)} AS score FROM sections_ WHERE {where}) SELECT repo, id, file, path, title, depth, summary, array_to_string(keywords[1:5], '|') AS keywords, score, seq FROM hits_ WHERE score > 0 ORDER BY score DESC, repo, file, seq LIMIT {n}"
+
+
+_HIT = ("repo", "id", "file", "path", "title", "depth", "summary", "keywords", "score", "seq")
+
+
+@query(_search_sql("the and token", 10))
+def search_topk(spark, sf_dir):
+    return _flat(N.search(_sections(spark, sf_dir), "the and token"), *_HIT)
+
+
+@query(_search_sql("Tion in", 20, "starts_with(file, 'en/') AND depth <= 2 AND regexp_full_match(file, '.*/doc_.*[02468]\\.md')"))
+def search_filtered(spark, sf_dir):
+    return _flat(N.search(_sections(spark, sf_dir), "Tion in", 20, path_prefix="en/", max_depth=2, file_pattern="*/doc_*[02468].md"), *_HIT)
+
+
+@query(_search_sql("", 15))
+def search_empty_query(spark, sf_dir):
+    return _flat(N.search(_sections(spark, sf_dir), "", 15), *_HIT)
+
+
+@query(ROOT + " SELECT s.repo, s.file, s.seq, decode(encode(p.content)[s.byte_offset + 1 : s.byte_offset + s.byte_length]) AS content, true AS same FROM sections_ s JOIN pages_ p USING (repo, file)")
+def section_content(spark, sf_dir):
+    s = _sections(spark, sf_dir)
+    files = C.pages(spark, sf_dir).select("repo", "file", F.col("content").alias("whole"))
+    part = F.decode(F.substring(F.encode("whole", "UTF-8"), (F.col("byte_offset") + 1).cast("int"), F.col("byte_length").cast("int")), "UTF-8")
+    return s.join(files, ["repo", "file"]).select("repo", "file", "seq", part.alias("content"), (part == F.col("content")).alias("same"))
+
+
+_ASK = "SELECT doc_id AS pos, 'docs/' || lang AS repo, CASE WHEN doc_id % 3 = 0 THEN 'no-such-id' ELSE " + C.fill(C.PREFIX, "(lang || '/' || source || '/doc_' || doc_id || '.md')") + " || '-root' END AS id FROM documents"
+
+
+@query(ROOT + f", ask_ AS ({_ASK}), one_ AS (SELECT * FROM sections_ QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY file, seq) = 1) SELECT a.pos, a.repo, a.id, o.file, o.title, o.depth, o.byte_offset, o.byte_length, o.content, CASE WHEN o.file IS NULL THEN 'Section not found: ' || a.id END AS error FROM ask_ a LEFT JOIN one_ o ON a.repo = o.repo AND a.id = o.id")
+def sections_batch(spark, sf_dir):
+    pages = C.pages(spark, sf_dir)
+    asked = pages.select(F.col("doc_id").alias("pos"), "repo", F.when(F.col("doc_id") % 3 == 0, "no-such-id").otherwise(F.concat(X.file_prefix(F.col("file")), L("-root"))).alias("id"))
+    return N.fetch(asked, _sections(spark, sf_dir).drop("content"), pages)
+
+
+@query(ROOT + " SELECT repo, count(*) AS section_count, count(DISTINCT file) AS file_count FROM sections_ GROUP BY repo")
+def repo_catalog(spark, sf_dir):
+    return N.catalog(_sections(spark, sf_dir).drop("content"), C.pages(spark, sf_dir))
+
+
+@query("SELECT min('docs/' || lang) AS repo FROM documents WHERE lang = 'fr'")
+def resolve_short_name(spark, sf_dir):
+    return N.resolve(C.pages(spark, sf_dir).select("repo").distinct(), "fr")
+
+
+# --- incremental indexing ---
+
+_V2 = "SELECT repo, file, CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || '# Added' ELSE content END AS content FROM pages_ WHERE doc_id % 7 <> 0 UNION ALL SELECT repo, 'new/' || file, content FROM pages_ WHERE doc_id % 11 = 0"
+
+
+def _versions(spark, sf_dir):
+    v1 = C.pages(spark, sf_dir)
+    kept = v1.filter("doc_id % 7 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", L("\n# Added"))).otherwise(F.col("content")))
+    v2 = kept.unionByName(v1.filter("doc_id % 11 = 0").withColumn("file", F.concat(L("new/"), "file")))
+    return v1, v2
+
+
+def _hashed(files):
+    return files.select("repo", "file", F.sha2("content", 256).alias("hash"))
+
+
+@query("WITH" + C.PAGES_SQL + f", v2_ AS ({_V2}) SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'added' WHEN b.file IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM pages_ a FULL JOIN v2_ b ON a.repo = b.repo AND a.file = b.file WHERE a.file IS NULL OR b.file IS NULL OR a.content <> b.content")
+def change_set(spark, sf_dir):
+    v1, v2 = _versions(spark, sf_dir)
+    return M.change_set(_hashed(v1), _hashed(v2))
+
+
+@query(ROOT.replace("pages_ AS (", "old_ AS (", 1).replace(",\nlines_ AS", f",\npages_ AS ({_V2.replace('pages_', 'old_')}),\nlines_ AS", 1) + " SELECT repo, file, seq, id, title, parent, byte_offset FROM sections_")
+def incremental_merge(spark, sf_dir):
+    """Old sections and those of changed files give what a full index of the new files gives."""
+    v1, v2 = _versions(spark, sf_dir)
+    changes = M.change_set(_hashed(v1), _hashed(v2))
+    fresh = P.markdown(v2.join(changes.filter("change <> 'deleted'"), ["repo", "file"], "left_semi"))
+    return M.merge_sections(P.markdown(v1), changes, fresh).select("repo", "file", "seq", "id", "title", "parent", "byte_offset")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["search_topk"](spark, sf_dir)
+    return search_topk(spark, sf_dir)
