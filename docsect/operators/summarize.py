@@ -1,0 +1,49 @@
+"""Summaries from an outside model, behind a plain function so that any client can be plugged in."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docsect.functions import text as X
+
+CONCURRENCY = 8
+
+
+def chain(*clients: Callable[[str], str]) -> Callable[[str], str]:
+    """The first answer that is not empty; a client that fails counts as silent."""
+
+    def ask(prompt: str) -> str:
+        for c in clients:
+            try:
+                if answer := (c(prompt) or "").strip():
+                    return answer
+            except Exception:
+                continue
+        return ""
+
+    return ask
+
+
+def summarize(sections: DataFrame, ask: Callable[[str], str] | None = None) -> DataFrame:
+    """sections with summary filled: short sections at once, others by ask(prompt), or else by their text alone."""
+    title, content = F.col("title"), F.col("content")
+    if ask is None:
+        return sections.withColumn("summary", X.simple_summary(title, content))
+    short = X.short_summary(content, F.col("line_count"))
+    done = sections.filter(short.isNotNull()).withColumn("summary", short)
+    schema = sections.withColumn("summary", F.lit("")).schema
+    names = schema.names
+
+    def run(batches):
+        with ThreadPoolExecutor(CONCURRENCY) as pool:
+            for pdf in batches:
+                answers = list(pool.map(ask, pdf["_prompt"]))
+                yield pdf.assign(summary=pd.Series([a or b for a, b in zip(answers, pdf["_else"])], index=pdf.index))[names]
+
+    rest = sections.filter(short.isNull()).withColumn("summary", F.lit("")).select(*names, X.prompt(title, content).alias("_prompt"), X.fallback_summary(title, content).alias("_else"))
+    return done.select(*names).unionByName(rest.mapInPandas(run, schema))

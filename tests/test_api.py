@@ -1,0 +1,110 @@
+import json
+import urllib.error
+
+import pytest
+
+from docsect.plans.api import Tools
+from docsect.sources import github, local
+from docsect.streaming import landing
+
+
+@pytest.fixture
+def tree(tmp_path):
+    base = tmp_path / "proj"
+    for name, text in {"README.md": "# Project\nAbout.\n## Installation\nRun `pip install`.\nmore\nlines\n", "docs/api.md": "# API\r\ntext\r\n## Auth\r\ntoken\r\n", "docs/_index.md": "# Under\n", "B.MD": "# Upper\n", "g.mdx": "import X from 'x'\n# Guide\n<A>kept</A>\n", "s.rst": "Title\n=====\nbody\n", ".hidden/x.md": "# no", "node_modules/y.md": "# no", "build/z.md": "# no", "config.md": "AKIA" + "B" * 16, ".gitignore": "build/\n*.log\n"}.items():
+        p = base / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(text.encode())
+    return base
+
+
+def test_discovery(tree, tmp_path):
+    assert local.discover(str(tree)) == ["B.MD", "README.md", "config.md", "docs/_index.md", "docs/api.md", "g.mdx", "s.rst"]
+    assert "docs/api.md" not in local.discover(str(tree), extra_ignore_patterns=["docs/api*"])
+    assert ".hidden/x.md" in local.discover(str(tree), include_hidden=True)
+    assert local.discover(str(tree), max_depth=0) == ["B.MD", "README.md", "config.md", "g.mdx", "s.rst"]
+    (tmp_path / "far.md").write_text("# far")
+    (tree / "out.md").symlink_to(tmp_path / "far.md")
+    (tree / "in.md").symlink_to(tree / "README.md")
+    assert "in.md" not in local.discover(str(tree))
+    assert "in.md" in local.discover(str(tree), follow_symlinks=True) and "out.md" not in local.discover(str(tree), follow_symlinks=True)
+    with pytest.raises(ValueError):
+        local.discover(str(tree / "nope"))
+
+
+def test_tools(spark, tree, tmp_path):
+    t = Tools(spark, str(tmp_path / "store"))
+    done = t.index_local(str(tree))
+    assert done["success"] and done["repo"] == "local/proj" and done["file_count"] == 7 and done["skipped_secrets"] == ["config.md"]
+    assert t.list_repos()["count"] == 1
+    toc = t.get_toc("proj")
+    assert toc["section_count"] == 9 - 1 and all("summary" in s for s in toc["sections"])
+    assert t.get_toc("proj", max_depth=1, path_prefix="docs/")["section_count"] == 2
+    assert [n["title"] for n in t.get_document_outline("proj", "README.md")["tree"][0]["children"]] == ["Installation"]
+    assert "error" in t.get_document_outline("proj", "nope.md") and "error" in t.get_toc("other")
+    assert t.get_section("local/proj", "readme-installation")["content"].startswith("## Installation\nRun")
+    assert t.get_section("proj", "g-guide")["content"] == "# Guide\nkept\n" and t.get_section("proj", "api-docs-auth")["content"] == "## Auth\ntoken\n"
+    many = t.get_sections("proj", ["s-title", "nope", "s-title"])
+    assert [s["id"] for s in many["sections"]] == ["s-title", "s-title"] and many["errors"][0]["id"] == "nope" and t.get_sections("proj", ["s-title"])["errors"] is None
+    assert t.search_sections("proj", "install")["results"][0]["title"] == "Installation"
+    assert "error" in t.search_sections("proj", "x", -1)
+    (tree / "README.md").write_text("# Project\n## Changed\n")
+    (tree / "s.rst").unlink()
+    assert t.index_local(str(tree), incremental=True)["success"]
+    ids = {s["id"] for s in t.get_toc("proj")["sections"]}
+    assert "readme-changed" in ids and "readme-installation" not in ids and "s-title" not in ids and "api-docs-auth" in ids
+    assert t.delete_index("proj")["success"] and not t.delete_index("proj")["success"]
+
+
+def test_summarizer(spark, tree, tmp_path):
+    t = Tools(spark, str(tmp_path / "store"), ask=lambda p: "told" if "Installation" in p else "")
+    assert t.index_local(str(tree))["success"]
+    got = {s["id"]: s.get("summary") for s in t.get_toc("proj")["sections"]}
+    assert got["readme-installation"] == "told" and got["readme-project"] == "# Project\nAbout."
+
+
+def fake():
+    """A transport that travels to the executors by value."""
+
+    def transport(url, headers):
+        if "missing" in url:
+            raise urllib.error.HTTPError(url, 404, "", {}, None)
+        if "/git/trees/" in url:
+            return json.dumps({"tree": [{"path": p, "type": "blob", "sha": f"s-{p}"} for p in ("a.md", "id_rsa.md", "x.py", "bad.md")]}).encode()
+        if "/commits/" in url:
+            return b'{"sha": "abc"}'
+        if "bad" in url:
+            raise OSError("gone")
+        return b"# Far\r\ntext\r\n"
+
+    return transport
+
+
+def test_github(spark, tmp_path, monkeypatch):
+    assert github.parse_url("https://github.com/o/r.git/") == ("o", "r")
+    assert list(github.list_tree("o", "r", get=fake())) == ["a.md", "bad.md"] and github.list_tree("o", "missing", get=fake()) == {}
+    t = Tools(spark, str(tmp_path / "store"), get=fake())
+    done = t.index_repo("o/r")
+    assert done["success"] and done["commit_hash"] == "abc" and done["section_count"] == 1
+    assert t.get_section("o/r", "a-far")["content"] == "# Far\ntext\n"
+    monkeypatch.setenv("DOCSECT_LOCAL_ONLY", "Yes")
+    assert not t.index_repo("o/r")["success"]
+
+
+def test_old_index_is_refused(spark, tree, tmp_path):
+    t = Tools(spark, str(tmp_path / "store"))
+    t.index_local(str(tree))
+    folder = t.store.folder("local/proj")
+    meta = folder / (folder / "CURRENT").read_text() / "meta.json"
+    meta.write_text(json.dumps({k: v for k, v in json.loads(meta.read_text()).items() if k != "index_version"}))
+    assert "error" in t.get_toc("proj") and t.list_repos()["repos"][0]["index_version"] == 0
+
+
+def test_landing(spark, tmp_path):
+    store = Tools(spark, str(tmp_path / "store")).store
+    kind = "file string, content string, deleted boolean"
+    spark.createDataFrame([("a.md", "# A\n", False), ("b.md", "# B\n", False)], kind).write.parquet(str(tmp_path / "in"))
+    landing.follow(spark, str(tmp_path / "in"), store, "o/r", str(tmp_path / "cp")).awaitTermination()
+    spark.createDataFrame([("a.md", None, True), ("c.md", "# C\n", False)], kind).write.mode("append").parquet(str(tmp_path / "in"))
+    landing.follow(spark, str(tmp_path / "in"), store, "o/r", str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["title"] for r in store.sections("o/r").collect()) == ["B", "C"]
