@@ -160,3 +160,14 @@ def with_clear_names(df: DataFrame, *needed: str) -> DataFrame:
     """Only the needed columns; a missing one is null."""
     have = set(df.columns)
     return df.select(*[F.col(c) if c in have else F.lit(None).cast("string" if c in ("text", "role") else "long").alias(c) for c in needed])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
