@@ -5,7 +5,9 @@ evaluations fill a signature of 128; matches of either are unbiased for the Jacc
 less variance than as many minima.  The signature is cut into 32 bands of two minima and two maxima.
 
 Documents with equal shingle sets are one node from the start.  Nodes that share a band are candidates, but a
-bucket never becomes all its pairs: its nodes are first linked to its smallest one, links are confirmed on the
+bucket never becomes all its pairs.  First, shingles that only one candidate has are counted: two sets share at most
+the other ones, which bounds their similarity from above and rules out, without loss, most nodes that met by chance
+and heavily edited copies.  What is left of a bucket is linked to its smallest node, links are confirmed on the
 full sets, and the confirmed links' components are found.  Where a bucket still spans several components, the
 nodes outside its most frequent component are compared with all nodes of other components in it, until no bucket
 holds two components with an unconfirmed pair between them.  So every pair that shares a band either is compared
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsect.llm.common import LOWER, SHINGLE, Scratch, groups, mix, shingles, text_bytes, with_clear_names, word_hashes, words
+from docsect.llm.common import LOWER, SHINGLE, Scratch, free_names, groups, mix, shingles, text_bytes, with_clear_names, word_hashes, words
 from docsect.llm.graph import components
 
 HASHES = 64
@@ -111,6 +113,24 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, members binary")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node (a hash of the digest) and own, the number of its shingles that no other set has; nodes without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, which, parts, held = batch.column("node").to_numpy(zero_copy_only=False), [], [], 0
+            for i, x in enumerate(batch.column("members")):
+                parts.append(np.frombuffer(x.as_buffer(), dtype="<i8"))
+                which.append(i)
+                held += len(parts[-1])
+                if held > 1 << 18 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[which], [len(p) for p in parts])), pa.array(np.concatenate(parts))], ["node", "shingle"])
+                    which, parts, held = [], [], 0
+
+    each = sets.select(F.xxhash64("digest").alias("node"), "members").mapInArrow(run, "node long, shingle long")
+    return each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
 
@@ -140,34 +160,44 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     same = (table["digest"] == nodes["digest"]) & (table["text_key"] == nodes["text_key"]) & table["doc_id"].eqNullSafe(nodes["doc_id"])
     alone = table.filter("n > 0").join(nodes, same, "left_semi").dropDuplicates(["digest"])
     bands = scratch.save(alone.select("digest", "n", F.explode("keys").alias("key")), "bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("digest", "n")).alias("first")).filter("size > 1")
-    members = scratch.save(bands.join(shared, "key").select("key", "digest", "n", F.col("first.digest").alias("head"), F.col("first.n").alias("head_n")), "members")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = scratch.save(bands.join(shared.select("key"), "key"), "members")
     scratch.drop(bands)
-    alike = lambda a, b: 100 * F.least(a, b) >= similarity * F.greatest(a, b)  # noqa: E731  no two sets of other sizes can be similar enough
     wanted = members.select("digest").distinct().join(nodes, "digest").select("doc_id", "text_key")
     clean = with_clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     w = wanted.select(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"))
     texts = clean.join(w, (clean["text_key"] == w["w_key"]) & clean["doc_id"].eqNullSafe(w["w_doc"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
     sets = scratch.save(full_sets(texts).dropDuplicates(["digest"]), "sets")
 
-    pairs = scratch.save(members.filter((F.col("digest") != F.col("head")) & alike(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
+    # m: the shingles that some other candidate has; two sets share at most the smaller m
+    own = scratch.save(own_shingles(sets), "own")
+    met = members.withColumn("node", F.xxhash64("digest")).join(own, "node", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
+    members = scratch.save(met.filter(100 * F.col("m") >= similarity * F.col("n")).select("key", "digest", "n", "m"), "members")
+
+    def alike(n, m, n2, m2):
+        most = F.least(m, m2)
+        return 100 * most >= similarity * (n + n2 - most)
+
+    heads = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("digest", "n", "m")).alias("head")).filter("size > 1")
+    stars = members.join(heads, "key").filter((F.col("digest") != F.col("head.digest")) & alike(F.col("n"), F.col("m"), F.col("head.n"), F.col("head.m")))
+    pairs = scratch.save(stars.select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     tried = pairs
     links = scratch.save(confirm(pairs, sets, similarity), "confirmed")
-    places = members.select("key", "digest", "n")
+    places = members
     found = components(links, scratch)
     for turn in range(STAR_ROUNDS + 1):
         now = places.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         now = scratch.save(now, "places")
         # the most frequent component of each bucket that still spans several, and one of its nodes, another each turn
-        by = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("order"), "digest", "n")).alias("one"))
+        by = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("order"), "digest", "n", "m")).alias("one"))
         main = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "one")).alias("main")).filter("parts > 1")
-        main = scratch.save(main.select("key", F.col("main.component").alias("main"), F.col("main.one.digest").alias("head"), F.col("main.one.n").alias("head_n")), "main")
+        main = scratch.save(main.select("key", F.col("main.component").alias("main"), F.col("main.one").alias("head")), "main")
         outside = now.join(main, "key").filter("component <> main")
         if turn < STAR_ROUNDS:
-            fresh = outside.filter(alike(F.col("n"), F.col("head_n"))).select(F.least("head", "digest").alias("a"), F.greatest("head", "digest").alias("b"))
+            fresh = outside.filter(alike(F.col("n"), F.col("m"), F.col("head.n"), F.col("head.m"))).select(F.least("head.digest", "digest").alias("a"), F.greatest("head.digest", "digest").alias("b"))
         else:
-            o, m = outside.select("key", "digest", "n", "component", "main").alias("o"), now.alias("m")
-            apart = (F.col("o.key") == F.col("m.key")) & (F.col("o.component") != F.col("m.component")) & alike(F.col("o.n"), F.col("m.n"))
+            o, m = outside.select("key", "digest", "n", "m", "component", "main").alias("o"), now.alias("m")
+            apart = (F.col("o.key") == F.col("m.key")) & (F.col("o.component") != F.col("m.component")) & alike(F.col("o.n"), F.col("o.m"), F.col("m.n"), F.col("m.m"))
             once = (F.col("m.component") == F.col("o.main")) | (F.col("o.digest") < F.col("m.digest"))
             fresh = o.join(m, apart & once).select(F.least("o.digest", "m.digest").alias("a"), F.greatest("o.digest", "m.digest").alias("b"))
         fresh = scratch.save(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -189,11 +219,12 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def keep_first(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group, with the columns it came with; of repeated rows, one."""
     scratch = Scratch(docs.sparkSession, "keep-first")
-    verdict = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    key, kept_id, kept_key = free_names(docs, "_text_key", "_kept_id", "_kept_key")
+    verdict = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
     verdict = scratch.save(verdict, "kept")
-    marked = docs.withColumn("_text_key", F.xxhash64("text"))
-    kept = marked.join(verdict, (marked["_text_key"] == verdict["_kept_key"]) & marked["doc_id"].cast("long").eqNullSafe(verdict["_kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    kept = marked.join(verdict, (marked[key] == verdict[kept_key]) & marked["doc_id"].cast("long").eqNullSafe(verdict[kept_id]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
