@@ -22,8 +22,11 @@ Null and empty texts have no pieces.  Repeated rows are encoded each; doc_id may
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -36,8 +39,13 @@ from docsect.llm.common import Scratch, with_clear_names
 SPACE = "▁"
 CHUNK = 1 << 14  # characters
 UNKNOWN = -10.0
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 LOW = float("-inf")
+SHORT = 40  # characters of a word that is worked on together with others; under 64
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+AT_ONCE = 1 << 20  # characters
+#: Before a run of space marks that follows another character.
+JOINT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _models: dict[str, Model] = {}
 
 
@@ -57,32 +65,39 @@ class Model:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.unknown = min(self.score.values()) + UNKNOWN
         self.longest = max(map(len, self.ids))
-        self.known: dict[str, tuple[float, tuple[int, ...]]] = {}
-
-    def edges(self, text: str, at: int):
-        """(end, score) of the pieces that end or pass the text from a place on; text may go on after what is asked."""
-        score, one = self.score, False
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            s = score.get(text[at:end])
-            if s is not None:
-                one = one or end == at + 1
-                yield end, s
-        if not one and at < len(text):
-            yield at + 1, self.unknown
+        # every beginning of a piece, with the piece's score or None
+        self.reach: dict[str, float | None] = {name[:i]: None for name in self.ids for i in range(1, len(name))} | self.score
+        self.known: dict[str, bytes] = {}
+        self.by_size = None
+        # by id: the score (a byte that begins an unknown character stands for it), and the text, None for bytes over 127
+        self.weight = np.array([self.score.get(x, 0.0) for x in self.names])
+        for byte, i in self.byte.items():
+            self.weight[i] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown
+        self.text = [x.replace(SPACE, " ") for x in self.names]
+        for byte, i in self.byte.items():
+            self.text[i] = chr(byte) if byte < 0x80 else None
+        self.high = np.array([x is None for x in self.text])
 
     def best(self, text: str, begin: int, stop: int) -> tuple[list[float], list[int]]:
         """Largest sums from begin to each place up to stop plus the reach of a piece, and where the last piece begins."""
-        size = stop + self.longest - begin
-        total, back = [LOW] * (size + 1), [-1] * (size + 1)
+        last = min(len(text), stop + self.longest)
+        total, back, reach = [LOW] * (last - begin + 1), [-1] * (last - begin + 1), self.reach
         total[0] = 0.0
         for at in range(begin, stop):
-            here = total[at - begin]
-            if here <= LOW:
+            here, i = total[at - begin], at - begin
+            if here == LOW:
                 continue
-            for end, s in self.edges(text, at):
-                i = end - begin
-                if here + s > total[i]:
-                    total[i], back[i] = here + s, at - begin
+            one = False
+            for end in range(at + 1, last + 1):
+                s = reach.get(text[at:end], 0.5)
+                if s == 0.5:  # no piece begins like this; scores of pieces are not positive
+                    break
+                if s is not None:
+                    one = one or end == at + 1
+                    if here + s > total[end - begin]:
+                        total[end - begin], back[end - begin] = here + s, i
+            if not one and here + self.unknown > total[i + 1]:
+                total[i + 1], back[i + 1] = here + self.unknown, i
         return total, back
 
     def spell(self, text: str, begin: int, cuts: list[int]) -> list[int]:
@@ -96,22 +111,111 @@ class Model:
                 out += [self.byte[x] for x in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def trace(self, text: str, begin: int, end: int, back: list[int]) -> list[int]:
+    def trace(self, text: str, begin: int, end: int, back: list[int]) -> bytes:
         cuts, i = [], end - begin
         while i > 0:
             cuts.append(begin + i)
             i = back[i]
-        return self.spell(text, begin, cuts[::-1])
+        return array("I", self.spell(text, begin, cuts[::-1])).tobytes()
+
+    def words(self, words: list[str]) -> bytes:
+        """Ids of stretches that every path cuts out, one after the other."""
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return b"".join(map(self.known.__getitem__, words))
+
+    def learn(self, words) -> None:
+        """Makes sure that the ids of all words are remembered: short words at once, as arrays, others one by one."""
+        words = set(words)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        short = [w for w in new if len(w) <= SHORT]
+        if len(short) >= 64:
+            for i in range(0, len(short), 16384):
+                self.known.update(self.many(short[i : i + 16384]))
+        for w in new:
+            if w not in self.known:
+                self.known[w] = self.trace(w, 0, len(w), self.best(w, 0, len(w))[1])
+
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Beginnings of pieces by length: sorted hashes, and the scores and ids of those that are pieces."""
+        out = []
+        with np.errstate(over="ignore"):
+            for size in range(1, self.longest + 1):
+                names = sorted({x[:size] for x in self.ids if len(x) >= size})
+                h = np.zeros(len(names), dtype=np.uint64)
+                for c in np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32).reshape(-1, size).T:
+                    h = h * FACTOR + c
+                order = np.argsort(h)
+                out.append((h[order], np.array([self.score.get(x, LOW) for x in names])[order], np.array([self.ids.get(x, -1) for x in names], dtype=np.int64)[order]))
+        return out
 
-    def word(self, word: str) -> tuple[float, tuple[int, ...]]:
-        """Score and ids of a stretch that every path cuts out."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            total, back = self.best(word, 0, len(word))
-            found = self.known[word] = (total[len(word)], tuple(self.trace(word, 0, len(word), back)))
-        return found
+    def many(self, words: list[str]) -> dict[str, bytes]:
+        """The same as best() and trace() for many words side by side; words with unknown characters are left out."""
+        if self.by_size is None:
+            self.by_size = self.tables()
+        size = np.array([len(w) for w in words])
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        start = np.cumsum(size) - size
+        left = np.repeat(start + size, size) - np.arange(len(text))  # characters to the end of the word
+        points = start + np.arange(len(words))  # each word has a point more than characters
+        total, took, piece = np.full(len(text) + len(words), LOW), np.zeros(len(text) + len(words), dtype=np.int64), np.full(len(text) + len(words), -1, dtype=np.int64)
+        total[points] = 0.0
+        single = np.array([self.byte.get(x, -1) for x in range(128)])  # ids of ASCII characters that no piece spells
+        edges = []
+        with np.errstate(over="ignore"):
+            where, h = np.arange(len(text)), np.zeros(len(text), dtype=np.uint64)
+            for n, (keys, values, ids) in enumerate(self.by_size, 1):
+                fits = left[where] >= n
+                where, h = where[fits], h[fits]
+                h = h * FACTOR + text[where + n - 1]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                begun = keys[at] == h
+                if n == 1:
+                    known = begun & (ids[at] >= 0)
+                    other = np.where(text < 128, single[np.minimum(text, 127).astype(np.int64)], -1)
+                    edges.append((where, np.where(known, values[at], self.unknown), np.where(known, ids[at], other), np.ones(len(where), dtype=np.int64)))
+                where, h, at = where[begun], h[begun], at[begun]
+                if n > 1:
+                    whole = ids[at] >= 0
+                    edges.append((where[whole], values[at[whole]], ids[at[whole]], np.full(int(whole.sum()), n)))
+                if not len(where):
+                    break
+        base = np.repeat(points, size) - np.repeat(start, size)  # a character's index to its point
+        begin, value, ids, length = (np.concatenate(x) for x in zip(*edges))
+        place = begin - np.repeat(start, size)[begin]
+        order = np.lexsort((length, place))
+        begin, value, ids, length, place = begin[order], value[order], ids[order], length[order], place[order]
+        bounds = np.searchsorted(place * 64 + length, np.arange((int(size.max()) + 1) * 64))
+        for t in range(int(size.max())):
+            for n in range(1, self.longest + 1):
+                a, b = bounds[t * 64 + n], bounds[t * 64 + n + 1]
+                if a == b:
+                    continue
+                source = begin[a:b] + base[begin[a:b]]
+                goal, sums = source + n, total[source] + value[a:b]
+                better = sums > total[goal]
+                goal = goal[better]
+                total[goal], took[goal], piece[goal] = sums[better], n, ids[a:b][better]
+        # back from the ends of all words
+        at, alive, steps = points + size, np.arange(len(words)), []
+        while len(alive):
+            here = at[alive]
+            steps.append((alive, piece[here]))
+            at[alive] = here - took[here]
+            alive = alive[at[alive] > points[alive]]
+        word, found = np.concatenate([x for x, _ in steps]), np.concatenate([x for _, x in steps])
+        step = np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps])
+        order = np.lexsort((-step, word))
+        word, found = word[order], found[order]
+        bad = np.zeros(len(words), dtype=bool)
+        bad[word[found < 0]] = True
+        raw, cuts = found.astype("<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        return {w: raw[a:b] for w, a, b, x in zip(words, cuts, cuts[1:], bad.tolist()) if not x}
 
 
 def model(path: str) -> Model:
@@ -126,13 +230,16 @@ def marked(text: str) -> str:
 
 
 def joints(text: str, begin: int, end: int) -> list[int]:
-    """Places in begin..end that every path passes: where a run of space marks begins after another character."""
-    out, at = [], text.find(SPACE, max(begin, 1), end)
-    while at >= 0:
-        if text[at - 1] != SPACE:
-            out.append(at)
+    """The first and last place in begin..end that every path passes: where a run of space marks begins after another character."""
+    at = text.find(SPACE, max(begin, 1), end)
+    while at >= 0 and text[at - 1] == SPACE:
         at = text.find(SPACE, at + 1, end)
-    return out
+    if at < 0:
+        return []
+    last = text.rfind(SPACE, at, end)
+    while text[last - 1] == SPACE:
+        last = text.rfind(SPACE, at, last)
+    return [at, last]
 
 
 def stretches(text: str) -> list[str]:
@@ -140,8 +247,7 @@ def stretches(text: str) -> list[str]:
     parts = text.split(SPACE)
     if "" not in parts[1:]:
         return [*([parts[0]] if parts[0] else []), *[SPACE + p for p in parts[1:]]]
-    cuts = [0, *joints(text, 0, len(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+    return [x for x in JOINT.split(text) if x]
 
 
 def transfer(m: Model, text: str, begin: int, end: int) -> np.ndarray:
@@ -166,7 +272,7 @@ def transfer(m: Model, text: str, begin: int, end: int) -> np.ndarray:
         for i in range(min(width, len(text) - begin + 1)):
             out[i] = leave(begin + i)
         return out
-    middle = sum(m.word(text[a:b])[0] for a, b in zip(stops, stops[1:]))
+    middle = float(m.weight[np.frombuffer(m.words(stretches(text[stops[0] : stops[-1]])), dtype="<u4")].sum())
     tail = middle + leave(stops[-1])
     for i in range(width):
         if begin + i > stops[0]:
@@ -194,36 +300,35 @@ def scan(matrices: list[np.ndarray]) -> list[int]:
     return [0, *states[::-1]]
 
 
-def trace_chunk(m: Model, text: str, begin: int, end: int, entry: int, leaving: int) -> list[int]:
+def trace_chunk(m: Model, text: str, begin: int, end: int, entry: int, leaving: int) -> bytes:
     """Ids of the best path from entry past begin to leaving past end."""
-    at, goal = begin + entry, end + leaving
+    at, goal, out = begin + entry, end + leaving, b""
     if at >= goal:
-        return []
-    stops = [x for x in joints(text, at, end) if x > at]
-    out: list[int] = []
-    if stops:
-        total, back = m.best(text, at, stops[0])
-        out += m.trace(text, at, stops[0], back)
-        for a, b in zip(stops, stops[1:]):
-            out += m.word(text[a:b])[1]
-        at = stops[-1]
-    _, back = m.best(text, at, end)
-    return out + m.trace(text, at, goal, back)
-
-
-def decode(m: Model, ids) -> str:
+        return b""
+    if stops := joints(text, at, end):
+        if stops[0] > at:
+            out = m.trace(text, at, stops[0], m.best(text, at, stops[0])[1])
+        out += m.words(stretches(text[stops[0] : stops[1]]))
+        at = stops[1]
+    return out + m.trace(text, at, goal, m.best(text, at, end)[1])
+
+
+def decode(m: Model, raw: bytes) -> str:
     """The text of ids: pieces joined, bytes read as UTF-8, marks made spaces, and the first space taken away."""
-    out = b"".join(bytes([m.of_byte[i]]) if i in m.of_byte else m.names[i].encode() for i in ids).decode("utf-8", "surrogatepass")
-    return out.replace(SPACE, " ")[1:]
+    ids = np.frombuffer(raw, dtype="<u4")
+    if m.high[ids].any():
+        out = b"".join([m.text[i].encode() if m.text[i] is not None else bytes([m.of_byte[i]]) for i in ids.tolist()]).decode("utf-8", "surrogatepass")
+    else:
+        out = "".join(map(m.text.__getitem__, ids.tolist()))
+    return out[1:]
 
 
 CODED = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
-def _coded(doc, ids: list[int], m: Model, text: str) -> tuple:
-    back = decode(m, ids)
-    raw = np.array(ids, dtype="<u4").tobytes()
-    return doc, len(ids), zlib.crc32(raw), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text, raw
+def _coded(doc, raw: bytes, m: Model, text: str) -> tuple:
+    back = decode(m, raw)
+    return doc, len(raw) // 4, zlib.crc32(raw), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text, raw
 
 
 def _rows(rows: list[tuple], keep: bool) -> pa.RecordBatch:
@@ -245,12 +350,15 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids: list[int] = []
-                for w in stretches(marked(text)):
-                    ids += m.word(w)[1]
-                rows.append(_coded(doc, ids, m, text)[: 5 + keep_ids])
+            rows, names, texts, at = [], batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
+            while at < len(texts):
+                parts, held, first = [], 0, at
+                while at < len(texts) and held < AT_ONCE:
+                    parts.append(stretches(marked(texts[at])))
+                    held += len(texts[at])
+                    at += 1
+                m.learn(chain.from_iterable(parts))
+                rows += [_coded(names[first + i], m.words(p), m, texts[first + i])[: 5 + keep_ids] for i, p in enumerate(parts)]
             if rows:
                 yield _rows(rows, keep_ids)
 
@@ -282,7 +390,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            found = [np.array(trace_chunk(m, p, a, a + n, x, y), dtype="<u4").tobytes() for p, a, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size", "entry", "leaving")))]
+            found = [trace_chunk(m, p, a, a + n, x, y) for p, a, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size", "entry", "leaving")))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "i")], pa.array(found, pa.binary())], ["row", "doc_id", "i", "ids"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +398,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
         for batch in batches:
             rows = []
             for doc, parts, digest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "parts", "digest"))):
-                ids = np.concatenate([np.frombuffer(p["ids"], dtype="<u4") for p in parts]).tolist()
-                found = _coded(doc, ids, m, "")
+                found = _coded(doc, b"".join([p["ids"] for p in parts]), m, "")
                 rows.append((*found[:4], found[3] == digest, found[5])[: 5 + keep_ids])
             if rows:
                 yield _rows(rows, keep_ids)
