@@ -123,9 +123,9 @@ def test_passages():
     rng = np.random.default_rng(3)
     a, b, shared = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (300, 200, 80))
     x, y = np.concatenate([a, shared]), np.concatenate([b[:100], shared, b[100:]])
-    (found,) = substrings.passages(x, y, [100 - 300])
+    (found,) = substrings.passages(x, y, [(100 - 300, 300, 379)])
     assert found[:4] == (300, 379, 100, 179) and found[4] == 1.0
-    assert substrings.passages(a, b, [0]) == []
+    assert substrings.passages(a, b, [(0, 0, 9)]) == []
 
 
 def test_cut_spans():
