@@ -54,3 +54,29 @@ def test_only_the_earliest_holder_keeps_a_passage(many):
         left, w = r["text"].split(), texts[r["doc_id"]]
         assert len(left) <= len(w) - len(want[r["doc_id"]])
         assert want[r["doc_id"]] or left == w
+
+
+def test_a_line_common_to_many_texts_does_not_hide_a_passage(spark):
+    random.seed(22)
+    line, rows = prose(46), []
+    ids = random.sample(range(1000), 120)
+    rows.append((-1, prose(70) + line + prose(70)))  # the earliest text has the line alone
+    for p in range(30):  # passages of 52 words that hold the line, each in four texts
+        passage = prose(3) + line + prose(3)
+        rows += [(ids.pop(), prose(random.randint(60, 90)) + passage + prose(random.randint(60, 90))) for _ in range(4)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    want, got = brute_covered(rows), covered(df)
+    lost = sum(not want[d] <= got.get(d, set()) for d, _ in rows)
+    assert lost == 0
+
+
+def test_edited_passages_are_found(spark):
+    random.seed(23)
+    rows = []
+    for p in range(300):  # 60 words, of which the second text has one changed: 51 of 61 shingles are common
+        passage = prose(60)
+        edited = passage[:30] + ["changed"] + passage[31:]
+        rows += [(2 * p, prose(60) + passage + prose(60)), (2 * p + 1, prose(60) + edited + prose(60))]
+    got = covered(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3))
+    assert all(d % 2 for d in got)
+    assert len(got) >= 290
