@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and terms that disclose a protected entity (information-theoretic sanitisation).
 
-The protected entities are what the patterns find: e-mail and IP addresses, card and phone numbers.  A word beside an
-entity discloses it if knowing the word makes the entity nearly certain.  With document frequencies over the whole
+The protected entities are what the patterns find: e-mail and IP addresses, card and phone numbers.  A word of a
+document with an entity discloses it if knowing the word makes the entity nearly certain.  With document frequencies over the whole
 corpus, PMI(entity; word) = log2(n(both) * N / (n(entity) * n(word))) is held against the entity's information
 IC = log2(N / n(entity)): a word whose PMI reaches REMOVE of the IC is removed, one that reaches GENERALISE is
-replaced by its kind.  n(both) counts documents with the word within CONTEXT words of the entity, so the pairs made
-grow with the text and not with its square; pairs in fewer than SUPPORT documents are chance and are not judged.
+replaced by its kind, at every place in the documents that hold the entity.  n(both) counts documents with both
+anywhere.  As n(both) <= n(entity), only words with n(word) <= n(entity) * (N / n(entity)) ** (1 - GENERALISE) can reach
+the threshold; pairs are made of those alone.  Pairs in fewer than SUPPORT documents are chance and are not judged.
 Word frequencies are counted on hashes inside each task before anything is shuffled.
 
 Each pattern is scanned in time linear in the text.  Null texts are empty.  Repeated rows get the same spans (they
@@ -28,7 +29,6 @@ from docsect.llm.common import LOWER, Scratch, free_names, groups, text_bytes, w
 KINDS = ("email", "ip", "card", "phone")
 REMOVE, GENERALISE = 0.95, 0.8
 SUPPORT = 3
-CONTEXT = 8
 AT_ONCE = 4 << 20
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED = 1 << 20
@@ -113,44 +113,56 @@ def trimmed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points[start], points[end], hashes
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(entity, word, start, end) for the words within CONTEXT words of each span, outside all spans."""
+def outside(text: str, base: str) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Each word hash and the places (start, end) of that word, outside all spans."""
     start, end, hashes = trimmed_words(text)
     taken = np.zeros(len(start), dtype=bool)
-    for _, a, b in spans:
-        taken[np.searchsorted(end, a, side="right") : np.searchsorted(start, b)] = True
-    out = set()
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        left, right = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b))
-        for i in [*range(max(0, left - CONTEXT), left), *range(right, min(len(start), right + CONTEXT))]:
-            if not taken[i]:
-                out.add((name, int(hashes[i]), int(start[i]), int(end[i])))
-    return sorted(out)
+    for s in base.split(","):
+        _, a, b = s.split(":")
+        taken[np.searchsorted(end, int(a), side="right") : np.searchsorted(start, int(b))] = True
+    out: dict[int, list[tuple[int, int]]] = {}
+    for h, a, b in zip(hashes[~taken].tolist(), start[~taken].tolist(), end[~taken].tolist()):
+        out.setdefault(h, []).append((a, b))
+    return list(out.items())
 
 
-FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,word:long,start:int,end:int>>"
+FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, held string"
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """Pattern spans of each row, and the words near them.  docs: doc_id, text_key, text."""
-    near = pa.list_(pa.struct([("entity", pa.string()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    """Pattern spans of each row, its entities, and its text if it has any.  docs: doc_id, text_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, base, beside = {k: [] for k in KINDS}, [], []
+            counts, base, entities, held = {k: [] for k in KINDS}, [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in spans))
                 base.append(join_spans(spans))
-                beside.append([dict(zip(("entity", "word", "start", "end"), x)) for x in neighbours(text, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(base, pa.string()), pa.array(beside, near)], [x.split()[0] for x in FOUND.split(", ")])
+                entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                held.append(text if spans else None)
+            columns = [batch.column("doc_id"), batch.column("text_key"), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
     return docs.mapInArrow(run, FOUND)
 
 
+def words_outside(held: DataFrame) -> DataFrame:
+    """A row for each word of each document, with its places.  held: doc, base, held."""
+    places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, base, text in zip(*(batch.column(c) for c in ("doc", "base", "held"))):
+                found = outside(text.as_py(), base.as_py())
+                at = [[{"start": a, "end": b} for a, b in x] for _, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(found), pa.int64()), pa.array([h for h, _ in found], pa.int64()), pa.array(at, places)], ["doc", "word", "places"])
+
+    return held.mapInArrow(run, "doc long, word long, places array<struct<start:int,end:int>>")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word hash and the number of documents with it, in parts to be added up; over every whole text."""
 
@@ -184,18 +196,29 @@ def find_all(docs: DataFrame, scratch: Scratch) -> DataFrame:
     clean = with_clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = scratch.save(find_base(clean), "base")
     # a document, however often its row is repeated
-    near = found.filter(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    met = near.select("doc_id", "text_key", "entity", "word").distinct()
-    both = met.groupBy("entity", "word").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    both = scratch.save(both, "pairs")
-    counted = scratch.save(word_counts(clean).groupBy("word").agg(F.sum("n").alias("n_word")).join(both.select("word").distinct(), "word", "left_semi"), "words")
+    doc = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key").alias("doc")
+    held = found.filter("held is not null").select(doc, "doc_id", "text_key", "base", "entities", "held").dropDuplicates(["doc"])
+    held = scratch.save(held, "held")
     total = F.lit(float(found.count()))
-    having = met.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    judged = both.join(counted, "word").join(having, "entity")
+    holders = held.select("doc", F.explode("entities").alias("entity"))
+    having = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
+    # the most documents that a word may be in to reach the lower threshold, with room for rounding
+    most = F.col("n_entity") * F.pow(total / F.col("n_entity"), F.lit(1 - GENERALISE)) * 1.001
+    holders = scratch.save(holders.join(having.withColumn("most", most), "entity"), "holders")
+    limit = holders.agg(F.max("most")).first()[0] or 0.0
+    able = holders.select("doc").distinct()
+    counted = word_counts(clean).groupBy("word").agg(F.sum("n").alias("n_word")).filter((F.col("n_word") >= SUPPORT) & (F.col("n_word") <= limit))
+    met = scratch.save(words_outside(held.join(able, "doc", "left_semi").select("doc", "base", "held")).join(counted, "word"), "met")
+    both = met.select("doc", "word", "n_word").join(holders, "doc").filter(F.col("n_word") <= F.col("most"))
+    both = both.groupBy("entity", "word", "n_word", "n_entity").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
     ic = F.log2(total / F.col("n_entity"))
     pmi = F.log2(F.col("both") * total / (F.col("n_entity") * F.greatest("n_word", "both")))
-    judged = judged.select("entity", "word", F.when((ic > 0) & (pmi >= REMOVE * ic), "remove").when((ic > 0) & (pmi >= GENERALISE * ic), "generalise").alias("action")).filter("action is not null")
-    terms = near.distinct().join(judged, ["entity", "word"]).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+    judged = both.select("entity", "word", F.when((ic > 0) & (pmi >= REMOVE * ic), "remove").when((ic > 0) & (pmi >= GENERALISE * ic), "generalise").alias("action")).filter("action is not null")
+    judged = scratch.save(judged, "judged")
+    verdicts = holders.select("doc", "entity").join(judged, "entity").select("doc", "word", "action").distinct()
+    places = met.join(verdicts, ["doc", "word"]).select("doc", "action", F.explode("places").alias("p"))
+    terms = places.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("p.start", "p.end", "action"))).alias("terms"))
+    terms = terms.join(held.select("doc", "doc_id", "text_key"), "doc")
     terms = terms.select(F.col("doc_id").alias("t_doc"), F.col("text_key").alias("t_key"), "terms")
     same = (found["text_key"] == terms["t_key"]) & found["doc_id"].eqNullSafe(terms["t_doc"])
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from docsect.llm import substrings
+from docsect.llm import pii, substrings
+from docsect.llm.common import Scratch
 
 random.seed(21)
 VOCABULARY = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8))) for _ in range(3000)]
@@ -80,3 +81,22 @@ def test_edited_passages_are_found(spark):
     got = covered(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3))
     assert all(d % 2 for d in got)
     assert len(got) >= 290
+
+
+def test_disclosing_terms_are_found_and_masked_in_the_whole_document(spark):
+    random.seed(24)
+    common = prose(60)
+
+    def filler(n):
+        return " ".join(random.choice(common) for _ in range(n))
+
+    # zebra stands far from the address, and twice
+    rows = [(i, f"x@y.org {filler(30)} zebra {filler(40)} Zebra, end") for i in range(6)] + [(10 + i, filler(80)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["terms"] for r in pii.find_all(df, Scratch(spark, "test")).collect()}
+    texts = dict(rows)
+    for i in range(6):
+        assert [texts[i][t["start"] : t["end"]] for t in found[i]][:2] == ["zebra", "Zebra"]
+    assert all(not found[10 + i] for i in range(80))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("zebra" not in clean[i].lower() and "x@y.org" not in clean[i] for i in range(6))
