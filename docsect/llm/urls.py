@@ -39,9 +39,11 @@ def validity(entries: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("day").over(ahead)).filter("action = 'add'").select("pattern", F.col("day").alias("listed_on"), "until")
 
 
-def as_of(captures: DataFrame, entries: DataFrame, horizon: str = "2035-01-01") -> DataFrame:
-    """captures with blocked, pattern, listed_on and until.  captures: host, fetched_on and others.  horizon: a day after all captures."""
-    open_end = F.coalesce("until", F.to_date(F.lit(horizon)))
+def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """captures with blocked, pattern, listed_on and until.  captures: host, fetched_on and others."""
+    # an open entry holds until the day after the last capture
+    horizon = captures.agg(F.date_add(F.max("fetched_on"), 1)).first()[0]
+    open_end = F.coalesce("until", F.lit(horizon).cast("date"))
     months = F.sequence(F.trunc("listed_on", "month"), F.trunc(open_end, "month"), F.expr("interval 1 month"))
     spans = validity(entries).filter(F.col("listed_on") < open_end).withColumn("month", F.explode(months))
     days = captures.select("host", "fetched_on").filter("host is not null and fetched_on is not null").distinct()
