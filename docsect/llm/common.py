@@ -6,7 +6,9 @@ multi-byte UTF-8 sequence, so words can be cut on bytes.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -31,12 +33,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver see: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder every executor and the driver see: spark.checkpoint.dir, or on one machine a new local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             base = tempfile.mkdtemp(prefix="docsect-shared-")
             spark.sparkContext.setCheckpointDir(base)
@@ -44,29 +48,68 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: What a finished statement has shuffled is deleted at its end; its result has been written.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables of one operator run, written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables of one operator run, written to the shared folder: they cut lineage and outlive lost executors.
+
+    Tables go as soon as they have been read for the last time (drop, leave); what an operator's result still reads
+    stays until its caller, who knows when the result has been written, calls clear() on what collected() has gathered.
+    """
+
+    _gathered: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/docsect-{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.count, self.saved = spark, f"{shared_dir(spark)}/docsect-{name}-{uuid.uuid4().hex}", 0, []
+        for each in self._gathered:
+            each.append(self)
+
+    @classmethod
+    @contextlib.contextmanager
+    def collected(cls):
+        """Inside, every new Scratch is put on the list that this gives."""
+        mine: list[Scratch] = []
+        cls._gathered.append(mine)
+        try:
+            yield mine
+        finally:
+            cls._gathered.remove(mine)
 
     def path(self, tag: str) -> str:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{tag}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
-        path = self.path(tag)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path, before = self.path(tag), self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.saved.append((out, path))
+        return out
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes saved tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in frames:
-            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                if self.root.split("docsect-")[-1] in folder:
-                    path.getFileSystem(conf).delete(path, True)
+        for df, path in self.saved:
+            if any(df is x for x in frames):
+                self._delete(path)
+        self.saved = [x for x in self.saved if not any(x[0] is y for y in frames)]
+
+    def leave(self, *frames: DataFrame) -> None:
+        """Deletes all saved tables but these."""
+        self.drop(*[df for df, _ in self.saved if not any(df is x for x in frames)])
+
+    def clear(self) -> None:
+        self._delete(self.root)
+        self.saved = []
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
