@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as a Unicode-aware strip() sees it.
-WS = r"[\s\x0B\x1c-\x1f\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-STRIP = f"^{WS}+|{WS}+\\z"
+#: White space as a Unicode-aware strip() sees it, and as a class of patterns without the newline.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+INLINE = r"[\t\x0B\f\r\x1c-\x20\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Technical terms that count as keywords (fixed values).
 TERMS = (
     "install", "setup", "config", "api", "auth", "oauth", "token", "key", "secret",
@@ -18,7 +18,7 @@ MAX_KEYWORDS = 20
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def slugify(text: Column) -> Column:
@@ -37,11 +37,11 @@ def file_prefix(file: Column) -> Column:
 
 def keywords(content: Column) -> Column:
     """Code spans, identifiers and technical terms: lower case, 3 to 29 characters, sorted, the first 20."""
+    whole = lambda words: F.lit(r"(?<![\p{L}\p{N}_])(?:" + words + r")(?![\p{L}\p{N}_])")
     spans = F.regexp_extract_all(content, F.lit("`([^`]+)`"), F.lit(1))
-    runs = F.split(content, r"[^\p{L}\p{N}_]+")
-    names = F.filter(runs, lambda w: w.rlike(r"^(?:[a-z]+[A-Z][a-zA-Z]*|[a-z]+_[a-z_]+)\z"))
-    terms = F.filter(F.transform(runs, F.lower), lambda w: w.isin(*TERMS))
-    every = F.transform(F.concat(spans, names, terms), lambda w: strip(F.lower(w)))
+    names = F.regexp_extract_all(content, whole("[a-z]+[A-Z][a-zA-Z]*|[a-z]+_[a-z_]+"), F.lit(0))
+    terms = F.regexp_extract_all(F.lower(content), whole("|".join(TERMS)), F.lit(0))
+    every = F.transform(F.array_distinct(F.concat(spans, names, terms)), lambda w: strip(F.lower(w)))
     return F.slice(F.array_sort(F.array_distinct(F.filter(every, lambda w: F.length(w).between(3, 29)))), 1, MAX_KEYWORDS)
 
 
@@ -51,20 +51,21 @@ def content_suffix(content: Column) -> Column:
 
 
 def _first_line(content: Column, refuse: str) -> Column:
-    lines = F.transform(F.split(content, "\n"), strip)
-    return F.try_element_at(F.filter(lines, lambda x: (x != "") & ~x.rlike(refuse)), F.lit(1))
+    """The first line that is not blank and does not begin with refuse; null where there is none."""
+    line = F.regexp_extract(content, rf"(?:^|\n){INLINE}*(?!{refuse})((?!{INLINE})[^\n]+)", 1)
+    return F.nullif(strip(line), F.lit(""))
 
 
 def simple_summary(title: Column, content: Column) -> Column:
     """The first line of prose, at most 120 characters, or else the title."""
-    line = _first_line(content, "^(?:#|```)")
+    line = _first_line(content, "#|```")
     cut = F.when(F.length(line) > 120, F.concat(F.substring(line, 1, 120), F.lit("..."))).otherwise(line)
     return F.coalesce(cut, title)
 
 
 def fallback_summary(title: Column, content: Column) -> Column:
     """The first line that is no heading, cut at 100 characters, or else the title."""
-    return F.coalesce(F.substring(_first_line(content, "^#"), 1, 100), title)
+    return F.coalesce(F.substring(_first_line(content, "#"), 1, 100), title)
 
 
 def short_summary(content: Column, line_count: Column) -> Column:

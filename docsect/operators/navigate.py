@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsect.functions import safety
+from docsect.operators.sections import scan
 
 
 def filter_sections(sections: DataFrame, path_prefix: str | None = None, max_depth: int | None = None, file_pattern: str | None = None) -> DataFrame:
@@ -44,9 +45,10 @@ def search(sections: DataFrame, query: str, max_results: int = 10, **filters) ->
     """The best sections; ties in index order."""
     if max_results < 0:
         raise ValueError("max_results is negative")
-    found = filter_sections(sections, **filters).withColumn("score", score(query)).filter("score > 0")
+    found = filter_sections(sections, **filters).withColumn("score", score(query))
     columns = ["repo", "id", "file", "path", "title", "depth", "summary", F.slice("keywords", 1, 5).alias("keywords"), "score", "seq"]
-    return found.select(*columns).orderBy(F.desc("score"), "repo", "file", "seq").limit(max_results)
+    # hits come before all others, so they are told apart after the limit: a filter below would compute every score twice
+    return found.select(*columns).orderBy(F.desc("score"), "repo", "file", "seq").limit(max_results).filter("score > 0")
 
 
 def first_by_id(sections: DataFrame) -> DataFrame:
@@ -55,11 +57,32 @@ def first_by_id(sections: DataFrame) -> DataFrame:
     return sections.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+REQUESTS = 1024  # sections that are cut from one copy of a file
+
+
+def cut(places: DataFrame, files: DataFrame) -> DataFrame:
+    """places (repo, file, byte_offset, byte_length and others) with content, the text of that range; null without a file.
+
+    A file meets REQUESTS of its ranges at a time, not each of them.
+    """
+    own = [c for c in places.columns if c not in ("repo", "file")]
+    part = F.when(F.col("file").isNull(), F.monotonically_increasing_id()).otherwise(F.pmod(F.xxhash64("byte_offset"), F.lit(1 << 40)))
+    counted = places.groupBy("repo", "file").agg(F.ceil(F.count("*") / REQUESTS).alias("_parts"))
+    dealt = places.join(counted, ["repo", "file"], "left").withColumn("_part", F.when(F.col("file").isNull(), part).otherwise(F.pmod(part, F.col("_parts"))))
+    lists = dealt.groupBy("repo", "file", "_part").agg(F.collect_list(F.struct(*own)).alias("_places"))
+    text = files.select("repo", "file", F.encode("content", "UTF-8").alias("_raw"))
+    cut_out = lambda raw, x: F.decode(F.substring(raw, (x["byte_offset"] + 1).cast("int"), x["byte_length"].cast("int")), "UTF-8")
+    # the bytes are bound as an array's one element, so that they are made once a row
+    each = lambda raw: F.transform("_places", lambda x: F.struct(x.alias("p"), cut_out(raw, x).alias("content")))
+    rows = lists.join(text, ["repo", "file"], "left").select("repo", "file", F.explode(F.flatten(F.transform(F.array("_raw"), each))).alias("_x"))
+    return rows.select("repo", "file", "_x.p.*", "_x.content")
+
+
 def fetch(requests: DataFrame, sections: DataFrame, files: DataFrame) -> DataFrame:
     """The text of sections asked for by (pos, repo, id), by their byte ranges; a miss has an error instead."""
-    found = requests.join(first_by_id(sections), ["repo", "id"], "left").join(files.select("repo", "file", F.col("content").alias("_whole")), ["repo", "file"], "left")
-    part = F.substring(F.encode("_whole", "UTF-8"), (F.col("byte_offset") + 1).cast("int"), F.col("byte_length").cast("int"))
-    return found.select("pos", "repo", "id", "file", "title", "depth", "byte_offset", "byte_length", F.decode(part, "UTF-8").alias("content"), F.when(F.col("file").isNull(), F.concat(F.lit("Section not found: "), "id")).alias("error"))
+    found = requests.join(first_by_id(sections), ["repo", "id"], "left").select("pos", "repo", "id", "file", "title", "depth", "byte_offset", "byte_length")
+    error = F.when(F.col("file").isNull(), F.concat(F.lit("Section not found: "), "id"))
+    return cut(found, files).select("pos", "repo", "id", "file", "title", "depth", "byte_offset", "byte_length", "content", error.alias("error"))
 
 
 def tree_edges(sections: DataFrame) -> DataFrame:
@@ -69,19 +92,17 @@ def tree_edges(sections: DataFrame) -> DataFrame:
     return s.join(p, ["repo", "file", "parent"], "left").select("repo", "file", "seq", "id", "title", "depth", "parent", "parent_seq")
 
 
-def ancestor_paths(sections: DataFrame, levels: int = 26) -> DataFrame:
-    """Ids from root to section.  Parents come before their children and a chain has a node a depth, so levels bounds it."""
-    order = Window.partitionBy("repo", "file").orderBy("seq")
-    before = F.collect_list(F.struct("id", "parent")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    step = lambda acc, _: F.when(acc["up"].isNull(), acc).otherwise(
-        F.struct(
-            F.try_element_at(F.filter("_before", lambda x: x["id"] == acc["up"]), F.lit(1))["parent"].alias("up"),
-            F.concat(F.array(acc["up"]), acc["path"]).alias("path"),
-        )
-    )
-    start = F.struct(F.col("parent").alias("up"), F.array("id").alias("path"))
-    walked = sections.withColumn("_before", before).withColumn("ancestors", F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step)["path"])
-    return walked.select("repo", "file", "seq", "id", "ancestors", (F.size("ancestors") - 1).cast("long").alias("level"))
+def ancestor_paths(sections: DataFrame) -> DataFrame:
+    """Ids from root to section.
+
+    A section's parent is one of those that are open where it stands, so one pass over a file, with the open ones as state,
+    gives all paths.  An unknown parent makes a root.
+    """
+    files = sections.groupBy("repo", "file").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "parent"))).alias("rows"))
+    path = lambda s, x: F.concat(F.slice(s, F.lit(1), F.size(s) - F.coalesce(F.nullif(F.array_position(F.reverse(s), x["parent"]), F.lit(0)) - 1, F.size(s).cast("long")).cast("int")), F.array(x["id"]))
+    out = files.withColumn("paths", scan(F.col("rows"), F.array().cast("array<string>"), "array<string>", path, path))
+    rows = out.select("repo", "file", F.explode(F.arrays_zip("rows", "paths")).alias("x"))
+    return rows.select("repo", "file", "x.rows.seq", "x.rows.id", F.col("x.paths").alias("ancestors"), (F.size("x.paths") - 1).cast("long").alias("level"))
 
 
 def catalog(sections: DataFrame, files: DataFrame) -> DataFrame:

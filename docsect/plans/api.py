@@ -50,13 +50,7 @@ class Tools:
 
     def _parse(self, use_ai: bool):
         ask = self.ask if use_ai and not local_only() else None
-        # files hold the cleaned text already, so .mdx ones are parsed as Markdown
-        def parse(files: DataFrame) -> DataFrame:
-            is_rst = F.lower("file").endswith(".rst")
-            found = P.complete(P.rst(files.filter(is_rst)).unionByName(P.markdown(files.filter(~is_rst))))
-            return summarize(found, ask) if ask else found
-
-        return parse
+        return lambda files: summarize(P.parse_stored(files), ask) if ask else P.parse_stored(files)
 
     def _index(self, repo: str, raw: DataFrame, names: list[str], commit: str, use_ai: bool, incremental: bool) -> dict:
         files, bad = self._prepare(raw)

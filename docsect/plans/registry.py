@@ -294,9 +294,8 @@ def search_empty_query(spark, sf_dir):
 @query(ROOT + " SELECT s.repo, s.file, s.seq, decode(encode(p.content)[s.byte_offset + 1 : s.byte_offset + s.byte_length]) AS content, true AS same FROM sections_ s JOIN pages_ p USING (repo, file)")
 def section_content(spark, sf_dir):
     s = _sections(spark, sf_dir)
-    files = C.pages(spark, sf_dir).select("repo", "file", F.col("content").alias("whole"))
-    part = F.decode(F.substring(F.encode("whole", "UTF-8"), (F.col("byte_offset") + 1).cast("int"), F.col("byte_length").cast("int")), "UTF-8")
-    return s.join(files, ["repo", "file"]).select("repo", "file", "seq", part.alias("content"), (part == F.col("content")).alias("same"))
+    asked = s.select("repo", "file", "seq", "byte_offset", "byte_length", F.sha2("content", 256).alias("hash"))
+    return N.cut(asked, C.pages(spark, sf_dir)).select("repo", "file", "seq", "content", (F.sha2("content", 256) == F.col("hash")).alias("same"))
 
 
 _ASK = "SELECT doc_id AS pos, 'docs/' || lang AS repo, CASE WHEN doc_id % 3 = 0 THEN 'no-such-id' ELSE " + C.fill(C.PREFIX, "(lang || '/' || source || '/doc_' || doc_id || '.md')") + " || '-root' END AS id FROM documents"
