@@ -17,14 +17,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = scratch.save(both, "links")
     label = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"))
-    label = scratch.save(label, "labels")
+    label = saved = scratch.save(label, "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         least = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = scratch.save(least.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")), "labels")
         changed = new.filter("component <> old").limit(1).count()
-        scratch.drop(label)
-        label = new.select("node", "component")
+        scratch.drop(saved)
+        saved, label = new, new.select("node", "component")
         if not changed:
+            scratch.drop(both)
             return label

@@ -7,15 +7,18 @@ less variance than as many minima.  The signature is cut into 32 bands of two mi
 Documents with equal shingle sets are one node from the start.  Nodes that share a band are candidates, but a
 bucket never becomes all its pairs.  First, shingles that only one candidate has are counted: two sets share at most
 the other ones, which bounds their similarity from above and rules out, without loss, most nodes that met by chance
-and heavily edited copies.  What is left of a bucket is linked to its smallest node, links are confirmed on the
-full sets, and the confirmed links' components are found.  Where a bucket still spans several components, the
-nodes outside its most frequent component are compared with all nodes of other components in it, until no bucket
-holds two components with an unconfirmed pair between them.  So every pair that shares a band either is compared
-or already belongs together, however large the bucket.
+and heavily edited copies.  What is left of a bucket is linked to its head, the node with the smallest share of shingles
+of its own (of edited copies, the original), links are confirmed on the full sets, and the confirmed links' components
+are found.  Where a bucket still spans several components, the nodes outside its most frequent component meet another
+head of that component in each of STAR_ROUNDS rounds.  By then each node's intersection with its bucket's head is
+known, and two nodes share at most the smaller of these intersections and the smaller of what either shares with others
+beyond its head; only pairs of different components that this bound lets through are compared.  So every pair that
+shares a band is compared, or ruled out by a bound, or already belongs together, however large the bucket.
 
 Null and empty texts have the empty set and are linked with nothing.  Texts under five words are one shingle.
 Repeated rows fall together.  doc_id may be null or repeated: a group takes its smallest non-null doc_id, and a
-row without doc_id is kept only if its whole group has none.  Ties go to the smallest digest.
+row without doc_id is kept only if its whole group has none.  Ties go to the smallest digest.  Very long texts are worked
+on one at a time.  Extra columns are ignored, or passed on by keep_first().  An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ HASHES = 64
 BANDS = 32
 SIMILARITY = 75  # per cent
 AT_ONCE = 4 << 20
-#: Rounds that link what is left of a bucket to one node of its main component, before the rest is compared in full.
+#: Rounds that link what is left of a bucket to one node of its main component, before the pairs that the bound lets through are compared.
 STAR_ROUNDS = 1
 
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -131,78 +134,86 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
+def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with same, the size of their full sets' intersection, and both sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            same, sizes = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
+                sizes.append((len(x), len(y)))
                 if len(x) > len(y):
                     x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * same >= similarity * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                same.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int64()), *[pa.array([z[i] for z in sizes], pa.int64()) for i in (0, 1)]], ["a", "b", "same", "n_a", "n_b"])
 
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, same long, n_a long, n_b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, text_key, n_shingles, digest, component_id and kept, a row for each row of docs."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     table = scratch.save(sketch(docs), "sketches")
     first = table.filter("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least"))
     nodes = scratch.save(first.select("digest", "least", "first.doc_id", "first.text_key"), "nodes")
     # one row stands for each set; its bands go on
     same = (table["digest"] == nodes["digest"]) & (table["text_key"] == nodes["text_key"]) & table["doc_id"].eqNullSafe(nodes["doc_id"])
-    alone = table.filter("n > 0").join(nodes, same, "left_semi").dropDuplicates(["digest"])
-    bands = scratch.save(alone.select("digest", "n", F.explode("keys").alias("key")), "bands")
+    alone = scratch.save(table.filter("n > 0").join(nodes, same, "left_semi").dropDuplicates(["digest"]).select("digest", "n", "keys"), "alone")
+    bands = alone.select("digest", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = scratch.save(bands.join(shared.select("key"), "key"), "members")
-    scratch.drop(bands)
+    members = scratch.save(bands.join(shared.select("key").hint("merge"), "key"), "members")
+    scratch.drop(alone)
     wanted = members.select("digest").distinct().join(nodes, "digest").select("doc_id", "text_key")
     clean = with_clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    w = wanted.select(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"))
+    w = wanted.select(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key")).hint("merge")
     texts = clean.join(w, (clean["text_key"] == w["w_key"]) & clean["doc_id"].eqNullSafe(w["w_doc"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
     sets = scratch.save(full_sets(texts).dropDuplicates(["digest"]), "sets")
 
     # m: the shingles that some other candidate has; two sets share at most the smaller m
     own = scratch.save(own_shingles(sets), "own")
     met = members.withColumn("node", F.xxhash64("digest")).join(own, "node", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
-    members = scratch.save(met.filter(100 * F.col("m") >= similarity * F.col("n")).select("key", "digest", "n", "m"), "members")
-
-    def alike(n, m, n2, m2):
-        most = F.least(m, m2)
-        return 100 * most >= similarity * (n + n2 - most)
-
-    heads = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("digest", "n", "m")).alias("head")).filter("size > 1")
-    stars = members.join(heads, "key").filter((F.col("digest") != F.col("head.digest")) & alike(F.col("n"), F.col("m"), F.col("head.n"), F.col("head.m")))
-    pairs = scratch.save(stars.select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
-    tried = pairs
-    links = scratch.save(confirm(pairs, sets, similarity), "confirmed")
-    places = members
+    candidates = scratch.save(met.filter(100 * F.col("m") >= similarity * F.col("n")).select("key", "digest", "n", "m"), "candidates")
+    scratch.drop(own, members)
+    enough = lambda common, n, n2: 100 * common >= similarity * (n + n2 - common)
+    share = F.floor(1000 * (F.col("n") - F.col("m")) / F.col("n")).alias("share")
+
+    heads = candidates.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(share, "digest", "n", "m")).alias("head")).filter("size > 1")
+    members = scratch.save(candidates.join(heads.select("key", "head"), "key").select("key", "digest", "n", "m", F.col("head.digest").alias("head"), F.col("head.n").alias("head_n"), F.col("head.m").alias("head_m")), "members")
+    scratch.drop(candidates)
+    stars = members.filter(F.col("digest") != F.col("head")).filter(enough(F.least("m", "head_m"), F.col("n"), F.col("head_n")))
+    tried = scratch.save(intersections(stars.select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct(), sets), "tried")
+    links = tried.filter(enough(F.col("same"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    # i: shingles in common with the head; x: those shared with other candidates beyond it; bounds where the two were not compared
+    known = members.join(tried.select(F.col("a").alias("head"), F.col("b").alias("digest"), "same"), ["head", "digest"], "left")
+    itself = F.col("digest") == F.col("head")
+    i = F.when(itself, F.col("n")).otherwise(F.coalesce("same", F.least("m", "head_m"))).alias("i")
+    x = F.when(itself, 0).otherwise(F.coalesce(F.greatest(F.col("m") - F.col("same"), F.lit(0)), "m")).alias("x")
+    members = scratch.save(known.select("key", "digest", "n", "m", i, x), "places")
     found = components(links, scratch)
     for turn in range(STAR_ROUNDS + 1):
-        now = places.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-        now = scratch.save(now, "places")
+        now = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        now = scratch.save(now, "now")
         # the most frequent component of each bucket that still spans several, and one of its nodes, another each turn
-        by = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("order"), "digest", "n", "m")).alias("one"))
-        main = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "one")).alias("main")).filter("parts > 1")
-        main = scratch.save(main.select("key", F.col("main.component").alias("main"), F.col("main.one").alias("head")), "main")
-        outside = now.join(main, "key").filter("component <> main")
+        order = F.struct(share, F.xxhash64("digest", F.lit(turn)).alias("order"), "digest", "n", "m")
+        by = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(order).alias("one"), F.min("n").alias("shortest"))
+        main = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "one")).alias("main"), F.min("shortest").alias("shortest")).filter("parts > 1")
+        main = main.select("key", F.col("main.component").alias("main"), F.col("main.one").alias("head"), "shortest")
+        outside = scratch.save(now.join(main, "key").filter("component <> main").filter(enough(F.col("m"), F.col("n"), F.greatest("shortest", "m"))), "outside")
         if turn < STAR_ROUNDS:
-            fresh = outside.filter(alike(F.col("n"), F.col("m"), F.col("head.n"), F.col("head.m"))).select(F.least("head.digest", "digest").alias("a"), F.greatest("head.digest", "digest").alias("b"))
+            fresh = outside.filter(enough(F.least("m", "head.m"), F.col("n"), F.col("head.n"))).select(F.least("head.digest", "digest").alias("a"), F.greatest("head.digest", "digest").alias("b"))
         else:
-            o, m = outside.select("key", "digest", "n", "m", "component", "main").alias("o"), now.alias("m")
-            apart = (F.col("o.key") == F.col("m.key")) & (F.col("o.component") != F.col("m.component")) & alike(F.col("o.n"), F.col("o.m"), F.col("m.n"), F.col("m.m"))
-            once = (F.col("m.component") == F.col("o.main")) | (F.col("o.digest") < F.col("m.digest"))
-            fresh = o.join(m, apart & once).select(F.least("o.digest", "m.digest").alias("a"), F.greatest("o.digest", "m.digest").alias("b"))
-        fresh = scratch.save(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            o, v = outside.alias("o"), now.alias("v")
+            common = F.least(F.least("o.i", "v.i") + F.least("o.x", "v.x"), "o.m", "v.m")
+            apart = (F.col("o.key") == F.col("v.key")) & (F.col("o.component") != F.col("v.component")) & enough(common, F.col("o.n"), F.col("v.n"))
+            once = (F.col("v.component") == F.col("o.main")) | (F.col("o.digest") < F.col("v.digest"))
+            fresh = o.join(v, apart & once).select(F.least("o.digest", "v.digest").alias("a"), F.greatest("o.digest", "v.digest").alias("b"))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = scratch.save(intersections(fresh.distinct().join(done, ["a", "b"], "left_anti"), sets), "tried")
+        new = fresh.filter(enough(F.col("same"), F.col("n_a"), F.col("n_b"))).select("a", "b")
         tried = tried.unionByName(fresh)
-        new = scratch.save(confirm(fresh, sets, similarity), "confirmed")
+        scratch.drop(now, outside)
         if new.head(1):
             links = links.unionByName(new)
             found = components(links, scratch)
@@ -211,6 +222,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "component").select(F.col("node").alias("digest"), "component_id")
     known = scratch.save(nodes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    scratch.leave(table, known)
     out = table.join(known, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "digest", "component_id", kept.alias("kept"))
@@ -220,9 +232,13 @@ def keep_first(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group, with the columns it came with; of repeated rows, one."""
     scratch = Scratch(docs.sparkSession, "keep-first")
     key, kept_id, kept_key = free_names(docs, "_text_key", "_kept_id", "_kept_key")
-    verdict = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
+    with Scratch.collected() as read:
+        verdict = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
     verdict = scratch.save(verdict, "kept")
+    for x in read:
+        x.clear()
     marked = docs.withColumn(key, F.xxhash64("text"))
+    verdict = verdict.hint("merge")
     kept = marked.join(verdict, (marked[key] == verdict[kept_key]) & marked["doc_id"].cast("long").eqNullSafe(verdict[kept_id]), "left_semi")
     return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
