@@ -1,27 +1,31 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The best segmentation of a text into scored pieces is a path of largest sum, so a chunk of a text acts on the scores at
-its left border as a matrix in the (max, +) semiring.  The state at a border is how many characters of a piece
-reach over it, less than the longest piece.  Chunks yield their matrices independently, the matrices of a text are
-combined by an associative scan, which gives each border its state on the best path, and every chunk then traces its
-own part back from the states at its two ends.  A text of any length is thus worked on by many tasks at once.
-
-Pieces hold the space mark only at their start, so at each space mark that follows another character every path
-passes through one point.  Between the first and last such point of a chunk the words are scored one by one (and
-remembered); only the ends of a chunk need the full matrix.  Runs of spaces are words of their own.
-
-The vocabulary file gives the pieces and scores.  The model is the unigram one: largest sum of scores, unknown
-characters at the lowest score less ten, spelt as bytes.  Of equal sums a stretch takes the longer last piece; where a
-border falls into a word with two best paths, the chunks may take the other one.  (The merges of a BPE model are another rule and give other ids for some words; the file on this machine
-is of that kind and its ranks serve as scores here.)  Decoding joins the pieces, so any text comes back exactly, save
-that a string may hold no U+2581, which stands for the space.
-
-Null and empty texts have no pieces.  Repeated rows are encoded each; doc_id may be null or repeated.
+The vocabulary is one of merges: the pair of neighbours whose union is the best scored piece is merged first, the
+leftmost of equal ones.  A row of pieces is the encoding of its text exactly if each two neighbours are the encoding of
+what they spell together.  So the encoding is a path over the text, on which neighbouring pieces have to agree (weight 0,
+else minus infinity), and a chunk of a text acts on the paths that reach its left border as a matrix in the (max, +)
+semiring.  The state at a border is the piece that reaches over it or ends there.  Chunks yield their matrices
+independently, the matrices of a text are combined by an associative scan, in blocks of BLOCK chunks and then over the
+blocks, which gives each border its state on the one path that goes through, and every chunk then traces its own part
+back between the states at its ends.  A text of any length is thus worked on by many tasks at once, and its ids
+are the same for all sizes of chunks.
+
+Pieces hold the space mark only at their start, so at each space mark that follows another character no piece passes.
+Between the first and last such joint of a chunk the words are encoded one by one (and remembered, many at a time, as
+arrays); only the ends of a chunk need the paths.  Runs of spaces are words of their own.
+
+The vocabulary file gives pieces and scores; the ids are those of the library (tested).  Unknown characters are spelt as
+bytes.  Decoding joins the pieces, so any text comes back exactly, save that a string may hold no U+2581, which stands
+for the space.
+
+Null and empty texts have no pieces.  Repeated rows are encoded each; doc_id may be null or repeated.  Extra columns are
+ignored.  An empty table has no rows.  No ties are left open: of equal scores the leftmost pair is merged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from array import array
@@ -38,11 +42,10 @@ from docsect.llm.common import Scratch, with_clear_names
 
 SPACE = "▁"
 CHUNK = 1 << 14  # characters
-UNKNOWN = -10.0
+BLOCK = 256  # chunks
 REMEMBERED = 700_000
 LOW = float("-inf")
-SHORT = 40  # characters of a word that is worked on together with others; under 64
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SHORT = 40  # characters of a word that is worked on together with others
 AT_ONCE = 1 << 20  # characters
 #: Before a run of space marks that follows another character.
 JOINT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -50,7 +53,7 @@ _models: dict[str, Model] = {}
 
 
 class Model:
-    """Pieces, scores and bytes of a SentencePiece file."""
+    """Pieces, merges and bytes of a SentencePiece file."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -60,66 +63,74 @@ class Model:
         usable = [i for i in range(n) if not (file.is_control(i) or file.is_unknown(i) or file.is_byte(i) or file.is_unused(i))]
         self.names = [file.id_to_piece(i) for i in range(n)]
         self.ids = {self.names[i]: i for i in usable}
-        self.score = {self.names[i]: file.get_score(i) for i in usable}
+        if any(JOINT.search(x) for x in self.ids):
+            raise ValueError("pieces of this model pass from one word to the next")
         self.byte = {int(self.names[i][1:-1], 16): i for i in range(n) if file.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
-        self.unknown = min(self.score.values()) + UNKNOWN
         self.longest = max(map(len, self.ids))
-        # every beginning of a piece, with the piece's score or None
-        self.reach: dict[str, float | None] = {name[:i]: None for name in self.ids for i in range(1, len(name))} | self.score
+        # what two pieces merge to, and the place of that merge: the best score is 0
+        order = {score: r for r, score in enumerate(sorted({file.get_score(i) for i in usable}, reverse=True))}
+        place = {i: order[file.get_score(i)] for i in usable}
+        self.merge = {(self.ids[x[:k]], self.ids[x[k:]]): (place[i], i) for x, i in self.ids.items() for k in range(1, len(x)) if x[:k] in self.ids and x[k:] in self.ids}
+        keys = np.array([a * n + b for a, b in self.merge], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.places, self.goals = keys[order], *(np.array([x[i] for x in self.merge.values()], dtype=np.int64)[order] for i in (0, 1))
+        letters = sorted((ord(x), i) for x, i in self.ids.items() if len(x) == 1)
+        self.letters, self.letter_ids = (np.array([x[i] for x in letters], dtype=np.int64) for i in (0, 1))
         self.known: dict[str, bytes] = {}
-        self.by_size = None
-        # by id: the score (a byte that begins an unknown character stands for it), and the text, None for bytes over 127
-        self.weight = np.array([self.score.get(x, 0.0) for x in self.names])
-        for byte, i in self.byte.items():
-            self.weight[i] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown
+        self.agreed: dict[tuple[str, str], bool] = {}
         self.text = [x.replace(SPACE, " ") for x in self.names]
         for byte, i in self.byte.items():
             self.text[i] = chr(byte) if byte < 0x80 else None
         self.high = np.array([x is None for x in self.text])
 
-    def best(self, text: str, begin: int, stop: int) -> tuple[list[float], list[int]]:
-        """Largest sums from begin to each place up to stop plus the reach of a piece, and where the last piece begins."""
-        last = min(len(text), stop + self.longest)
-        total, back, reach = [LOW] * (last - begin + 1), [-1] * (last - begin + 1), self.reach
-        total[0] = 0.0
-        for at in range(begin, stop):
-            here, i = total[at - begin], at - begin
-            if here == LOW:
+    def cuts(self, text: str) -> list[str]:
+        """The pieces of one stretch, an unknown character each as itself: merges from a heap, best first."""
+        parts, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        ids = [self.ids.get(c, -1) for c in parts]
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < len(parts) and (m := self.merge.get((ids[i], ids[j]))):
+                heapq.heappush(heap, (m[0], i, j, ids[i], ids[j]))
+
+        for i in range(len(parts)):
+            offer(i)
+        while heap:
+            _, i, j, x, y = heapq.heappop(heap)
+            if after[i] != j or ids[i] != x or ids[j] != y:  # one of them was merged meanwhile
                 continue
-            one = False
-            for end in range(at + 1, last + 1):
-                s = reach.get(text[at:end], 0.5)
-                if s == 0.5:  # no piece begins like this; scores of pieces are not positive
-                    break
-                if s is not None:
-                    one = one or end == at + 1
-                    if here + s > total[end - begin]:
-                        total[end - begin], back[end - begin] = here + s, i
-            if not one and here + self.unknown > total[i + 1]:
-                total[i + 1], back[i + 1] = here + self.unknown, i
-        return total, back
-
-    def spell(self, text: str, begin: int, cuts: list[int]) -> list[int]:
-        """Ids of the pieces between cuts; unknown ones as bytes."""
-        out = []
-        for a, b in zip([begin, *cuts], cuts):
-            piece = text[a:b]
-            if (i := self.ids.get(piece)) is not None:
+            parts[i] += parts[j]
+            ids[i], ids[j], after[i] = self.merge[x, y][1], -2, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [parts[i] for i in range(len(parts)) if ids[i] != -2]
+
+    def agree(self, x: str, y: str) -> bool:
+        """Whether two neighbouring pieces stay as they are; an empty x stands before the text."""
+        if (known := self.agreed.get((x, y))) is None:
+            if len(self.agreed) > REMEMBERED:
+                self.agreed.clear()
+            known = self.agreed[x, y] = self.cuts(x + y) == [z for z in (x, y) if z]
+        return known
+
+    def piece(self, x: str) -> bool:
+        return x in self.ids or len(x) == 1
+
+    def spell(self, parts: list[str]) -> bytes:
+        """Ids of pieces; unknown ones as bytes."""
+        out = array("I")
+        for x in parts:
+            if (i := self.ids.get(x)) is not None:
                 out.append(i)
             else:
-                out += [self.byte[x] for x in piece.encode("utf-8", "surrogatepass")]
-        return out
-
-    def trace(self, text: str, begin: int, end: int, back: list[int]) -> bytes:
-        cuts, i = [], end - begin
-        while i > 0:
-            cuts.append(begin + i)
-            i = back[i]
-        return array("I", self.spell(text, begin, cuts[::-1])).tobytes()
+                out.extend(self.byte[b] for b in x.encode("utf-8", "surrogatepass"))
+        return out.tobytes()
 
     def words(self, words: list[str]) -> bytes:
-        """Ids of stretches that every path cuts out, one after the other."""
+        """Ids of stretches between joints, one after the other."""
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
@@ -133,89 +144,60 @@ class Model:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = words
-        short = [w for w in new if len(w) <= SHORT]
+        short = sorted((w for w in new if len(w) <= SHORT), key=len)
         if len(short) >= 64:
             for i in range(0, len(short), 16384):
                 self.known.update(self.many(short[i : i + 16384]))
         for w in new:
             if w not in self.known:
-                self.known[w] = self.trace(w, 0, len(w), self.best(w, 0, len(w))[1])
-
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Beginnings of pieces by length: sorted hashes, and the scores and ids of those that are pieces."""
-        out = []
-        with np.errstate(over="ignore"):
-            for size in range(1, self.longest + 1):
-                names = sorted({x[:size] for x in self.ids if len(x) >= size})
-                h = np.zeros(len(names), dtype=np.uint64)
-                for c in np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32).reshape(-1, size).T:
-                    h = h * FACTOR + c
-                order = np.argsort(h)
-                out.append((h[order], np.array([self.score.get(x, LOW) for x in names])[order], np.array([self.ids.get(x, -1) for x in names], dtype=np.int64)[order]))
-        return out
+                self.known[w] = self.spell(self.cuts(w))
 
     def many(self, words: list[str]) -> dict[str, bytes]:
-        """The same as best() and trace() for many words side by side; words with unknown characters are left out."""
-        if self.by_size is None:
-            self.by_size = self.tables()
+        """The same for many words side by side, a merge a word and turn; words with unknown characters are left out."""
         size = np.array([len(w) for w in words])
-        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        start = np.cumsum(size) - size
-        left = np.repeat(start + size, size) - np.arange(len(text))  # characters to the end of the word
-        points = start + np.arange(len(words))  # each word has a point more than characters
-        total, took, piece = np.full(len(text) + len(words), LOW), np.zeros(len(text) + len(words), dtype=np.int64), np.full(len(text) + len(words), -1, dtype=np.int64)
-        total[points] = 0.0
-        single = np.array([self.byte.get(x, -1) for x in range(128)])  # ids of ASCII characters that no piece spells
-        edges = []
-        with np.errstate(over="ignore"):
-            where, h = np.arange(len(text)), np.zeros(len(text), dtype=np.uint64)
-            for n, (keys, values, ids) in enumerate(self.by_size, 1):
-                fits = left[where] >= n
-                where, h = where[fits], h[fits]
-                h = h * FACTOR + text[where + n - 1]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                begun = keys[at] == h
-                if n == 1:
-                    known = begun & (ids[at] >= 0)
-                    other = np.where(text < 128, single[np.minimum(text, 127).astype(np.int64)], -1)
-                    edges.append((where, np.where(known, values[at], self.unknown), np.where(known, ids[at], other), np.ones(len(where), dtype=np.int64)))
-                where, h, at = where[begun], h[begun], at[begun]
-                if n > 1:
-                    whole = ids[at] >= 0
-                    edges.append((where[whole], values[at[whole]], ids[at[whole]], np.full(int(whole.sum()), n)))
-                if not len(where):
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
+        found = np.where(self.letters[at] == text, self.letter_ids[at], -1)
+        table = np.full((len(words), int(size.max()) + 1), -1, dtype=np.int64)
+        inside = np.arange(table.shape[1]) < size[:, None]
+        table[inside] = found
+        good = ~((table < 0) & inside).any(axis=1)
+        never, n = np.int64(1 << 40), len(self.names)
+
+        def places(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = left * n + right
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (left >= 0) & (right >= 0) & (self.keys[at] == key)
+            return np.where(hit, self.places[at], never), self.goals[at]
+
+        active = np.flatnonzero(good & (size > 1))
+        rows = table[active]
+        rank, goal = places(rows[:, :-1], rows[:, 1:])
+        while len(active):
+            best = rank.argmin(axis=1)  # the leftmost of the best
+            each = np.arange(len(active))
+            going = rank[each, best] < never
+            if not going.all():
+                table[active[~going]] = rows[~going]
+                active, rows, rank, goal, best = active[going], rows[going], rank[going], goal[going], best[going]
+                each = np.arange(len(active))
+                if not len(active):
                     break
-        base = np.repeat(points, size) - np.repeat(start, size)  # a character's index to its point
-        begin, value, ids, length = (np.concatenate(x) for x in zip(*edges))
-        place = begin - np.repeat(start, size)[begin]
-        order = np.lexsort((length, place))
-        begin, value, ids, length, place = begin[order], value[order], ids[order], length[order], place[order]
-        bounds = np.searchsorted(place * 64 + length, np.arange((int(size.max()) + 1) * 64))
-        for t in range(int(size.max())):
-            for n in range(1, self.longest + 1):
-                a, b = bounds[t * 64 + n], bounds[t * 64 + n + 1]
-                if a == b:
-                    continue
-                source = begin[a:b] + base[begin[a:b]]
-                goal, sums = source + n, total[source] + value[a:b]
-                better = sums > total[goal]
-                goal = goal[better]
-                total[goal], took[goal], piece[goal] = sums[better], n, ids[a:b][better]
-        # back from the ends of all words
-        at, alive, steps = points + size, np.arange(len(words)), []
-        while len(alive):
-            here = at[alive]
-            steps.append((alive, piece[here]))
-            at[alive] = here - took[here]
-            alive = alive[at[alive] > points[alive]]
-        word, found = np.concatenate([x for x, _ in steps]), np.concatenate([x for _, x in steps])
-        step = np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps])
-        order = np.lexsort((-step, word))
-        word, found = word[order], found[order]
-        bad = np.zeros(len(words), dtype=bool)
-        bad[word[found < 0]] = True
-        raw, cuts = found.astype("<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
-        return {w: raw[a:b] for w, a, b, x in zip(words, cuts, cuts[1:], bad.tolist()) if not x}
+            rows[each, best] = goal[each, best]
+            # close the gap behind the merged pair
+            columns = np.arange(rows.shape[1])
+            behind = np.minimum(columns + (columns > best[:, None]), rows.shape[1] - 1)
+            rows = np.take_along_axis(rows, behind, axis=1)
+            rows[:, -1] = -1
+            behind = np.minimum(behind[:, :-1], rank.shape[1] - 1)
+            rank, goal = np.take_along_axis(rank, behind, axis=1), np.take_along_axis(goal, behind, axis=1)
+            rank[:, -1] = never
+            for i in (best, best - 1):  # the merged piece with its neighbours
+                ok = np.flatnonzero((i >= 0) & (i < rank.shape[1]))
+                rank[ok, i[ok]], goal[ok, i[ok]] = places(rows[ok, i[ok]], rows[ok, i[ok] + 1])
+        full = table >= 0
+        raw, ends = table[full].astype("<u4").tobytes(), (4 * np.append(0, np.cumsum(full.sum(axis=1)))).tolist()
+        return {w: raw[a:b] for w, a, b, x in zip(words, ends, ends[1:], good.tolist()) if x}
 
 
 def model(path: str) -> Model:
@@ -250,67 +232,81 @@ def stretches(text: str) -> list[str]:
     return [x for x in JOINT.split(text) if x]
 
 
-def transfer(m: Model, text: str, begin: int, end: int) -> np.ndarray:
-    """The max-plus matrix of characters begin..end: row i, column j for a path that enters i past begin and leaves j past end."""
-    width = m.longest
-    out = np.full((width, width), LOW)
-    last_chunk = end == len(text)
-    stops = joints(text, begin, end)
-
-    def leave(at: int) -> np.ndarray:
-        row = np.full(width, LOW)
-        if at > end:
-            if at - end < width:
-                row[at - end] = 0.0
-            return row
-        total, _ = m.best(text, at, end)
-        reach = total[end - at : end - at + (1 if last_chunk else width)]
-        row[: len(reach)] = reach
-        return row
+def states_at(m: Model, text: str, border: int) -> list[tuple[int, int]]:
+    """Begin and end of every piece that reaches over a border or ends there; before the text, an empty one."""
+    if border == 0:
+        return [(0, 0)]
+    spans = ((x, y) for x in range(max(0, border - m.longest), border) for y in range(border, min(len(text), x + m.longest) + 1))
+    return [(x, y) for x, y in spans if m.piece(text[x:y]) and m.agree("", text[x:y])]
 
-    if not stops:
-        for i in range(min(width, len(text) - begin + 1)):
-            out[i] = leave(begin + i)
-        return out
-    middle = float(m.weight[np.frombuffer(m.words(stretches(text[stops[0] : stops[-1]])), dtype="<u4")].sum())
-    tail = middle + leave(stops[-1])
-    for i in range(width):
-        if begin + i > stops[0]:
-            continue  # a piece that passes a joint does not exist
-        total, _ = m.best(text, begin + i, stops[0])
-        if (head := total[stops[0] - begin - i]) > LOW:
-            out[i] = np.where(tail > LOW, head + tail, LOW)
+
+def follow(m: Model, text: str, entry: tuple[int, int], stop: int) -> dict[int, int]:
+    """The pieces that can come after entry, each by its end: where it begins.  Up to one beginning before stop."""
+    last = {entry[1]: entry[0]}
+    for at in range(entry[1], stop):
+        if at in last:
+            before = text[last[at] : at]
+            for end in range(at + 1, min(len(text), at + m.longest) + 1):
+                if m.piece(text[at:end]) and m.agree(before, text[at:end]):
+                    last[end] = at
+    return last
+
+
+def back(m: Model, text: str, last: dict[int, int], begin: int, end: int) -> bytes:
+    """Ids of the pieces from begin to end by what follow() has found."""
+    cuts = [end]
+    while cuts[-1] > begin:
+        cuts.append(last[cuts[-1]])
+    return m.spell([text[a:b] for a, b in zip(cuts[:0:-1], cuts[-2::-1])])
+
+
+def transfer(m: Model, text: str, begin: int, end: int) -> np.ndarray:
+    """The max-plus matrix of the characters begin..end: 0 from each state at begin to each at end that it can lead to, else minus infinity."""
+    rows, columns = states_at(m, text, begin), states_at(m, text, end)
+    out = np.full((len(rows), len(columns)), LOW)
+    stops = joints(text, begin + 1, end)
+
+    def reached(last: dict[int, int], entry: tuple[int, int]) -> list[bool]:
+        # a piece that reaches over both borders stays as it is
+        return [last.get(y) == x if x >= entry[1] else (x, y) == entry for x, y in columns]
+
+    tail = reached(follow(m, text, (stops[-1], stops[-1]), end), (stops[-1], stops[-1])) if stops else None
+    for i, entry in enumerate(rows):
+        if stops:
+            if entry[1] <= stops[0] and stops[0] in follow(m, text, entry, stops[0]):
+                out[i, tail] = 0.0
+        else:
+            out[i, reached(follow(m, text, entry, end), entry)] = 0.0
     return out
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product: first a, then b."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), LOW)
+    return (a[:, :, None] + b[None, :, :]).max(axis=1, initial=LOW)
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every border of the best path, first and last included, by prefix products (Hillis and Steele)."""
-    n, prefix, step = len(matrices), list(matrices), 1
+def scan(matrices: list[np.ndarray], entry: int = 0, leaving: int | None = None) -> list[int]:
+    """The state at every border of the best path from entry to leaving, by prefix products (Hillis and Steele)."""
+    n, prefix, step = len(matrices), [matrices[0][entry : entry + 1], *matrices[1:]], 1
     while step < n:
         prefix = [combine(prefix[i - step], prefix[i]) if i >= step else prefix[i] for i in range(n)]
         step *= 2
-    states = [0]  # the last border: the text ends there
+    states = [int(np.argmax(prefix[-1][0])) if leaving is None else leaving]
     for i in range(n - 1, 0, -1):
         states.append(int(np.argmax(prefix[i - 1][0] + matrices[i][:, states[-1]])))
-    return [0, *states[::-1]]
+    return [entry, *states[::-1]]
 
 
 def trace_chunk(m: Model, text: str, begin: int, end: int, entry: int, leaving: int) -> bytes:
-    """Ids of the best path from entry past begin to leaving past end."""
-    at, goal, out = begin + entry, end + leaving, b""
-    if at >= goal:
+    """Ids of the pieces after the entry-th state at begin, up to the leaving-th at end."""
+    first, goal = states_at(m, text, begin)[entry], states_at(m, text, end)[leaving]
+    if goal[1] <= first[1]:
         return b""
-    if stops := joints(text, at, end):
-        if stops[0] > at:
-            out = m.trace(text, at, stops[0], m.best(text, at, stops[0])[1])
-        out += m.words(stretches(text[stops[0] : stops[1]]))
-        at = stops[1]
-    return out + m.trace(text, at, goal, m.best(text, at, end)[1])
+    stops = joints(text, begin + 1, end)
+    if not stops:
+        return back(m, text, follow(m, text, first, end), first[1], goal[1])
+    out = back(m, text, follow(m, text, first, stops[0]), first[1], stops[0]) + m.words(stretches(text[stops[0] : stops[1]]))
+    return out + back(m, text, follow(m, text, (stops[1], stops[1]), end), stops[1], goal[1])
 
 
 def decode(m: Model, raw: bytes) -> str:
@@ -341,9 +337,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
 
     Texts of one chunk are done where they are.  Longer ones are cut into chunks that are dealt out to all tasks.
     """
-    spark = docs.sparkSession
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    scratch = Scratch(spark, "pieces")
+    scratch = Scratch(docs.sparkSession, "pieces")
     clean = with_clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = CODED + ", ids binary" * keep_ids
 
@@ -364,34 +359,50 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = model(path).longest
+        kinds = {"row": pa.string(), "doc_id": pa.int64(), "digest": pa.string(), "i": pa.int32(), "lead": pa.int32(), "size": pa.int32(), "part": pa.string()}
         for batch in batches:
-            for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                whole = marked(text)
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+                whole, digest = marked(text), hashlib.sha256(text.encode()).hexdigest()
                 borders = [*range(0, len(whole), chunk), len(whole)]
                 if len(borders) > 2 and borders[-1] - borders[-2] < reach:
                     del borders[-2]  # no piece may reach over two borders
                 for i, (a, b) in enumerate(zip(borders, borders[1:])):
-                    # one character before and a piece's reach after, so that a chunk knows what its borders cut
-                    part = whole[max(a - 1, 0) : b + reach]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (([row], pa.string()), ([doc], pa.int64()), ([i], pa.int32()), ([min(a, 1)], pa.int32()), ([b - a], pa.int32()), ([part], pa.string()))], ["row", "doc_id", "i", "lead", "size", "part"])
+                    # a piece's reach before and after, so that a chunk knows the states at its borders
+                    lead = min(a, reach)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row, doc, digest, i, lead, b - a, whole[a - lead : b + reach]), kinds.values())], list(kinds))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            found = [transfer(m, p, a, a + n).tobytes() for p, a, n in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size")))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("i"), pa.array(found, pa.binary())], ["row", "i", "matrix"])
+            found = [transfer(m, p, a, a + n) for p, a, n in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size")))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("i"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["row", "i", "height", "matrix"])
+
+    def read(table: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(x).reshape(n, -1) for n, x in zip(table["height"].to_pylist(), table["matrix"].to_pylist())]
 
-    def states(table):
-        width = model(path).longest
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        found = read(table)
+        out = found[0]
+        for x in found[1:]:
+            out = combine(out, x)
+        return pa.table({"row": table["row"][:1], "block": table["block"][:1], "height": pa.array([len(out)], pa.int32()), "matrix": pa.array([out.tobytes()], pa.binary())})
+
+    def over_blocks(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        found = scan(read(table))
+        return pa.table({"row": table["row"], "block": table["block"], "first": pa.array(found[:-1], pa.int32()), "last": pa.array(found[1:], pa.int32())})
+
+    def within(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
-        found = scan([np.frombuffer(x, dtype=float).reshape(width, width) for x in table["matrix"].to_pylist()])
+        found = scan(read(table), table["first"][0].as_py(), table["last"][0].as_py())
         return pa.table({"row": table["row"], "i": table["i"], "entry": pa.array(found[:-1], pa.int32()), "leaving": pa.array(found[1:], pa.int32())})
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             found = [trace_chunk(m, p, a, a + n, x, y) for p, a, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size", "entry", "leaving")))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "i")], pa.array(found, pa.binary())], ["row", "doc_id", "i", "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "digest", "i")], pa.array(found, pa.binary())], ["row", "doc_id", "digest", "i", "ids"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -404,12 +415,18 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
                 yield _rows(rows, keep_ids)
 
     ordinary = clean.filter(F.length("text") < chunk).mapInArrow(short, schema)
-    giant = scratch.save(clean.filter(F.length("text") >= chunk).withColumn("row", F.expr("uuid()")).withColumn("digest", F.sha2("text", 256)), "giants")
-    chunks = scratch.save(giant.select("row", "doc_id", "text").mapInArrow(cut, "row string, doc_id long, i int, lead int, size int, part string").repartition("row", "i"), "chunks")
-    borders = chunks.mapInArrow(matrices, "row string, i int, matrix binary").groupBy("row").applyInArrow(states, "row string, i int, entry int, leaving int")
-    traced = chunks.join(borders, ["row", "i"]).mapInArrow(backtrace, "row string, doc_id long, i int, ids binary")
-    joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-    return ordinary.unionByName(joined.join(giant.select("row", "digest"), "row").select("doc_id", "parts", "digest").mapInArrow(finish, schema))
+    giant = clean.filter(F.length("text") >= chunk).withColumn("row", F.expr("uuid()"))
+    dealt = giant.mapInArrow(cut, "row string, doc_id long, digest string, i int, lead int, size int, part string").repartition("row", "i")
+    chunks = scratch.save(dealt, "chunks")
+    each = scratch.save(chunks.mapInArrow(matrices, "row string, i int, height int, matrix binary").withColumn("block", F.expr(f"i div {BLOCK}").cast("int")), "matrices")
+    blocks = each.groupBy("row", "block").applyInArrow(product, "row string, block int, height int, matrix binary")
+    ends = blocks.groupBy("row").applyInArrow(over_blocks, "row string, block int, first int, last int")
+    borders = each.join(ends, ["row", "block"]).groupBy("row", "block").applyInArrow(within, "row string, i int, entry int, leaving int")
+    borders = scratch.save(borders, "borders")
+    scratch.drop(each)
+    traced = chunks.join(borders, ["row", "i"]).mapInArrow(backtrace, "row string, doc_id long, digest string, i int, ids binary")
+    joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))
+    return ordinary.unionByName(joined.select("doc_id", "parts", "digest").mapInArrow(finish, schema))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
