@@ -10,6 +10,7 @@ Template: `<|turn|>` role `<|text|>` text `<|end|>` for every turn.  A backslash
 control strings (those of the template, and the usual sentence and instruction marks) get a backslash after their
 first character; taking each backslash away and keeping what follows it undoes both.
 
+Very long texts are formatted whole.  Extra columns are ignored.  An empty table has no conversations.
 Null roles and texts are empty.  A parent that its tree does not have makes a root.  Messages on a cycle lie on no
 path from a root and are left out.  Equal scores: the longer path, then the smaller leaf id.  Repeated (tree, id)
 rows are numbered by the caller (see turns_as_replies, which orders ties by role and text).
@@ -69,25 +70,6 @@ def choose_branches(messages: DataFrame, scratch: Scratch, top: int = 1) -> Data
     return paths
 
 
-def format_turns(turns: Column) -> Column:
-    """One conversation's text from an array of (role, text)."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(TURN), escape(F.coalesce(t["role"], F.lit(""))), F.lit(TEXT), escape(F.coalesce(t["text"], F.lit(""))), F.lit(END))), "")
-
-
-def loss_runs(turns: Column, learned: str = "assistant") -> Column:
-    """The loss mask, run by run: (code points, learned?) over the whole formatted text."""
-    return F.flatten(
-        F.transform(
-            turns,
-            lambda t: F.array(
-                F.struct((F.length(escape(F.coalesce(t["role"], F.lit("")))) + len(TURN) + len(TEXT)).cast("long").alias("n"), F.lit(False).alias("learned")),
-                F.struct(F.length(escape(F.coalesce(t["text"], F.lit("")))).cast("long").alias("n"), F.coalesce(t["role"] == learned, F.lit(False)).alias("learned")),
-                F.struct(F.lit(len(END)).cast("long").alias("n"), F.lit(False).alias("learned")),
-            ),
-        )
-    )
-
-
 def parse_turns(formatted: Column) -> Column:
     """The array of (role, text) back from a formatted conversation."""
     parts = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
@@ -110,25 +92,39 @@ def turns_as_replies(rows: DataFrame) -> DataFrame:
     )
 
 
-def format_conversations(messages: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
-    """(tree, leaf, formatted, loss_runs): one row for each chosen path."""
+def format_conversations(messages: DataFrame, scratch: Scratch, top: int = 1, learned: str = "assistant") -> DataFrame:
+    """(tree, leaf, formatted, loss_runs): one row for each chosen path.
+
+    loss_runs is the loss mask, run by run over the whole formatted text: n code points, learned or not, and the place
+    (byte, from 0) and size in bytes, by which the text under the mask is cut out.
+    """
     paths = choose_branches(messages, scratch, top)
+    text = lambda c: escape(F.coalesce(F.col(c), F.lit("")))
     turns = paths.join(messages.select("tree", "id", "role", "text"), ["tree", "id"])
-    gathered = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("place")).alias("place"), "role", "text"))).alias("turns"))
-    return gathered.select("tree", "leaf", format_turns(F.col("turns")).alias("formatted"), loss_runs(F.col("turns")).alias("loss_runs"))
+    turns = turns.select("tree", "leaf", "place", F.concat(F.lit(TURN), text("role"), F.lit(TEXT)).alias("head"), text("text").alias("body"), F.coalesce(F.col("role") == learned, F.lit(False)).alias("learned"))
+    size = lambda c: F.octet_length(c).cast("long")
+    before = Window.partitionBy("tree", "leaf").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(size(F.col("head")) + size(F.col("body")) + len(END)).over(before), F.lit(0))
+    run = lambda c, flag, byte: F.struct(F.length(c).cast("long").alias("n"), flag.alias("learned"), byte.alias("byte"), size(c).alias("bytes"))
+    head, body, off = F.col("head"), F.col("body"), F.lit(False)
+    runs = F.array(run(head, off, F.col("at")), run(body, F.col("learned"), F.col("at") + size(head)), run(F.lit(END), off, F.col("at") + size(head) + size(body)))
+    placed = turns.withColumn("at", at).select("tree", "leaf", F.struct((-F.col("place")).alias("place"), F.concat(head, body, F.lit(END)).alias("said"), runs.alias("runs")).alias("turn"))
+    gathered = placed.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    return gathered.select("tree", "leaf", F.array_join("turns.said", "").alias("formatted"), F.flatten("turns.runs").alias("loss_runs"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted texts say when they are read back."""
-    read = formatted.select("*", parse_turns(F.col("formatted")).alias("turns"))
+    """What the formatted texts say when they are read back, and what stands under their loss masks."""
+    read = formatted.select("*", parse_turns(F.col("formatted")).alias("turns"), F.encode("formatted", "UTF-8").alias("raw"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return read.select(
+    cut = lambda r: F.decode(F.substring(F.col("raw"), (r["byte"] + 1).cast("int"), r["bytes"].cast("int")), "UTF-8")
+    learned = F.array_join(F.transform(F.filter("loss_runs", lambda r: r["learned"]), lambda r: unescape(cut(r))), "")
+    return read.withColumn("under", learned).select(
         F.when(F.col("tree") != "none", F.col("tree").cast("long")).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("under").cast("long").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -139,7 +135,9 @@ def op2_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
     scratch = Scratch(spark, "chat")
     messages = scratch.save(turns_as_replies(rows), "messages")
-    return digests(format_conversations(messages, scratch))
+    out = scratch.save(digests(format_conversations(messages, scratch)), "digests")
+    scratch.leave(out)
+    return out
 
 
 OP2_SQL = r"""
