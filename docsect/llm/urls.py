@@ -7,7 +7,9 @@ which spreads a pattern that covers many hosts over the months.  Only DataFrame
 
 A null or unparsable URL has no host and is not blocked.  Of several active entries the most specific decides.  On the
 day an entry is removed it no longer counts, and a removal beats an addition of the same day.  Repeated list rows
-change nothing; repeated captures are answered one by one.  An empty list blocks nothing.
+change nothing; repeated captures are answered one by one.  An empty list blocks nothing, and an empty table has no
+rows.  Captures keep their columns; an added column whose name one of them has gets underscores at its end.  Very long
+URLs are read whole.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsect.llm.common import free_names
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -41,6 +45,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures with blocked, pattern, listed_on and until.  captures: host, fetched_on and others."""
+    entry, blocked, pattern, listed_on, until = free_names(captures, "entry", "blocked", "pattern", "listed_on", "until")
     # an open entry holds until the day after the last capture
     horizon = captures.agg(F.date_add(F.max("fetched_on"), 1)).first()[0]
     open_end = F.coalesce("until", F.lit(horizon).cast("date"))
@@ -49,8 +54,9 @@ def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
     days = captures.select("host", "fetched_on").filter("host is not null and fetched_on is not null").distinct()
     asked = days.select("host", "fetched_on", F.trunc("fetched_on", "month").alias("month"), F.explode(suffixes(F.col("host"))).alias("pattern"))
     hits = asked.join(spans, ["pattern", "month"]).filter((F.col("listed_on") <= F.col("fetched_on")) & (F.col("until").isNull() | (F.col("fetched_on") < F.col("until"))))
-    best = hits.groupBy("host", "fetched_on").agg(F.max_by(F.struct("pattern", "listed_on", "until"), F.length("pattern")).alias("entry"))
-    return captures.join(best, ["host", "fetched_on"], "left").select(*captures.columns, F.col("entry").isNotNull().alias("blocked"), "entry.pattern", "entry.listed_on", "entry.until")
+    best = hits.groupBy("host", "fetched_on").agg(F.max_by(F.struct("pattern", "listed_on", "until"), F.length("pattern")).alias(entry))
+    found = F.col(entry)
+    return captures.join(best, ["host", "fetched_on"], "left").select(*captures.columns, found.isNotNull().alias(blocked), found["pattern"].alias(pattern), found["listed_on"].alias(listed_on), found["until"].alias(until))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
