@@ -6,6 +6,8 @@ one's docs.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docsect.llm.common import Scratch
@@ -41,12 +43,31 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs)
 
 
+#: Tables that the result of a stage still reads, until its successor has that result as Parquet.
+_left: dict[str, list[Scratch]] = {}
+
+
+def _stage(name: str, before: str | None, f: Callable[..., DataFrame]) -> tuple[str, Callable[..., DataFrame]]:
+    """The stage, which first deletes what its predecessor has left: its docs are that one's result, written and read again."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for x in _left.pop(before, []):
+            x.clear()
+        with Scratch.collected() as mine:
+            out = f(spark, docs, sf_dir)
+        _left.setdefault(name, []).extend(mine)
+        return out
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return name, run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("MinHash near-dedup", near_dedup),
-    ("substring dedup", substring_dedup),
-    ("PII", personal_data),
-    ("best-fit packing", best_fit_packing),
+    _stage("quality rules", None, quality_rules),
+    _stage("MinHash near-dedup", "quality rules", near_dedup),
+    _stage("substring dedup", "MinHash near-dedup", substring_dedup),
+    _stage("PII", "substring dedup", personal_data),
+    _stage("best-fit packing", "PII", best_fit_packing),
 ]
 
 #: SQL cannot express learned rules, min-hashes or packing; tests hold the stages against brute force.
@@ -57,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        read, docs = docs, scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(read)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,8 @@ anywhere.  As n(both) <= n(entity), only words with n(word) <= n(entity) * (N /
 the threshold; pairs are made of those alone.  Pairs in fewer than SUPPORT documents are chance and are not judged.
 Word frequencies are counted on hashes inside each task before anything is shuffled.
 
-Each pattern is scanned in time linear in the text.  Null texts are empty.  Repeated rows get the same spans (they
+Each pattern is scanned in time linear in the text.  Null texts are empty.  An empty table has no rows; extra columns are
+ignored, or passed on by sanitise().  Repeated rows get the same spans (they
 count as one document where their doc_id and text are equal).  Overlapping spans are sanitised as one, named by the first.
 """
 
@@ -192,7 +193,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def find_all(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_key, counts by kind, base spans, and terms (start, end, action) that disclose an entity of the row."""
+    """doc_id, text_key, counts by kind, base spans, terms (start, end, action) that disclose an entity of the row, and held: the text if it has spans."""
     clean = with_clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = scratch.save(find_base(clean), "base")
     # a document, however often its row is repeated
@@ -219,10 +220,11 @@ def find_all(docs: DataFrame, scratch: Scratch) -> DataFrame:
     places = met.join(verdicts, ["doc", "word"]).select("doc", "action", F.explode("places").alias("p"))
     terms = places.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("p.start", "p.end", "action"))).alias("terms"))
     terms = terms.join(held.select("doc", "doc_id", "text_key"), "doc")
-    terms = terms.select(F.col("doc_id").alias("t_doc"), F.col("text_key").alias("t_key"), "terms")
+    terms = scratch.save(terms.select(F.col("doc_id").alias("t_doc"), F.col("text_key").alias("t_key"), "terms"), "terms")
+    scratch.leave(found, terms)
     same = (found["text_key"] == terms["t_key"]) & found["doc_id"].eqNullSafe(terms["t_doc"])
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.join(terms, same, "left").select("doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", none).alias("terms"))
+    return found.join(terms, same, "left").select("doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", none).alias("terms"), "held")
 
 
 def mask(text: str, base: str, terms: list[dict]) -> str:
@@ -242,25 +244,23 @@ def mask(text: str, base: str, terms: list[dict]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data taken out of text, and n_chars as it is then; rows without any stay as they are."""
     scratch = Scratch(docs.sparkSession, "sanitise")
-    key, pii_id, pii_key, pii_base, pii_terms = free_names(docs, "_text_key", "_pii_id", "_pii_key", "_pii_base", "_pii_terms")
-    spans = find_all(docs, scratch).filter("base <> '' or size(terms) > 0").select(F.col("doc_id").alias(pii_id), F.col("text_key").alias(pii_key), F.col("base").alias(pii_base), F.col("terms").alias(pii_terms)).dropDuplicates([pii_id, pii_key])
-    spans = scratch.save(spans, "spans")
-    marked = docs.withColumn(key, F.xxhash64("text"))
-    both = marked.join(spans, (marked[key] == spans[pii_key]) & marked["doc_id"].cast("long").eqNullSafe(spans[pii_id]), "left")
-    names = docs.columns
+    key, pii_id, pii_key, pii_text = free_names(docs, "_text_key", "_pii_id", "_pii_key", "_pii_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", pii_base, pii_terms)))
-            text = pa.array([mask(t or "", b, x) for t, b, x in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("held", "base", "terms")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([mask(*x) for x in rows], pa.string())], [pii_id, pii_key, pii_text])
 
-    hit = F.col(pii_base).isNotNull()
-    clean = both.filter(~hit).select(*docs.columns)
-    dirty = both.filter(hit).select(*docs.columns, pii_base, pii_terms).mapInArrow(run, docs.schema)
+    held = find_all(docs, scratch).filter("held is not null").dropDuplicates(["doc_id", "text_key"])  # only texts with spans have terms
+    masked = scratch.save(held.select("doc_id", "text_key", "held", "base", "terms").mapInArrow(run, f"`{pii_id}` long, `{pii_key}` long, `{pii_text}` string"), "masked")
+    scratch.leave(masked)
+    masked = masked.hint("merge")  # texts with spans grow with the corpus
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    both = marked.join(masked, (marked[key] == masked[pii_key]) & marked["doc_id"].cast("long").eqNullSafe(masked[pii_id]), "left")
+    out = both.withColumn("text", F.coalesce(pii_text, "text"))
     if "n_chars" in docs.columns:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(dirty.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col(pii_text).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
