@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from docsect.functions import text as X
 
 CONCURRENCY = 8
+MAX_TOKENS = 100
+PATIENCE = 3
 
 
 def chain(*clients: Callable[[str], str]) -> Callable[[str], str]:
@@ -29,15 +34,59 @@ def chain(*clients: Callable[[str], str]) -> Callable[[str], str]:
     return ask
 
 
+def post(url: str, headers: dict, body: dict) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+    with urllib.request.urlopen(request, timeout=30) as r:
+        return json.loads(r.read())
+
+
+def patient(ask: Callable[[str], str]) -> Callable[[str], str]:
+    """The client, until it has failed PATIENCE times on end: a server that is not there is not asked for every section."""
+    failed = [0]
+
+    def run(prompt: str) -> str:
+        if failed[0] >= PATIENCE:
+            return ""
+        try:
+            answer = ask(prompt)
+        except Exception:
+            failed[0] += 1
+            raise
+        failed[0] = 0
+        return answer
+
+    return run
+
+
+def ollama(url: str, model: str, send=post) -> Callable[[str], str]:
+    body = {"model": model, "stream": False, "options": {"num_predict": MAX_TOKENS}}
+    return lambda prompt: send(url, {}, body | {"prompt": prompt}).get("response", "")
+
+
+def anthropic(key: str, model: str, send=post) -> Callable[[str], str]:
+    headers, body = {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": model, "max_tokens": MAX_TOKENS}
+    return lambda prompt: send("https://api.anthropic.com/v1/messages", headers, body | {"messages": [{"role": "user", "content": prompt}]})["content"][0]["text"]
+
+
+def default_client(env=os.environ, send=post) -> Callable[[str], str] | None:
+    """The clients that the environment asks for, in order; None where it asks for none."""
+    clients = []
+    if env.get("USE_OLLAMA", "true").lower() == "true":
+        clients.append(ollama(env.get("OLLAMA_URL", "http://localhost:11434/api/generate"), env.get("OLLAMA_MODEL", "qwen3:4b"), send))
+    if env.get("ANTHROPIC_API_KEY"):
+        clients.append(anthropic(env["ANTHROPIC_API_KEY"], env.get("ANTHROPIC_MODEL", "claude-haiku-4-5-20251001"), send))
+    return chain(*map(patient, clients)) if clients else None
+
+
 def summarize(sections: DataFrame, ask: Callable[[str], str] | None = None) -> DataFrame:
-    """sections with summary filled: short sections at once, others by ask(prompt), or else by their text alone."""
+    """sections with summary filled: short sections at once, others by ask(prompt), or else by their text alone, as if ask fails."""
     title, content = F.col("title"), F.col("content")
     if ask is None:
         return sections.withColumn("summary", X.simple_summary(title, content))
     short = X.short_summary(content, F.col("line_count"))
     done = sections.filter(short.isNotNull()).withColumn("summary", short)
     schema = sections.withColumn("summary", F.lit("")).schema
-    names = schema.names
+    names, ask = schema.names, chain(ask)
 
     def run(batches):
         with ThreadPoolExecutor(CONCURRENCY) as pool:

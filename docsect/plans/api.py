@@ -13,7 +13,7 @@ from docsect.functions import safety as S
 from docsect.functions import text as X
 from docsect.operators import navigate as N
 from docsect.operators import sections as P
-from docsect.operators.summarize import summarize
+from docsect.operators.summarize import default_client, summarize
 from docsect.plans.store import IndexStore
 from docsect.sources import github, local
 
@@ -33,6 +33,10 @@ def local_only() -> bool:
     return os.environ.get("DOCSECT_LOCAL_ONLY", "").lower() in ("true", "1", "yes")
 
 
+#: Answers that clients know (fixed values).
+NOTHING = "No documentation files found"
+
+
 class Tools:
     """spark, base: where indexes are kept.  ask: a summarizer for index tools, prompt to answer."""
 
@@ -41,22 +45,21 @@ class Tools:
 
     # --- indexing ---
 
-    def _prepare(self, raw: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Clean files (repo, file, content, hash) and the names of those with secrets."""
+    def _prepare(self, raw: DataFrame) -> DataFrame:
+        """Clean files (repo, file, content, hash); those with secrets keep their row and lose their content."""
         blob = F.col("blob") if "blob" in raw.columns else F.lit(None).cast("string")
-        read = raw.select("repo", "file", X.read_text(F.col("content")).alias("content"), F.coalesce(F.when(blob != "", blob), X.file_hash(F.col("content"))).alias("hash"), F.size(S.secrets(X.read_text(F.col("content")))).alias("n"))
-        bad = [r["file"] for r in read.filter("n > 0").select("file").orderBy("file").collect()]
-        return P.stored_text(read.filter("n = 0").drop("n")), bad
+        read = raw.select("repo", "file", X.read_text(F.col("content")).alias("content"), F.coalesce(F.when(blob != "", blob), X.file_hash(F.col("content"))).alias("hash"))
+        return P.stored_text(read.withColumn("content", F.when(F.size(S.secrets(F.col("content"))) == 0, F.col("content"))))
 
     def _parse(self, use_ai: bool):
-        ask = self.ask if use_ai and not local_only() else None
+        ask = (self.ask or default_client()) if use_ai and not local_only() else None
         return lambda files: summarize(P.parse_stored(files), ask) if ask else P.parse_stored(files)
 
     def _index(self, repo: str, raw: DataFrame, names: list[str], commit: str, use_ai: bool, incremental: bool) -> dict:
-        files, bad = self._prepare(raw)
-        parse = self._parse(use_ai)
+        files, parse = self._prepare(raw), self._parse(use_ai)
         meta = self.store.update(repo, files, parse, commit) if incremental else None
-        meta = meta or self.store.save(repo, files, parse(files), commit)
+        meta = meta or self.store.save(repo, files, parse, commit)
+        bad = [r["file"] for r in self.store.files(repo).filter("content is null").select("file").orderBy("file").collect()]
         out = {"success": True, "repo": repo, "indexed_at": meta["indexed_at"], "file_count": len(names), "section_count": meta["section_count"], "files": names[:20], "commit_hash": commit}
         return out | ({"skipped_secrets": bad} if bad else {})
 
@@ -65,7 +68,7 @@ class Tools:
             base = str(Path(path).expanduser().resolve())
             names = local.discover(base, max_depth, include_hidden, follow_symlinks, extra_ignore_patterns)
             if not names:
-                return {"success": False, "error": "No documentation files found"}
+                return {"success": False, "error": NOTHING}
             raw = local.read_local(self.spark, base, max_depth, include_hidden, follow_symlinks, extra_ignore_patterns)
             return self._index(local.repository_name(base), raw, names, local.head_commit(base), use_ai_summaries, incremental)
         except Exception as e:
@@ -77,10 +80,11 @@ class Tools:
         try:
             owner, name = github.parse_url(url)
             token = github_token or os.environ.get("GITHUB_TOKEN")
-            names = sorted(github.list_tree(owner, name, token, self.get))
+            listed = github.list_tree(owner, name, token, self.get)
+            names = sorted(listed)
             if not names:
-                return {"success": False, "error": "No documentation files found"}
-            return self._index(f"{owner}/{name}", github.read_github(self.spark, url, token, self.get), names, github.head_commit(owner, name, token, self.get), use_ai_summaries, incremental)
+                return {"success": False, "error": NOTHING}
+            return self._index(f"{owner}/{name}", github.read_github(self.spark, url, token, self.get, listed), names, github.head_commit(owner, name, token, self.get), use_ai_summaries, incremental)
         except Exception as e:
             return {"success": False, "error": str(e)}
 
@@ -107,12 +111,12 @@ class Tools:
         return {"repo": repo, "indexed_at": meta["indexed_at"], "files": files, "section_count": len(rows), "sections": [{k: v for k, v in r.asDict().items() if v is not None} for r in rows], "_meta": meta}
 
     def _tree(self, sections: DataFrame, columns: list[str]) -> list[dict]:
-        roots, node = [], {}
-        for r in sections.orderBy("file", "seq").collect():
-            mine = {c: r[c] for c in columns} | {"children": []}
-            above = node.get((r["file"], r["parent"])) if r["parent"] else None
+        rows = [(r["file"], r["id"], r["parent"], {c: r[c] for c in columns} | {"children": []}) for r in sections.orderBy("file", "seq").collect()]
+        node = {(file, key): mine for file, key, _, mine in rows}  # of sections with one id, the last
+        roots = []
+        for file, _, parent, mine in rows:
+            above = node.get((file, parent)) if parent else None
             (above["children"] if above else roots).append(mine)
-            node[r["file"], r["id"]] = mine
         return roots
 
     @_told
@@ -131,7 +135,7 @@ class Tools:
 
     def _fetch(self, repo: str, ids: list[str]) -> list[dict]:
         asked = self.spark.createDataFrame([(i, repo, x) for i, x in enumerate(ids)], "pos int, repo string, id string")
-        every = N.first_by_id(self.store.sections(repo).join(F.broadcast(asked.select("id").distinct()), "id", "left_semi"))
+        every = N.first_by_id(self.store.sections(repo).join(asked.select("id").distinct(), "id", "left_semi"))
         got = N.fetch(asked, every, self.store.files(repo)).alias("g").join(every.select("id", "path", "parent", "summary", "keywords", "line_count"), "id", "left")
         return [r.asDict() for r in got.orderBy("pos").collect()]
 

@@ -23,9 +23,9 @@ def discover(base: str, max_depth: int = 5, include_hidden: bool = False, follow
     """Relative paths of documentation files, sorted.  Skipped, hidden and ignored folders are not entered."""
     root = Path(base)
     if not root.exists():
-        raise ValueError(f"Path does not exist: {base}")
+        raise ValueError(f"no such path: {base}")
     if not root.is_dir():
-        raise ValueError(f"Path is not a directory: {base}")
+        raise ValueError(f"no folder: {base}")
     root = root.resolve()
     ignore = root / ".gitignore"
     rules = [IgnoreRules(ignore.read_text(errors="replace").splitlines())] if ignore.is_file() else []

@@ -21,9 +21,9 @@ def follow(spark: SparkSession, folder: str, store: IndexStore, repo: str, check
         new = batch.groupBy("file").agg(F.max_by(F.struct("content", "deleted"), F.coalesce("deleted", F.lit(False))).alias("x")).select(F.lit(repo).alias("repo"), "file", "x.content", F.coalesce("x.deleted", F.lit(False)).alias("deleted"))
         live = new.filter(~F.col("deleted")).withColumn("content", X.normalise_newlines(F.col("content"))).withColumn("hash", F.sha2("content", 256)).select("repo", "file", "content", "hash")
         if store.meta(repo):
-            live = store.files(repo).join(new, ["repo", "file"], "left_anti").unionByName(live)
-            store.update(repo, live, P.parse)
+            changes = new.select("repo", "file", F.when(F.col("deleted"), "deleted").otherwise("changed").alias("change"))
+            store.apply(repo, P.stored_text(live), changes, P.parse_stored)
         else:
-            store.save(repo, live, P.parse(live))
+            store.save(repo, P.stored_text(live), P.parse_stored)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

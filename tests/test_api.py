@@ -1,13 +1,22 @@
 import json
+import pathlib
 import urllib.error
 
 import pytest
 
+from docsect.operators import summarize
+from docsect.plans import tools
 from docsect.plans.api import Tools
 from docsect.sources import github, local
 from docsect.streaming import landing
 
 
+@pytest.fixture(autouse=True)
+def no_clients(monkeypatch):
+    monkeypatch.setenv("USE_OLLAMA", "false")
+    monkeypatch.delenv("ANTHROPIC_API_KEY", raising=False)
+
+
 @pytest.fixture
 def tree(tmp_path):
     base = tmp_path / "proj"
@@ -80,6 +89,84 @@ def fake():
     return transport
 
 
+def counting(folder):
+    """The same, with a file for each request."""
+    inner = fake()
+
+    def transport(url, headers):
+        import uuid
+
+        (folder / uuid.uuid4().hex).write_text(url)
+        return inner(url, headers)
+
+    return transport
+
+
+def test_each_file_is_fetched_once(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+    t = Tools(spark, str(tmp_path / "store"), get=counting(tmp_path / "asked"))
+    for incremental in (False, True):
+        assert t.index_repo("o/r", incremental=incremental)["success"]
+        asked = [p.read_text() for p in (tmp_path / "asked").iterdir()]
+        assert sum("/git/trees/" in x for x in asked) == 1 and sum(x.endswith("/contents/a.md") for x in asked) == 1
+        for p in (tmp_path / "asked").iterdir():
+            p.unlink()
+
+
+def test_an_update_writes_touched_buckets_only(spark, tree, tmp_path):
+    for i in range(40):
+        (tree / f"n{i}.md").write_text(f"# N{i}\n")
+    t = Tools(spark, str(tmp_path / "store"))
+    assert t.index_local(str(tree))["success"]
+    before = t.store.meta("local/proj")
+    (tree / "n7.md").write_text("# Other\n")
+    held = t.store.sections("local/proj")
+    assert t.index_local(str(tree), incremental=True)["success"]
+    after = t.store.meta("local/proj")
+    changed = {k for k in after["buckets"] if after["buckets"][k] != before["buckets"].get(k)}
+    assert len(changed) == 1 and set(after["buckets"]) == set(before["buckets"])
+    assert "N7" in {r["title"] for r in held.collect()}  # a reader of the snapshot before
+    assert t.get_section("proj", "n7-other")["content"] == "# Other\n" and after["section_count"] == before["section_count"]
+
+
+def test_calls_by_name(spark, tree, tmp_path):
+    t = Tools(spark, str(tmp_path / "store"))
+    given = {x["name"]: x["inputSchema"] for x in tools.declared()}
+    assert len(given) == 10 and given["search_sections"]["required"] == ["repo", "query"] and given["search_sections"]["properties"]["max_results"] == {"type": "integer", "default": 10}
+    assert given["get_sections"]["properties"]["section_ids"] == {"type": "array", "items": {"type": "string"}} and "required" not in given["list_repos"]
+    ask = lambda name, **a: json.loads(tools.call(t, name, a))
+    assert ask("index_local", path=str(tree))["success"] and ask("list_repos")["count"] == 1
+    assert ask("get_section", repo="proj", section_id="g-guide")["content"] == "# Guide\nkept\n"
+    assert ask("search_sections", repo="proj", query="install", path_prefix=None)["result_count"] > 0
+    assert "missing" in ask("get_section", repo="proj")["error"] and "no integer" in ask("search_sections", repo="proj", query="x", max_results="1")["error"] and "Unknown" in ask("nope")["error"]
+    assert ask("get_toc", repo="proj")["files"].count("config.md") == 1 and ask("list_repos")["repos"][0]["file_count"] == 7
+
+
+def test_summary_clients():
+    sent = []
+
+    def send(url, headers, body):
+        sent.append((url, headers, body))
+        if "11434" in url:
+            raise OSError("not there")
+        return {"content": [{"text": " told "}]}
+
+    ask = summarize.default_client({"ANTHROPIC_API_KEY": "k", "ANTHROPIC_MODEL": "m"}, send)
+    assert [ask("p") for _ in range(5)] == ["told"] * 5
+    assert sum("11434" in u for u, _, _ in sent) == 3 and sent[-1][1]["x-api-key"] == "k" and sent[-1][2] == {"model": "m", "max_tokens": 100, "messages": [{"role": "user", "content": "p"}]}
+    assert summarize.ollama("u", "m", lambda u, h, b: {"response": b["prompt"] + b["model"]})("p") == "pm"
+    assert summarize.default_client({"USE_OLLAMA": "no"}) is None
+
+
+def test_a_failing_client_leaves_the_plain_summary(spark, tree, tmp_path):
+    def ask(prompt):
+        raise OSError("gone")
+
+    t = Tools(spark, str(tmp_path / "store"), ask=ask)
+    assert t.index_local(str(tree))["success"]
+    assert {s["id"]: s.get("summary") for s in t.get_toc("proj")["sections"]}["readme-installation"] == "Run `pip install`."
+
+
 def test_github(spark, tmp_path, monkeypatch):
     assert github.parse_url("https://github.com/o/r.git/") == ("o", "r")
     assert list(github.list_tree("o", "r", get=fake())) == ["a.md", "bad.md"] and github.list_tree("o", "missing", get=fake()) == {}
@@ -94,9 +181,10 @@ def test_github(spark, tmp_path, monkeypatch):
 def test_old_index_is_refused(spark, tree, tmp_path):
     t = Tools(spark, str(tmp_path / "store"))
     t.index_local(str(tree))
-    folder = t.store.folder("local/proj")
-    meta = folder / (folder / "CURRENT").read_text() / "meta.json"
-    meta.write_text(json.dumps({k: v for k, v in json.loads(meta.read_text()).items() if k != "index_version"}))
+    folder = pathlib.Path(t.store.folder("local/proj"))
+    manifest = folder / (folder / "CURRENT").read_text()
+    (folder / f".{manifest.name}.crc").unlink(missing_ok=True)
+    manifest.write_text(json.dumps({k: v for k, v in json.loads(manifest.read_text()).items() if k != "index_version"}))
     assert "error" in t.get_toc("proj") and t.list_repos()["repos"][0]["index_version"] == 0
 
 
