@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from docsect.operators import merge as M
 from docsect.operators import navigate as N
 from docsect.operators import sections as P
 from docsect.plans import corpora as C
+from docsect.plans.store import IndexStore, from_json, to_json
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -185,12 +189,35 @@ def headingless_sections(spark, sf_dir):
     return _sections(spark, sf_dir).filter(F.col("id").endswith("-root")).select("file", "id", "title", "line_count", "byte_length")
 
 
-@query()
+_CHUNKS = r"""WITH RECURSIVE
+files_ AS (SELECT 'docs/' || lang AS repo, 'part_' || (doc_id // 100) || '.md' AS file, string_split(string_agg(text, chr(10) || chr(10) || chr(10) ORDER BY doc_id), chr(10)) AS ls FROM documents WHERE text IS NOT NULL GROUP BY ALL),
+marked_ AS (SELECT repo, file, ls, list_transform(ls, lambda x: regexp_full_match(x, '\s*')) AS blanks FROM files_),
+long_ AS (SELECT * FROM marked_ WHERE len(ls) > 200),
+walk_ AS (
+  SELECT repo, file, blanks, 0 AS i, 0 AS held, 0 AS blank, false AS cut FROM long_
+  UNION ALL
+  SELECT repo, file, blanks, i + 1, CASE WHEN ends THEN 0 ELSE held + 1 END, CASE WHEN ends THEN 0 WHEN b THEN blank + 1 ELSE 0 END, ends
+  FROM (SELECT *, blanks[i + 1] AS b, blanks[i + 1] AND blank >= 1 AND held + 1 >= 20 AS ends FROM walk_ WHERE i < len(blanks))),
+ends_ AS (SELECT repo, file, i FROM walk_ WHERE cut),
+spans_ AS (SELECT repo, file, lag(i, 1, 0) OVER (PARTITION BY repo, file ORDER BY i) AS a, i AS b, false AS tail FROM ends_),
+last_ AS (SELECT l.repo, l.file, coalesce(max(e.i), 0) AS a, max(len(l.ls)) AS b FROM long_ l LEFT JOIN ends_ e USING (repo, file) GROUP BY ALL),
+tails_ AS (SELECT t.repo, t.file, t.a, t.b, true AS tail FROM last_ t JOIN long_ l USING (repo, file) WHERE list_contains(l.blanks[t.a + 1:], false)),
+every_ AS (SELECT *, row_number() OVER (PARTITION BY repo, file ORDER BY a) - 1 AS k FROM (SELECT * FROM spans_ UNION ALL SELECT * FROM tails_)),
+texts_ AS (SELECT e.*, array_to_string(l.ls[e.a + 1:e.b], chr(10)) AS content, list_filter(list_transform(l.ls[e.a + 1:e.b], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1] AS line,
+  coalesce(list_filter(list_transform(l.ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '---') AND length(x) < 100)[1], e.file) AS title FROM every_ e JOIN long_ l USING (repo, file))
+SELECT repo, file, k::BIGINT AS seq, PREFIX || '-part-' || k AS id,
+  CASE WHEN k = 0 THEN title WHEN tail OR line IS NULL THEN title || ' (continued ' || (k + 1) || ')' ELSE substr(line, 1, 80) || CASE WHEN length(line) < 100 THEN '' ELSE '...' END END AS title,
+  (b - a)::INTEGER AS line_count, coalesce(sum(strlen(content) + 1) OVER (PARTITION BY repo, file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset, strlen(content)::BIGINT AS byte_length
+FROM texts_""".replace("PREFIX", C.fill(C.PREFIX, "file"))
+
+
+@query(_CHUNKS)
 def headingless_chunks(spark, sf_dir):
-    """Files of many documents with blank lines between: a sequential fold, which tests hold against a loop."""
-    big = _docs(spark, sf_dir).groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
-    files = big.select(F.concat(L("docs/"), "lang").alias("repo"), F.concat("source", L(".md")).alias("file"), F.array_join(F.col("x.text"), "\n\n\n").alias("content"))
-    return P.complete(P.markdown(files)).select("repo", "file", "seq", "id", "title", "line_count", "byte_offset", "byte_length")
+    """For each language files of a hundred document numbers, with blank lines between the documents."""
+    big = _docs(spark, sf_dir).filter("text is not null").groupBy("lang", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
+    files = big.select(F.concat(L("docs/"), "lang").alias("repo"), F.concat(L("part_"), F.col("part").cast("string"), L(".md")).alias("file"), F.array_join(F.col("x.text"), "\n\n\n").alias("content"))
+    found = P.complete(P.markdown(files)).filter(F.col("id").contains("-part-") & ~F.col("id").endswith("-root"))
+    return found.select("repo", "file", "seq", "id", "title", "line_count", "byte_offset", "byte_length")
 
 
 @query("""SELECT doc_id, text AS body, 'Doc ' || doc_id AS title FROM documents""")
@@ -220,6 +247,48 @@ def rst_sections(spark, sf_dir):
     return P.rst(files).select("file", "seq", "title", "depth", "line_count", "byte_offset")
 
 
+_STYLED = """l AS (SELECT p_partkey AS k, p_name AS t, p_partkey % 4 AS style, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS n, p_partkey // 10 AS g FROM part),
+f AS (SELECT *, min(n) OVER (PARTITION BY g, style) AS first FROM l)"""
+
+
+@query(f"""WITH {_STYLED}, r AS (
+ SELECT g, 0 AS n, 'lead/f' || g || '.rst' AS title, 0 AS depth, 3 AS line_count, 15 AS size FROM (SELECT DISTINCT g FROM l) UNION ALL
+ SELECT g, n, t, dense_rank() OVER (PARTITION BY g ORDER BY first), 4 + style % 2, (2 + style % 2) * strlen(t) + 13 + style % 2 FROM f)
+SELECT 'lead/f' || g || '.rst' AS file, n::BIGINT AS seq, title, depth::INTEGER AS depth, line_count::INTEGER AS line_count,
+ coalesce(sum(size) OVER (PARTITION BY g ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM r""")
+def rst_overlines(spark, sf_dir):
+    """A lead of two lines, then ten parts with over- and underlined or only underlined names."""
+    line = F.expr("repeat(substring('=-', cast(p_partkey % 4 div 2 as int) + 1, 1), length(p_name))")
+    over = F.when(F.col("p_partkey") % 2 == 1, F.concat(line, L("\n"))).otherwise("")
+    part = F.concat(over, "p_name", L("\n"), line, L("\nsome text\n"))
+    gathered = C.table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("g")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", part.alias("part")))).alias("x"))
+    files = gathered.select(L("parts").alias("repo"), F.format_string("lead/f%d.rst", "g").alias("file"), F.concat(L("before\nthat, \n\n"), F.array_join(F.col("x.part"), "\n")).alias("content"))
+    return P.rst(files).select("file", "seq", "title", "depth", "line_count", "byte_offset")
+
+
+@query("""SELECT 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.rst' WHEN 1 THEN '.mdx' ELSE '.md' END AS file, n::BIGINT AS seq,
+ CASE WHEN p_partkey % 3 = 0 THEN CASE n WHEN 0 THEN p_name ELSE 'Deep' END ELSE CASE n WHEN 0 THEN p_name ELSE 'Deep' END END AS title, (n + 1)::INTEGER AS depth,
+ CASE WHEN p_partkey % 3 = 1 AND n = 0 THEN 'kept' ELSE 'body' END AS last_line
+FROM part, (SELECT unnest([0, 1]) AS n)""")
+def dispatch(spark, sf_dir):
+    """A file a part, of three kinds by suffix, each with two headings."""
+    k, line = F.col("p_partkey"), F.expr("repeat('=', length(p_name))")
+    kinds = (
+        (".rst", F.concat("p_name", L("\n"), line, L("\nbody\nDeep\n----\nbody"))),
+        (".mdx", F.concat(L("import A from 'a'\n# "), "p_name", L("\n<B>kept</B>\n## Deep\nbody"))),
+        (".md", F.concat(L("# "), "p_name", L("\nbody\n## Deep\nbody"))),
+    )
+    kind = lambda i: F.when(k % 3 == 0, kinds[0][i] if i else L(kinds[0][0])).when(k % 3 == 1, kinds[1][i] if i else L(kinds[1][0])).otherwise(kinds[2][i] if i else L(kinds[2][0]))
+    files = C.table(spark, sf_dir, "part").select(L("parts").alias("repo"), F.concat(L("p"), k.cast("string"), kind(0)).alias("file"), kind(1).alias("content"))
+    found = P.parse(files)
+    return found.select("file", F.when(F.col("file").endswith(".mdx"), F.col("depth") - 1).otherwise(F.col("seq")).cast("long").alias("seq"), "title", "depth", F.element_at(F.split("content", "\n"), -1).alias("last_line"))
+
+
+@query(ROOT + " SELECT file, seq, 'Summarize this documentation section in one sentence.' || chr(10) || 'Title: ' || title || chr(10) || chr(10) || substr(content, 1, 2000) AS prompt FROM sections_")
+def prompts(spark, sf_dir):
+    return _sections(spark, sf_dir).select("file", "seq", X.prompt(F.col("title"), F.col("content")).alias("prompt"))
+
+
 # --- navigation ---
 
 @query(ROOT + " SELECT repo, file, seq, id, title, depth, parent, nullif(summary, '') AS summary FROM sections_")
@@ -261,6 +330,14 @@ def flatten(spark, sf_dir):
     return N.ancestor_paths(_threads(spark, sf_dir).drop("content")).select("file", "seq", F.concat(F.expr("repeat('  ', cast(level as int))"), "id").alias("line"), "level")
 
 
+@query(ROOT + ", up_ AS (SELECT repo, file, id, max(seq) AS seq FROM sections_ GROUP BY ALL) SELECT p.repo, p.file, p.id, u.seq, string_agg(c.id, '|' ORDER BY c.seq) AS children FROM sections_ c JOIN up_ u ON c.repo = u.repo AND c.file = u.file AND c.parent = u.id JOIN sections_ p ON p.repo = u.repo AND p.file = u.file AND p.seq = u.seq GROUP BY ALL")
+def section_children(spark, sf_dir):
+    """Every section that has children, with their ids in order."""
+    edges = N.tree_edges(_sections(spark, sf_dir)).filter("parent_seq is not null")
+    listed = edges.groupBy("repo", "file", F.col("parent").alias("id"), F.col("parent_seq").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("seq", "id"))).alias("x"))
+    return listed.select("repo", "file", "id", "seq", F.array_join("x.id", "|").alias("children"))
+
+
 def _score_sql(q: str) -> str:
     words = sorted(set(q.lower().split()))
     parts = [f"CASE WHEN contains(lower(title), '{q.lower()}') THEN 10 ELSE 0 END", f"CASE WHEN contains(lower(summary), '{q.lower()}') THEN 5 ELSE 0 END"]
@@ -318,6 +395,41 @@ def resolve_short_name(spark, sf_dir):
     return N.resolve(C.pages(spark, sf_dir).select("repo").distinct(), "fr")
 
 
+_REPO = "WITH" + C.PAGES_SQL.replace("'docs/' || lang AS repo", "'docs/all' AS repo") + "," + C.SECTIONS_SQL
+
+
+def _stored(spark, sf_dir) -> tuple[IndexStore, DataFrame]:
+    """All pages as one repository in a new store, in the folder that the cluster shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsect-store-")
+    store = IndexStore(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    files = C.pages(spark, sf_dir).select(L("docs/all").alias("repo"), "file", "content", F.sha2("content", 256).alias("hash"))
+    store.save("docs/all", files, P.parse_stored, "abc123")
+    return store, files
+
+
+@query(_REPO + f" SELECT {_ALL} FROM sections_")
+def index_roundtrip(spark, sf_dir):
+    """Sections that were stored and read again, and went through JSON."""
+    store, _ = _stored(spark, sf_dir)
+    return _flat(from_json(to_json(store.sections("docs/all"))), *_COLUMNS)
+
+
+@query(_REPO + " SELECT repo, count(*)::BIGINT AS section_count, count(DISTINCT file)::BIGINT AS file_count, 1::BIGINT AS index_version, 'abc123' AS commit_hash FROM sections_ GROUP BY repo")
+def stored_catalog(spark, sf_dir):
+    store, _ = _stored(spark, sf_dir)
+    return spark.createDataFrame([tuple(x[k] for k in ("repo", "section_count", "file_count", "index_version", "commit_hash")) for x in store.list()], "repo string, section_count long, file_count long, index_version long, commit_hash string")
+
+
+@query("WITH" + C.PAGES_SQL.replace("'docs/' || lang AS repo", "'docs/all' AS repo") + " SELECT file, sha256(CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || '# Added' ELSE content END) AS hash FROM pages_ WHERE doc_id % 7 <> 0")
+def updated_hashes(spark, sf_dir):
+    """File hashes of a stored index after an update with changed and deleted files."""
+    store, files = _stored(spark, sf_dir)
+    number = F.regexp_extract("file", r"doc_(\d+)", 1).cast("long")
+    new = files.filter(number % 7 != 0).withColumn("content", F.when(number % 5 == 0, F.concat("content", L("\n# Added"))).otherwise(F.col("content")))
+    store.update("docs/all", new.withColumn("hash", F.sha2("content", 256)), P.parse_stored)
+    return store.files("docs/all").select("file", "hash")
+
+
 # --- incremental indexing ---
 
 _V2 = "SELECT repo, file, CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || '# Added' ELSE content END AS content FROM pages_ WHERE doc_id % 7 <> 0 UNION ALL SELECT repo, 'new/' || file, content FROM pages_ WHERE doc_id % 11 = 0"
