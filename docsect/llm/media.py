@@ -34,6 +34,7 @@ from docsect.llm.common import Scratch, with_clear_names
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
+READ_BYTES = 2 << 20  # of stored payloads, for a task that reads them back
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # the signature and the IHDR chunk
 
@@ -149,6 +150,17 @@ def compact(manifest: DataFrame) -> DataFrame:
     return manifest.drop("shard", "offset", "length").join(one, "digest").select(*[c for c in manifest.columns if c not in ("shard", "offset", "length")], "at.*")
 
 
+def by_bytes(manifest: DataFrame, task_bytes: int = READ_BYTES) -> DataFrame:
+    """The manifest in tasks of about task_bytes stored bytes, each in the order of its shards.
+
+    Addresses are cumulative, so an address divided by a task's share tells which stretch of its shard a row is in; only
+    rows of the manifest move.
+    """
+    total = manifest.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes), manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.repartition(tasks, "shard", F.floor(F.col("offset") / task_bytes)).sortWithinPartitions("shard", "offset")
+
+
 def _ranges(batch: pa.RecordBatch, root: str, size: int | None):
     """The stored bytes of each row, or their first size bytes; rows of a shard share one open file."""
     fs, base = _store(root)
@@ -218,6 +230,6 @@ def read_features(manifest: DataFrame, root: str) -> DataFrame:
 
 def op1_media_columns(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "media")
-    root = f"{scratch.root}/shards"
+    root = f"{scratch.root}/shards"  # the rows that are returned point into it, so it stays
     manifest = scratch.save(write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), root), "manifest")
-    return read_features(fill_metadata(manifest, root), root)
+    return read_features(fill_metadata(by_bytes(manifest), root), root)
