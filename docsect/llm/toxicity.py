@@ -6,8 +6,11 @@ a weight and FACTORS latent numbers, and the score adds to the weights the inner
 that two terms can mean together what neither means alone.  The pair sum takes time linear in the document.
 
 Learning uses at most MAX_TOXIC toxic and MAX_CLEAN other labelled documents, those with the smallest hashes of
-their doc_id, and never those held out (crc32 of doc_id as text is a multiple of 5).  That bound is the size of all
-that the driver sees.  Every document is scored whole.
+their doc_id, and never those held out (crc32 of doc_id as text is a multiple of 5).  Of the sample's buckets those take
+part that LEAST_DOCUMENTS documents have and that tell the classes apart by themselves (G2 of LEAST_ASSOCIATION): a term
+that has no such mark alone gets no factors either.  The driver sees counts by bucket and, for each document of the
+sample, the buckets that take part.  Every document is scored whole, a very long one by itself.  Repeated rows get equal
+scores; extra columns are ignored; an empty table has no rows.
 
 Null and empty texts have no terms and get the bias alone.  Labels may be missing, null or repeated (one toxic label
 makes a document toxic); without both classes the score is the share of toxic labels.  A null doc_id is not held out.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsect.llm.common import LOWER, groups, text_bytes, with_clear_names, word_hashes, words
+from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_names, word_hashes, words
 
 BITS = 22
 FACTORS = 4
@@ -55,17 +58,31 @@ def terms(data: np.ndarray, offsets: np.ndarray, slots: np.ndarray | None = None
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def association(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Each bucket's log-likelihood ratio (G2) with the label, 0 where it is in fewer than LEAST_DOCUMENTS documents."""
-    toxic = np.bincount(np.concatenate([d for d, y in zip(documents, labels) if y > 0]), minlength=1 << BITS).astype(float)
-    both = np.bincount(np.concatenate(documents), minlength=1 << BITS).astype(float)
-    n, n1 = len(labels), labels.sum()
+def association(toxic: np.ndarray, both: np.ndarray, n1: float, n: float) -> np.ndarray:
+    """The log-likelihood ratio (G2) of buckets with the label.  toxic, both: toxic documents, and all, that have each one; n1 of n documents are toxic."""
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
 
-    out = part(toxic, both * n1 / n) + part(both - toxic, both * (n - n1) / n) + part(n1 - toxic, (n - both) * n1 / n) + part(n - n1 - both + toxic, (n - both) * (n - n1) / n)
-    return np.where(both >= LEAST_DOCUMENTS, 2 * out, 0)
+    return 2 * (part(toxic, both * n1 / n) + part(both - toxic, both * (n - n1) / n) + part(n1 - toxic, (n - both) * n1 / n) + part(n - n1 - both + toxic, (n - both) * (n - n1) / n))
+
+
+def screen(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The buckets that take part: in LEAST_DOCUMENTS documents and with an association of LEAST_ASSOCIATION."""
+    bucket, both = np.unique(np.concatenate(documents), return_counts=True)
+    some, seen = np.unique(np.concatenate([d for d, y in zip(documents, labels) if y > 0]), return_counts=True)
+    toxic = np.zeros(len(bucket))
+    toxic[np.searchsorted(bucket, some)] = seen
+    return bucket[(both >= LEAST_DOCUMENTS) & (association(toxic, both.astype(float), labels.sum(), len(labels)) >= LEAST_ASSOCIATION)]
+
+
+def gradient(slot: np.ndarray, text: np.ndarray, v: np.ndarray, sums: np.ndarray, error: np.ndarray, n: int) -> np.ndarray:
+    """The loss's derivatives by the n weights (column 0) and factors, from each text's error; v: the factors of each slot, sums: of each text."""
+    e, out = error[text], np.empty((n, 1 + v.shape[1]))
+    out[:, 0] = np.bincount(slot, weights=e, minlength=n)
+    for f in range(v.shape[1]):
+        out[:, 1 + f] = np.bincount(slot, weights=e * (sums[text, f] - v[:, f]), minlength=n)
+    return out
 
 
 class FactorizationMachine:
@@ -88,12 +105,12 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
     @classmethod
-    def learn(cls, documents: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
-        """documents: the buckets of each; labels: 0 or 1.  AdaGrad on the logistic loss, both classes weighing the same."""
+    def learn(cls, documents: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray | None = None, seed: int = 7) -> FactorizationMachine:
+        """documents: the buckets of each; labels: 0 or 1; chosen: the buckets that take part, sorted.  AdaGrad on the logistic loss, both classes weighing the same."""
         share = float(labels.mean()) if len(labels) else 0.0
         if not 0 < share < 1:
             return cls(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-        often = np.flatnonzero(association(documents, labels) >= LEAST_ASSOCIATION)
+        often = screen(documents, labels) if chosen is None else chosen
         slots = np.full(1 << BITS, -1, dtype=np.int32)
         slots[often] = np.arange(len(often))
         found = [s[s >= 0] for s in (slots[d] for d in documents)]
@@ -113,12 +130,7 @@ class FactorizationMachine:
                 sums = np.stack([np.bincount(text, weights=v[:, f], minlength=len(chosen)) for f in range(FACTORS)], axis=1)
                 total = bias + np.bincount(text, weights=table[slot, 0], minlength=len(chosen)) + 0.5 * ((sums**2).sum(1) - np.bincount(text, weights=(v * v).sum(1), minlength=len(chosen)))
                 error = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - labels[chosen]) * weight[chosen] / len(chosen)
-                e = error[text]
-                grad = np.empty_like(table)
-                grad[:, 0] = np.bincount(slot, weights=e, minlength=n)
-                for f in range(FACTORS):
-                    grad[:, 1 + f] = np.bincount(slot, weights=e * (sums[text, f] - v[:, f]), minlength=n)
-                grad += DECAY * table
+                grad = gradient(slot, text, v, sums, error, n) + DECAY * table
                 seen += grad * grad
                 table -= RATE * grad / np.sqrt(seen)
                 bias_seen += float(error.sum()) ** 2
@@ -135,6 +147,13 @@ def sample_labels(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic).
+
+    Buckets are counted and screened before any document's buckets come to the driver: a row a bucket, and then for each
+    document of the sample those of its buckets that take part.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -144,11 +163,32 @@ def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
                 buckets += [x.astype("<i4").tobytes() for x in np.split(bucket, np.searchsorted(text, np.arange(1, b - a)))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(buckets, pa.binary())], ["doc_id", "toxic", "buckets"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), dtype=np.int32)
+        for batch in batches:
+            for toxic, raw in zip(batch.column("toxic").to_pylist(), batch.column("buckets")):
+                seen[toxic, np.frombuffer(raw.as_buffer(), dtype="<i4")] += 1
+        some = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some].astype(np.int64)) for x in seen]], ["bucket", "other", "toxic"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [x[np.isin(x, chosen)].astype("<i4").tobytes() for x in (np.frombuffer(raw.as_buffer(), dtype="<i4") for raw in batch.column("buckets"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(some, pa.binary())], ["doc_id", "toxic", "buckets"])
+
     sample = F.broadcast(sample_labels(labels).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")))
-    rows = docs.join(sample, "doc_id").mapInArrow(run, "doc_id long, toxic int, buckets binary").toArrow()  # as many rows as the sample
+    found = scratch.save(docs.join(sample, "doc_id").mapInArrow(run, "doc_id long, toxic int, buckets binary"), "sample")
+    counts = found.mapInArrow(count, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = counts.filter(F.col("other") + F.col("toxic") >= LEAST_DOCUMENTS).orderBy("bucket").toArrow()  # 2**BITS rows at most
+    n = found.groupBy("toxic").count().collect()
+    n1, n0 = (sum(r["count"] for r in n if r["toxic"] == x) for x in (1, 0))
+    bucket, other, toxic = (counts[c].to_numpy() for c in ("bucket", "other", "toxic"))
+    chosen = bucket[association(toxic.astype(float), (other + toxic).astype(float), n1, n0 + n1) >= LEAST_ASSOCIATION] if n0 and n1 else bucket[:0]
+    rows = found.mapInArrow(keep, "doc_id long, toxic int, buckets binary").toArrow()  # as many rows as the sample
+    scratch.clear()
     order = sorted(range(rows.num_rows), key=lambda i, x=rows["doc_id"].to_pylist(), y=rows["buckets"].to_pylist(): (x[i], y[i]))
-    found = rows["buckets"].to_pylist()
-    return FactorizationMachine.learn([np.frombuffer(found[i], dtype="<i4").astype(np.int64) for i in order], rows["toxic"].to_numpy().astype(float)[order] if rows.num_rows else np.zeros(0))
+    lists = rows["buckets"].to_pylist()
+    return FactorizationMachine.learn([np.frombuffer(lists[i], dtype="<i4").astype(np.int64) for i in order], rows["toxic"].to_numpy().astype(float)[order] if rows.num_rows else np.zeros(0), chosen)
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
