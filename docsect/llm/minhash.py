@@ -11,8 +11,9 @@ and heavily edited copies.  What is left of a bucket is linked to its head, the
 of its own (of edited copies, the original), links are confirmed on the full sets, and the confirmed links' components
 are found.  Where a bucket still spans several components, the nodes outside its most frequent component meet another
 head of that component in each of STAR_ROUNDS rounds.  By then each node's intersection with its bucket's head is
-known, and two nodes share at most the smaller of these intersections and the smaller of what either shares with others
-beyond its head; only pairs of different components that this bound lets through are compared.  So every pair that
+known, and what it misses of the head and has besides, as bitmaps of hashed shingles.  Two nodes share what the head has and
+neither misses, and what both have besides, which the bitmaps bound from above; only pairs of different components that
+this bound lets through are compared.  So every pair that
 shares a band is compared, or ruled out by a bound, or already belongs together, however large the bucket.
 
 Null and empty texts have the empty set and are linked with nothing.  Texts under five words are one shingle.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,10 @@ from docsect.llm.graph import components
 HASHES = 64
 BANDS = 32
 SIMILARITY = 75  # per cent
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
+LAST = 1 << 40  # more than any set has
+CELL_BITS = 9  # of the bitmaps by which differences from a bucket's head are compared
+CELLS = 1 << CELL_BITS
 #: Rounds that link what is left of a bucket to one node of its main component, before the pairs that the bound lets through are compared.
 STAR_ROUNDS = 1
 
@@ -134,22 +139,37 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 
+def cells(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bitmap of CELLS bits for some shingles, as 64-bit numbers, and how many shingles it shows less than there are."""
+    bits = np.zeros(CELLS, dtype=np.uint8)
+    bits[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64), len(shingles) - int(bits.sum())
+
+
+APART = "missing array<bigint>, missing_more long, extra array<bigint>, extra_more long"
+
+
 def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with same, the size of their full sets' intersection, and both sizes."""
+    """pairs (a, b) with same, the size of their full sets' intersection, both sizes, and bitmaps of what b misses of a and has besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "same", "n_a", "n_b", "missing", "missing_more", "extra", "extra_more"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64()]
         for batch in batches:
-            same, sizes = [], []
+            rows = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                sizes.append((len(x), len(y)))
-                if len(x) > len(y):
-                    x, y = y, x
-                same.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int64()), *[pa.array([z[i] for z in sizes], pa.int64()) for i in (0, 1)]], ["a", "b", "same", "n_a", "n_b"])
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = x[at] == y
+                left = np.ones(len(x), dtype=bool)
+                left[at[both]] = False
+                (missing, more), (extra, most) = cells(x[left]), cells(y[~both])
+                rows.append((int(both.sum()), len(x), len(y), missing, more, extra, most))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names)
 
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, same long, n_a long, n_b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, same long, n_a long, n_b long, " + APART)
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -176,7 +196,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     met = members.withColumn("node", F.xxhash64("digest")).join(own, "node", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
     candidates = scratch.save(met.filter(100 * F.col("m") >= similarity * F.col("n")).select("key", "digest", "n", "m"), "candidates")
     scratch.drop(own, members)
-    enough = lambda common, n, n2: 100 * common >= similarity * (n + n2 - common)
+    enough = lambda common, n, n2: (100 + similarity) * common >= similarity * (n + n2)
     share = F.floor(1000 * (F.col("n") - F.col("m")) / F.col("n")).alias("share")
 
     heads = candidates.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(share, "digest", "n", "m")).alias("head")).filter("size > 1")
@@ -186,11 +206,12 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     tried = scratch.save(intersections(stars.select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct(), sets), "tried")
     links = tried.filter(enough(F.col("same"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     # i: shingles in common with the head; x: those shared with other candidates beyond it; bounds where the two were not compared
-    known = members.join(tried.select(F.col("a").alias("head"), F.col("b").alias("digest"), "same"), ["head", "digest"], "left")
+    apart = [c.split()[0] for c in APART.split(", ")]
+    known = members.join(tried.select(F.col("a").alias("head"), F.col("b").alias("digest"), "same", *apart), ["head", "digest"], "left")
     itself = F.col("digest") == F.col("head")
     i = F.when(itself, F.col("n")).otherwise(F.coalesce("same", F.least("m", "head_m"))).alias("i")
     x = F.when(itself, 0).otherwise(F.coalesce(F.greatest(F.col("m") - F.col("same"), F.lit(0)), "m")).alias("x")
-    members = scratch.save(known.select("key", "digest", "n", "m", i, x), "places")
+    members = scratch.save(known.select("key", "digest", "n", "m", i, x, "head_n", *apart), "places")
     found = components(links, scratch)
     for turn in range(STAR_ROUNDS + 1):
         now = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -206,7 +227,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         else:
             o, v = outside.alias("o"), now.alias("v")
             common = F.least(F.least("o.i", "v.i") + F.least("o.x", "v.x"), "o.m", "v.m")
-            apart = (F.col("o.key") == F.col("v.key")) & (F.col("o.component") != F.col("v.component")) & enough(common, F.col("o.n"), F.col("v.n"))
+            # what both miss of the head, and what both have besides: at most what their bitmaps share and do not show
+            alike = lambda c: F.least(f"o.{c}_more", f"v.{c}_more") + reduce(lambda a, b: a + b, [F.bit_count(F.get(f"o.{c}", F.lit(k)).bitwiseAND(F.get(f"v.{c}", F.lit(k)))) for k in range(CELLS // 64)])
+            nearer = F.col("o.i") + F.col("v.i") - F.col("o.head_n") + alike("missing") + alike("extra")
+            apart = (F.col("o.key") == F.col("v.key")) & (F.col("o.component") != F.col("v.component")) & enough(common, F.col("o.n"), F.col("v.n")) & enough(F.coalesce(nearer, F.lit(LAST)), F.col("o.n"), F.col("v.n"))
             once = (F.col("v.component") == F.col("o.main")) | (F.col("o.digest") < F.col("v.digest"))
             fresh = o.join(v, apart & once).select(F.least("o.digest", "v.digest").alias("a"), F.greatest("o.digest", "v.digest").alias("b"))
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
