@@ -424,7 +424,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, keep_id
     borders = each.join(ends, ["row", "block"]).groupBy("row", "block").applyInArrow(within, "row string, i int, entry int, leaving int")
     borders = scratch.save(borders, "borders")
     scratch.drop(each)
-    traced = chunks.join(borders.hint("merge"), ["row", "i"])  # borders grow with the corpus.mapInArrow(backtrace, "row string, doc_id long, digest string, i int, ids binary")
+    # borders grow with the corpus, so they are never sent to all tasks
+    traced = chunks.join(borders.hint("merge"), ["row", "i"]).mapInArrow(backtrace, "row string, doc_id long, digest string, i int, ids binary")
     joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))
     return ordinary.unionByName(joined.select("doc_id", "parts", "digest").mapInArrow(finish, schema))
 
