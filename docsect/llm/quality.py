@@ -8,8 +8,8 @@ however many there are.  Only DataFrame functions are used.
 
 Null text has no words and fails the base rule.  Labels may be missing, null or repeated; without both classes there
 are no rules and the base rule decides alone.  Extra columns and clashing names pass through keep_good() untouched.
-Very long texts are counted whole; repeated rows get the same verdict; an empty table has no rows.  Words in repeated
-windows are told by 64-bit hashes of hashed words.
+Very long texts are counted whole; repeated rows get the same verdict; an empty table has no rows.  Repeated windows are
+told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_sh
 def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs with its statistics, and the name each one has there; the names clash with none of docs."""
     tag = uuid.uuid4().hex[:8]
-    name = {k: f"_{k}_{tag}" for k in ("words", "lines", "hashes", "grams", "sorted", "dups", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "upper", "marks", "distinct", *FEATURES)}
+    name = {k: f"_{k}_{tag}" for k in ("words", "lines", "grams", "sorted", "dups", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "upper", "marks", "distinct", *FEATURES)}
     col = {k: F.col(v) for k, v in name.items()}
     whole = F.coalesce(F.col(text), F.lit(""))
     size = lambda c: F.size(c).cast("long")
@@ -53,10 +53,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dic
         name["distinct"]: size(F.array_distinct(col["words"])),
         name["n_lines"]: size(col["lines"]),
         name["n_dup_lines"]: size(col["lines"]) - size(F.array_distinct(col["lines"])),
-        name["hashes"]: F.transform(col["words"], lambda w: F.xxhash64(w)),  # each word once
+        name["grams"]: F.when(F.size(col["words"]) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(col["words"]) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(col["words"], i, WINDOW)))),
     })
-    gram = lambda i: F.xxhash64(*[F.get(col["hashes"], i + k) for k in range(WINDOW)])
-    out = out.withColumn(name["grams"], F.when(col["n_words"] >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(col["hashes"]) - WINDOW), gram)))
     repeated = F.size(F.array_distinct(col["grams"])) < F.size(col["grams"])
     out = out.withColumn(name["sorted"], F.when(repeated, F.array_sort(F.transform(col["grams"], lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
     rest = F.size(col["sorted"]) - 1
@@ -75,7 +73,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dic
         name["mark_share"]: share("marks", "n_words"),
         name["distinct_share"]: share("distinct", "n_words"),
     })
-    return out.drop(*[name[k] for k in ("words", "lines", "hashes", "grams", "sorted", "dups", "upper", "marks", "distinct", "n_lines")]), name
+    return out.drop(*[name[k] for k in ("words", "lines", "grams", "sorted", "dups", "upper", "marks", "distinct", "n_lines")]), name
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
