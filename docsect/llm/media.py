@@ -34,7 +34,7 @@ from docsect.llm.common import Scratch, with_clear_names
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
-READ_BYTES = 2 << 20  # of stored payloads, for a task that reads them back
+STRETCH, READ_BYTES = 2 << 20, 128 << 20  # of stored payloads: what is read in one go, and by one task at most
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # the signature and the IHDR chunk
 
@@ -150,15 +150,15 @@ def compact(manifest: DataFrame) -> DataFrame:
     return manifest.drop("shard", "offset", "length").join(one, "digest").select(*[c for c in manifest.columns if c not in ("shard", "offset", "length")], "at.*")
 
 
-def by_bytes(manifest: DataFrame, task_bytes: int = READ_BYTES) -> DataFrame:
-    """The manifest in tasks of about task_bytes stored bytes, each in the order of its shards.
+def by_bytes(manifest: DataFrame) -> DataFrame:
+    """The manifest dealt out by stored bytes, each task's rows in the order of their shards.
 
-    Addresses are cumulative, so an address divided by a task's share tells which stretch of its shard a row is in; only
-    rows of the manifest move.
+    Addresses are cumulative, so an address divided by STRETCH tells which stretch of its shard a row is in; stretches go
+    to tasks of READ_BYTES or less, and to some for every core.  Only rows of the manifest move.
     """
     total = manifest.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, -(-total // task_bytes), manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.repartition(tasks, "shard", F.floor(F.col("offset") / task_bytes)).sortWithinPartitions("shard", "offset")
+    tasks = max(-(-total // READ_BYTES), 4 * manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.repartition(tasks, "shard", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("shard", "offset")
 
 
 def _ranges(batch: pa.RecordBatch, root: str, size: int | None):
