@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docsect.llm.centroids import OP13_SQL, op13_centroid_clustering
 from docsect.llm.chat import OP2_SQL, op2_chat_formatting
 from docsect.llm.media import op1_media_columns
 from docsect.llm.minhash import op8_minhash_near_dedup
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op9_url_filters": OP9_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }
