@@ -11,6 +11,7 @@ from docsect.llm.pieces import op10_sentencepiece
 from docsect.llm.pii import op4_pii
 from docsect.llm.quality import op7_quality_rules
 from docsect.llm.substrings import op6_substring_dedup
+from docsect.llm.suffix_tree import op11_lm_scoring
 from docsect.llm.toxicity import op5_toxicity
 from docsect.llm.urls import OP9_SQL, op9_url_filters
 
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_lm_scoring": op11_lm_scoring,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op9_url_filters": OP9_SQL,
+    "op11_lm_scoring": op11_lm_scoring,
     "op13_centroid_clustering": OP13_SQL,
 }
