@@ -7,6 +7,7 @@ from docsect.llm.chat import OP2_SQL, op2_chat_formatting
 from docsect.llm.media import op1_media_columns
 from docsect.llm.minhash import op8_minhash_near_dedup
 from docsect.llm.packing import op3_best_fit_packing
+from docsect.llm.phrases import OP12_SQL, op12_phrase_mining
 from docsect.llm.pieces import op10_sentencepiece
 from docsect.llm.pii import op4_pii
 from docsect.llm.quality import op7_quality_rules
@@ -27,11 +28,13 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_lm_scoring": op11_lm_scoring,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op9_url_filters": OP9_SQL,
     "op11_lm_scoring": op11_lm_scoring,
+    "op12_phrase_mining": OP12_SQL,
     "op13_centroid_clustering": OP13_SQL,
 }
