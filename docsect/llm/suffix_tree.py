@@ -2,13 +2,14 @@
 
 Tokens are words and one end a text.  A context of k words (1 to DEPTH) seen at least LEAST times is a candidate state.  Its
 next-symbol distribution is smoothed towards that of its parent, the context without its oldest word, by Witten and
-Bell's weights: P(w | s) = (c(s, w) + T(s) * P(w | parent)) / (n(s) + T(s)), T the number of distinct followers; the
+Bell's weights, with followers seen once left to the parent too: P(w | s) = (c(s, w) + B * P(w | parent)) / (n(s) + T(s)),
+where c counts from two, T is the number of distinct followers and B that and the number of those seen once; the
 root's is (c(w) + 1) / (N + V + 1).  A state is kept if its distribution diverges from its parent's by more than chance:
-the sum over followers of c * ln(P'(w | s) / P(w | parent)), where P' leaves the follower's own occurrence out, is at least
+the sum over followers of c * ln(P'(w | s) / P(w | parent)), where P' leaves the follower's own occurrence out (c - 1, and n + T - 1), is at least
 DIVERGENCE nats, or if a longer kept context ends in it.  A token is scored in the longest kept state that ends before it.
 
 The log-probability of a text is a sum over its grams (runs of 1 to DEPTH + 1 tokens): a gram that is a kept state adds
-log(T / (n + T)) for the token after it, and one that was seen in a kept state adds the rest for its last token.  So the
+log(B / (n + T)) for the token after it, and one that was seen in a kept state adds the rest for its last token.  So the
 tree is one table, gram to value, which every text's grams are joined with; the values of the HOT most frequent grams
 travel to all tasks, the others by a shuffle.  Grams of m + 1 tokens are named by the names of their first and last m
 tokens, in 64 bits.  Every level is one pass over the texts, with counts added up inside a task before they are shuffled.  Bitmaps
@@ -36,6 +37,8 @@ DEPTH, LEAST, DIVERGENCE = 3, 16, 3.0
 PARTS, HELD_OUT = 7, 2
 #: Bits of a bitmap, grams whose values go to every task, rows a task counts before it hands them on, bytes it works on at once.
 BITS, HOT, COUNTED, AT_ONCE = 26, 1 << 17, 1 << 21, 4 << 20
+#: Tokens of the corpus for each place where grams are added up.
+SHARD = 1 << 22
 END = np.uint64(0x8F3B5C6D17A29E41)
 
 
@@ -97,23 +100,34 @@ class Tally:
         self.parts = [(key[heads], np.add.reduceat(n[order], heads), *[x[order[heads]] for x in more])]
         self.held = self.merged = len(heads)
 
-    def add(self, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def put(self, key: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if len(key):
             self.parts.append((key, np.ones(len(key), dtype=np.int64), *more))
             self.held += len(key)
             if self.held > self.merged + COUNTED:
                 self._merge()
             if self.merged > 2 * COUNTED:
-                yield from self.rest()
+                yield from self.take()
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
+    def take(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """All that is held: keys, times, and the other columns."""
         if self.held:
             self._merge()
-            _, n, *more = self.parts[0]
-            for i in range(0, len(n), 1 << 16):
-                yield pa.RecordBatch.from_arrays([*[pa.array(x[i : i + (1 << 16)].astype(np.int64) if x.dtype != np.uint64 else x[i : i + (1 << 16)].view(np.int64)) for x in more], pa.array(n[i : i + (1 << 16)])], self.names)
+            yield self.parts[0]
             self.parts, self.held, self.merged = [], 0, 0
 
+    def _batches(self, parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for _, n, *more in parts:
+            columns = [*[x.view(np.int64) for x in more], n]
+            for i in range(0, len(n), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns], self.names)
+
+    def add(self, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from self._batches(self.put(key, *more))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield from self._batches(self.take())
+
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
@@ -134,64 +148,82 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_followers(docs: DataFrame, contexts: dict[int, Bitmap]) -> DataFrame:
-    """level, context, tail and n: the occurrences of each gram whose context of level tokens may be in the level's bitmap.
+def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int) -> DataFrame:
+    """context, tail, c and types: grams whose context of level tokens may be in the bitmap, and their occurrences.
 
-    tail: the gram without its first token, which says with the context what the gram is.
+    tail: the gram without its first token, which says with the context what the gram is.  Grams seen once are only
+    counted: they have no tail, and stand in some rows for each context, of types grams together.  A task sends what it has counted as arrays, one for each of
+    shards ranges of names; a shard's arrays are added up in one place.
     """
     sent = docs.sparkSession.sparkContext.broadcast(contexts)
+    arrays = ["name", "context", "tail", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally = sent.value, Tally(["level", "context", "tail", "n"])
-        with np.errstate(over="ignore"):
-            for _, _, _, names, _, place in _texts(batches):
-                for level in range(1, max(known) + 1):
-                    before, after = names[:-1], names[1:]
-                    names = pair(before, after)
-                    place = place[1:]
-                    if level in known:
-                        at = np.flatnonzero((place >= level) & known[level].has(before))
-                        yield from tally.add(names[at] + np.uint64(level), np.full(len(at), level), before[at], after[at])
-        yield from tally.rest()
+        some, tally = sent.value, Tally(["context", "tail", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "level long, context long, tail long, n long")
-    # rows of a task are distinct, so adding them up before the shuffle would gain nothing
-    return rows.repartition("context", "tail").groupBy("level", "context", "tail").agg(F.sum("n").alias("n"))
+        def dealt(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            for name, n, context, tail in parts:
+                shard = (name % np.uint64(shards)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), len(order))
+                columns = [x[order] for x in (name, context, tail, n.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order][cuts[:-1]]), *[pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in columns]], ["shard", *arrays])
 
-
-def judge(docs: DataFrame, vocabulary: DataFrame, tokens_seen: int, distinct: int, scratch: Scratch, depth: int, least: int, divergence: float) -> list[DataFrame]:
-    """For each level its kept states: context, up (the parent), n, followers."""
-    total = float(tokens_seen + distinct + 1)
+        with np.errstate(over="ignore"):
+            for _, _, _, names, _, place in _texts(batches):
+                for _ in range(level):
+                    before, names = names[:-1], names[1:]
+                    after, names = names, pair(before, names)
+                at = np.flatnonzero((place[level:] >= level) & some.has(before))
+                yield from dealt(tally.put(names[at], before[at], after[at]))
+            yield from dealt(tally.take())
+
+    def add(table: pa.Table) -> pa.Table:
+        name, context, tail, n = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint32 if c == "n" else np.uint64) for c in arrays)
+        order = np.argsort(name)
+        heads = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
+        c, context, tail = np.add.reduceat(n[order].astype(np.int64), heads), context[order[heads]], tail[order[heads]]
+        often = c > 1
+        lone, times = np.unique(context[~often], return_counts=True)
+        return pa.table({
+            "context": np.concatenate([context[often], lone]).view(np.int64), "tail": pa.concat_arrays([pa.array(tail[often].view(np.int64)), pa.nulls(len(lone), pa.int64())]),
+            "c": np.concatenate([c[often], times]), "types": np.concatenate([np.ones(often.sum(), dtype=np.int64), times]),
+        })
+
+    rows = docs.select("text").mapInArrow(run, "shard int, name binary, context binary, tail binary, n binary")
+    return rows.groupBy("shard").applyInArrow(add, "context long, tail long, c long, types long")
+
+
+def judge(docs: DataFrame, vocabulary: DataFrame, tokens_seen: int, distinct: int, scratch: Scratch, depth: int, least: int, divergence: float) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level its kept states (context, up, n, rest), and its grams seen twice or more (gram, context, c, p, p_up)."""
+    total, shards = float(tokens_seen + distinct + 1), 1 + tokens_seen // SHARD
     frequent = vocabulary.filter((F.col("n") >= least) & (F.col("word") != int(END.astype(np.int64)))).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("up"), "n")
-    above = vocabulary.select(F.col("word").alias("tail"), ((F.col("n") + 1) / total).alias("p_up"))
-    levels, heavy = [], []
+    above = vocabulary.filter("n > 1").select(F.col("word").alias("tail"), ((F.col("n") + 1) / total).alias("p_up"))
+    levels = []
     for level in range(1, depth + 1):
-        counted = count_followers(docs, {level: Bitmap(frequent.select("context"))})
-        # followers seen once add the same whatever they are, so they are only counted
-        often = F.when(F.col("n") > 1, F.col("tail")).alias("tail")
-        rows = scratch.save(counted.groupBy("context", often).agg(F.sum("n").alias("c"), F.count("*").alias("types")), "followers")
+        rows = scratch.save(count_followers(docs, level, Bitmap(frequent.select("context")), shards), "followers")
         stats = rows.groupBy("context").agg(F.sum("types").alias("followers"), F.sum(F.when(F.col("tail").isNull(), F.col("types")).otherwise(0)).alias("once"))
         stats = scratch.save(frequent.join(stats, "context"), "contexts")
-        t, n, c, up = F.col("followers"), F.col("n"), F.col("c"), F.col("p_up")
-        more = rows.filter("tail is not null").join(above, "tail").join(stats.select("context", "n", "followers"), "context")
-        more = more.select(F.xxhash64("context", "tail").alias("gram"), "context", "tail", "c", ((c + t * up) / (n + t)).alias("p"), (c * F.ln((c - 1 + t * up) / ((n - 1 + t) * up))).alias("gain"))
-        more = scratch.save(more, "grams")
+        n, c, up = F.col("n"), F.col("c"), F.col("p_up")
+        all_, back = n + F.col("followers"), F.col("once") + F.col("followers")
+        more = rows.filter("tail is not null").join(stats.select("context", "n", "followers", "once"), "context").join(above, "tail")
+        gain = (c * F.ln((c - 1 + back * up) / ((all_ - 1) * up))).cast("float").alias("gain")
+        more = scratch.save(more.select(F.xxhash64("context", "tail").alias("gram"), "context", F.when(c >= least, F.col("tail")).alias("tail"), "c", ((c + back * up) / all_).alias("p"), up, gain), "grams")
         gains = more.groupBy("context").agg(F.sum("gain").alias("gain"))
-        gain = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("once") > 0, F.col("once") * F.ln(t / (n - 1 + t))).otherwise(0.0)
-        levels.append(scratch.save(stats.join(gains, "context", "left").select("context", "up", "n", "followers", (gain >= divergence).alias("diverges")), "judged"))
-        scratch.drop(rows, stats, *heavy)
-        heavy = [more]
-        frequent = more.filter(F.col("c") >= least).select(F.col("gram").alias("context"), F.col("tail").alias("up"), F.col("c").alias("n"))
+        gain = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("once") > 0, F.col("once") * F.ln(back / (all_ - 1))).otherwise(0.0)
+        judged = scratch.save(stats.join(gains, "context", "left").select("context", "up", "n", F.log10(back / all_).alias("rest"), (gain >= divergence).alias("diverges")), "judged")
+        levels.append((judged, more))
+        scratch.drop(rows, stats)
+        frequent = more.filter("tail is not null").select(F.col("gram").alias("context"), F.col("tail").alias("up"), F.col("c").alias("n"))
         above = more.select(F.col("gram").alias("tail"), F.col("p").alias("p_up"))
-    scratch.drop(*heavy)
-    kept: list[DataFrame] = []
-    for judged in reversed(levels):
+    kept: list[tuple[DataFrame, DataFrame]] = []
+    for judged, more in reversed(levels):
         keep = judged.filter("diverges")
         if kept:
-            needed = kept[0].select(F.col("up").alias("context")).distinct()
+            needed = kept[0][0].select(F.col("up").alias("context")).distinct()
             keep = judged.join(needed.withColumn("needed", F.lit(True)), "context", "left").filter(F.col("diverges") | F.col("needed").isNotNull())
-        kept.insert(0, scratch.save(keep.select("context", "up", "n", "followers"), "states"))
-    scratch.drop(*levels)
+        kept.insert(0, (scratch.save(keep.select("context", "up", "n", "rest"), "states"), more))
+        scratch.drop(judged)
     return kept
 
 
@@ -202,21 +234,11 @@ def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEA
     """
     vocabulary = scratch.save(count_words(docs), "words")
     seen, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
-    total = float(seen + distinct + 1)
-    states = judge(docs, vocabulary, seen, distinct, scratch, depth, least, divergence)
-    own = F.log10(F.col("n") + 1.0)
+    own, none = F.log10(F.col("n") + 1.0), (F.lit(0).alias("known"), F.lit(0.0).alias("base"))
     values = vocabulary.select(F.col("word").alias("gram"), "n", F.lit(1).alias("known"), own.alias("base"), own.alias("value"))
-    t, n = F.col("followers"), F.col("states")
-    rest = F.log10(t / (n + t))
-    entries = scratch.save(count_followers(docs, {k: Bitmap(s.select("context")) for k, s in enumerate(states, 1)}), "entries")
-    above, none = vocabulary.select(F.col("word").alias("tail"), ((F.col("n") + 1) / total).alias("p_up")), (F.lit(0).alias("known"), F.lit(0.0).alias("base"))
-    for level, kept in enumerate(states, 1):
-        kept = kept.withColumnRenamed("n", "states")
-        rows = entries.filter(F.col("level") == level).join(kept, "context").join(above, "tail")
-        p = (F.col("n") + t * F.col("p_up")) / (F.col("states") + t)
-        rows = scratch.save(rows.select(F.xxhash64("context", "tail").alias("gram"), "n", p.alias("p"), (F.log10(p) - F.log10("p_up") - rest).alias("value")), "values")
-        values = values.unionByName(rows.select("gram", "n", *none, "value")).unionByName(kept.select(F.col("context").alias("gram"), F.col("states").alias("n"), *none, rest.alias("value")))
-        above = rows.select(F.col("gram").alias("tail"), F.col("p").alias("p_up"))
+    for states, more in judge(docs, vocabulary, seen, distinct, scratch, depth, least, divergence):
+        entries = more.join(states.select("context", "rest"), "context").select("gram", F.col("c").alias("n"), *none, (F.log10("p") - F.log10("p_up") - F.col("rest")).alias("value"))
+        values = values.unionByName(entries).unionByName(states.select(F.col("context").alias("gram"), "n", *none, F.col("rest").alias("value")))
     tree = values.groupBy("gram").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
     tree = scratch.save(tree, "tree")
     scratch.leave(tree)
@@ -241,7 +263,7 @@ SCORED = "row long, doc_id long, n_tokens long, gram long, times long, known lon
 def score(docs: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     """row, doc_id, n_tokens, n_known, base and value: sums over each text's grams.  docs: doc_id, text."""
     hot = most_frequent(tree)
-    sent = docs.sparkSession.sparkContext.broadcast((Bitmap(tree.filter("known = 0 or value <> base").select("gram")), *[hot[c].to_numpy() for c in ("gram", "known", "base", "value")]))
+    sent = docs.sparkSession.sparkContext.broadcast((Bitmap(tree.filter("known = 0").select("gram")), *[hot[c].to_numpy() for c in ("gram", "known", "base", "value")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, hot_gram, *hot_values = sent.value

@@ -26,16 +26,19 @@ def naive(rows, depth, least, divergence):
             for k in range(1, min(i, depth) + 1):
                 followers[tuple(t[i - k : i])][w] += 1
 
+    def back(f):
+        return len(f) + sum(c == 1 for c in f.values())
+
     def p(s, w):
         if not s:
             return (words[w] + 1) / (n + v + 1)
         f = followers[s]
-        return (f[w] + len(f) * p(s[1:], w)) / (sum(f.values()) + len(f))
+        return ((f.get(w, 0) if f.get(w, 0) > 1 else 0) + back(f) * p(s[1:], w)) / (sum(f.values()) + len(f))
 
     def diverges(s):
         f = followers[s]
-        t, m = len(f), sum(f.values())
-        return sum(c * math.log((c - 1 + t * p(s[1:], w)) / ((m - 1 + t) * p(s[1:], w))) for w, c in f.items()) >= divergence
+        b, m = back(f), sum(f.values()) + len(f) - 1
+        return sum(c * math.log((c - 1 + b * p(s[1:], w)) / (m * p(s[1:], w))) for w, c in f.items()) >= divergence
 
     kept = set()
     for s in [s for s, f in followers.items() if sum(f.values()) >= least]:
