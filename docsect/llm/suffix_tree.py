@@ -36,7 +36,8 @@ from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_na
 DEPTH, LEAST, DIVERGENCE = 3, 16, 3.0
 PARTS, HELD_OUT = 7, 2
 #: Bits of a bitmap, grams whose values go to every task, rows a task counts before it hands them on, bytes it works on at once.
-BITS, HOT, COUNTED, AT_ONCE = 26, 1 << 17, 1 << 21, 4 << 20
+BITS, HOT, COUNTED, AT_ONCE = 27, 1 << 17, 1 << 21, 4 << 20
+PROBES = (37, 27, 16)
 #: Tokens of the corpus for each place where grams are added up.
 SHARD = 1 << 22
 END = np.uint64(0x8F3B5C6D17A29E41)
@@ -72,18 +73,26 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Bitmap:
-    """Whether a name may be one of a set: 2**BITS bits, whatever the set."""
+    """Whether a name may be one of a set: 2**BITS bits, whatever the set, of which a name has three.
 
-    def __init__(self, names: DataFrame, bits: int = BITS):
-        low = F.shiftrightunsigned(names[names.columns[0]], 64 - bits)
-        rows = names.select(F.shiftright(low, 6).alias("at"), F.expr("1L").alias("one"), (low % 64).cast("int").alias("bit"))
+    They are taken from the name's first 48 bits.
+    """
+
+    def __init__(self, names: DataFrame):
+        name = names[names.columns[0]]
+        places = F.array(*[F.shiftrightunsigned(name, s).bitwiseAND(F.lit((1 << BITS) - 1)) for s in PROBES])
+        rows = names.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("1L").alias("one"), (F.col("place") % 64).cast("int").alias("bit"))
         rows = rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()  # 2**(BITS - 6) rows at most
-        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << (bits - 6), dtype=np.uint64)
+        self.table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
         self.table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
     def has(self, names: np.ndarray) -> np.ndarray:
-        at = names >> self.shift
-        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out, todo = np.zeros(len(names), dtype=bool), np.arange(len(names))
+        for s in PROBES:
+            place = (names[todo] >> np.uint64(s)) & np.uint64((1 << BITS) - 1)
+            todo = todo[(self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0]
+        out[todo] = True
+        return out
 
 
 class Tally:
