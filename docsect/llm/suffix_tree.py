@@ -2,8 +2,8 @@
 
 Tokens are words and one end a text.  A context of k words (1 to DEPTH) seen at least LEAST times is a candidate state.  Its
 next-symbol distribution is smoothed towards that of its parent, the context without its oldest word, by Witten and
-Bell's weights, with followers seen once left to the parent too: P(w | s) = (c(s, w) + B * P(w | parent)) / (n(s) + T(s)),
-where c counts from two, T is the number of distinct followers and B that and the number of those seen once; the
+Bell's weights, with followers seen less than SEEN times left to the parent too: P(w | s) = (c(s, w) + B * P(w | parent)) / (n(s) + T(s)),
+where c counts from SEEN, T is the number of distinct followers and B that and the occurrences of those that do not count; the
 root's is (c(w) + 1) / (N + V + 1).  A state is kept if its distribution diverges from its parent's by more than chance:
 the sum over followers of c * ln(P'(w | s) / P(w | parent)), where P' leaves the follower's own occurrence out (c - 1, and n + T - 1), is at least
 DIVERGENCE nats, or if a longer kept context ends in it.  A token is scored in the longest kept state that ends before it.
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_names, word_hashes, words
 
-DEPTH, LEAST, DIVERGENCE = 3, 16, 3.0
+DEPTH, LEAST, DIVERGENCE, SEEN = 3, 16, 3.0, 4
 PARTS, HELD_OUT = 7, 2
 #: Bits of a bitmap, grams whose values go to every task, rows a task counts before it hands them on, bytes it works on at once.
-BITS, HOT, COUNTED, AT_ONCE = 27, 1 << 17, 1 << 21, 4 << 20
+BITS, HOT, COUNTED, AT_ONCE = 27, 1 << 20, 1 << 21, 4 << 20
 PROBES = (37, 27, 16)
 #: Tokens of the corpus for each place where grams are added up.
 SHARD = 1 << 22
@@ -95,6 +95,30 @@ class Bitmap:
         return out
 
 
+class Hot:
+    """The place of each of some names in a sorted array, found by its first bits."""
+
+    BITS = 21
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.shift = names, np.uint64(64 - self.BITS)
+        self.begin = np.searchsorted(names >> self.shift, np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """-1 where there is none."""
+        first = (names >> self.shift).astype(np.int64)
+        at, end = self.begin[first], self.begin[first + 1]
+        out, todo = np.full(len(names), -1, dtype=np.int64), np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            same = self.names[at] == names[todo]
+            out[todo[same]] = at[same]
+            at = at + 1
+            left = np.flatnonzero(~same & (at < end))
+            todo, at, end = todo[left], at[left], end[left]
+        return out
+
+
 class Tally:
     """Times of rows by key within a task, handed on in batches when there are many."""
 
@@ -157,15 +181,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int) -> DataFrame:
+def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int, seen: int) -> DataFrame:
     """context, tail, c and types: grams whose context of level tokens may be in the bitmap, and their occurrences.
 
-    tail: the gram without its first token, which says with the context what the gram is.  Grams seen once are only
+    tail: the gram without its first token, which says with the context what the gram is.  Grams seen less than SEEN times are only
     counted: they have no tail, and stand in some rows for each context, of types grams together.  A task sends what it has counted as arrays, one for each of
     shards ranges of names; a shard's arrays are added up in one place.
     """
     sent = docs.sparkSession.sparkContext.broadcast(contexts)
-    arrays = ["name", "context", "tail", "n"]
+    arrays = ["context", "tail", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, tally = sent.value, Tally(["context", "tail", "n"])
@@ -175,7 +199,7 @@ def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int)
                 shard = (name % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), len(order))
-                columns = [x[order] for x in (name, context, tail, n.astype(np.uint32))]
+                columns = [x[order] for x in (context, tail, n.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[order][cuts[:-1]]), *[pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in columns]], ["shard", *arrays])
 
         with np.errstate(over="ignore"):
@@ -188,38 +212,41 @@ def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int)
             yield from dealt(tally.take())
 
     def add(table: pa.Table) -> pa.Table:
-        name, context, tail, n = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint32 if c == "n" else np.uint64) for c in arrays)
+        context, tail, n = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint32 if c == "n" else np.uint64) for c in arrays)
+        with np.errstate(over="ignore"):
+            name = pair(context, tail)
         order = np.argsort(name)
         heads = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
         c, context, tail = np.add.reduceat(n[order].astype(np.int64), heads), context[order[heads]], tail[order[heads]]
-        often = c > 1
-        lone, times = np.unique(context[~often], return_counts=True)
+        often = c >= seen
+        lone, of, times = np.unique(context[~often], return_inverse=True, return_counts=True)
+        less = np.bincount(of, weights=c[~often], minlength=len(lone)).astype(np.int64)
         return pa.table({
             "context": np.concatenate([context[often], lone]).view(np.int64), "tail": pa.concat_arrays([pa.array(tail[often].view(np.int64)), pa.nulls(len(lone), pa.int64())]),
-            "c": np.concatenate([c[often], times]), "types": np.concatenate([np.ones(often.sum(), dtype=np.int64), times]),
+            "c": np.concatenate([c[often], less]), "types": np.concatenate([np.ones(often.sum(), dtype=np.int64), times]),
         })
 
-    rows = docs.select("text").mapInArrow(run, "shard int, name binary, context binary, tail binary, n binary")
+    rows = docs.select("text").mapInArrow(run, "shard int, context binary, tail binary, n binary")
     return rows.groupBy("shard").applyInArrow(add, "context long, tail long, c long, types long")
 
 
-def judge(docs: DataFrame, vocabulary: DataFrame, tokens_seen: int, distinct: int, scratch: Scratch, depth: int, least: int, divergence: float) -> list[tuple[DataFrame, DataFrame]]:
-    """For each level its kept states (context, up, n, rest), and its grams seen twice or more (gram, context, c, p, p_up)."""
+def judge(docs: DataFrame, vocabulary: DataFrame, tokens_seen: int, distinct: int, scratch: Scratch, depth: int, least: int, divergence: float, seen: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level its kept states (context, up, n, rest), and its grams seen SEEN times or more (gram, context, c, p, p_up)."""
     total, shards = float(tokens_seen + distinct + 1), 1 + tokens_seen // SHARD
     frequent = vocabulary.filter((F.col("n") >= least) & (F.col("word") != int(END.astype(np.int64)))).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("up"), "n")
-    above = vocabulary.filter("n > 1").select(F.col("word").alias("tail"), ((F.col("n") + 1) / total).alias("p_up"))
+    above = vocabulary.filter(F.col("n") >= seen).select(F.col("word").alias("tail"), ((F.col("n") + 1) / total).alias("p_up"))
     levels = []
     for level in range(1, depth + 1):
-        rows = scratch.save(count_followers(docs, level, Bitmap(frequent.select("context")), shards), "followers")
-        stats = rows.groupBy("context").agg(F.sum("types").alias("followers"), F.sum(F.when(F.col("tail").isNull(), F.col("types")).otherwise(0)).alias("once"))
+        rows = scratch.save(count_followers(docs, level, Bitmap(frequent.select("context")), shards, seen), "followers")
+        stats = rows.groupBy("context").agg(F.sum("types").alias("followers"), F.sum(F.when(F.col("tail").isNull(), F.col("c")).otherwise(0)).alias("seldom"))
         stats = scratch.save(frequent.join(stats, "context"), "contexts")
         n, c, up = F.col("n"), F.col("c"), F.col("p_up")
-        all_, back = n + F.col("followers"), F.col("once") + F.col("followers")
-        more = rows.filter("tail is not null").join(stats.select("context", "n", "followers", "once"), "context").join(above, "tail")
+        all_, back = n + F.col("followers"), F.col("seldom") + F.col("followers")
+        more = rows.filter("tail is not null").join(stats.select("context", "n", "followers", "seldom"), "context").join(above, "tail")
         gain = (c * F.ln((c - 1 + back * up) / ((all_ - 1) * up))).cast("float").alias("gain")
         more = scratch.save(more.select(F.xxhash64("context", "tail").alias("gram"), "context", F.when(c >= least, F.col("tail")).alias("tail"), "c", ((c + back * up) / all_).alias("p"), up, gain), "grams")
         gains = more.groupBy("context").agg(F.sum("gain").alias("gain"))
-        gain = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("once") > 0, F.col("once") * F.ln(back / (all_ - 1))).otherwise(0.0)
+        gain = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("seldom") > 0, F.col("seldom") * F.ln(back / (all_ - 1))).otherwise(0.0)
         judged = scratch.save(stats.join(gains, "context", "left").select("context", "up", "n", F.log10(back / all_).alias("rest"), (gain >= divergence).alias("diverges")), "judged")
         levels.append((judged, more))
         scratch.drop(rows, stats)
@@ -236,22 +263,22 @@ def judge(docs: DataFrame, vocabulary: DataFrame, tokens_seen: int, distinct: in
     return kept
 
 
-def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> tuple[DataFrame, int, int]:
+def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, seen: int = SEEN) -> tuple[DataFrame, int, int]:
     """The tree of docs as (gram, n, known, base, value), and the numbers of tokens and of distinct ones.
 
     A text's log10 probability is the sum of its grams' values less log10(N + V + 1) for each token; base gives that of the root alone.
     """
     vocabulary = scratch.save(count_words(docs), "words")
-    seen, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
+    total, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
     own, none = F.log10(F.col("n") + 1.0), (F.lit(0).alias("known"), F.lit(0.0).alias("base"))
     values = vocabulary.select(F.col("word").alias("gram"), "n", F.lit(1).alias("known"), own.alias("base"), own.alias("value"))
-    for states, more in judge(docs, vocabulary, seen, distinct, scratch, depth, least, divergence):
+    for states, more in judge(docs, vocabulary, total, distinct, scratch, depth, least, divergence, seen):
         entries = more.join(states.select("context", "rest"), "context").select("gram", F.col("c").alias("n"), *none, (F.log10("p") - F.log10("p_up") - F.col("rest")).alias("value"))
         values = values.unionByName(entries).unionByName(states.select(F.col("context").alias("gram"), "n", *none, F.col("rest").alias("value")))
     tree = values.groupBy("gram").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
     tree = scratch.save(tree, "tree")
     scratch.leave(tree)
-    return tree, seen, distinct
+    return tree, total, distinct
 
 
 def most_frequent(tree: DataFrame, limit: int = HOT) -> pa.Table:
@@ -263,7 +290,7 @@ def most_frequent(tree: DataFrame, limit: int = HOT) -> pa.Table:
         if total > limit:
             break
         cut = r["size"]
-    return tree.filter(size >= cut if cut is not None else F.lit(False)).orderBy("gram").toArrow()
+    return tree.filter(size >= cut if cut is not None else F.lit(False)).toArrow()
 
 
 SCORED = "row long, doc_id long, n_tokens long, gram long, times long, known long, base double, value double"
@@ -277,7 +304,7 @@ def score(docs: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, hot_gram, *hot_values = sent.value
         order = np.argsort(hot_gram.view(np.uint64))
-        hot_gram, hot_values = hot_gram.view(np.uint64)[order], [x[order] for x in hot_values]
+        hot, hot_values = Hot(hot_gram.view(np.uint64)[order]), [x[order] for x in hot_values]
         row = TaskContext.get().partitionId() << 40
         for batch, a, b, names, text, place in _texts(batches):
             n = b - a
@@ -290,12 +317,12 @@ def score(docs: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
                         names, place, text = pair(names[:-1], names[1:]), place[1:], text[1:]
                     at = np.flatnonzero((place >= m - 1) & some.has(names)) if m > 1 else np.arange(len(names))
                     gram, of = names[at], text[at]
-                    if len(hot_gram):
-                        slot = np.minimum(np.searchsorted(hot_gram, gram), len(hot_gram) - 1)
-                        found = hot_gram[slot] == gram
-                        for s, v in zip(sums, hot_values):
+                    slot = hot.find(gram)
+                    found = slot >= 0
+                    for k, (s, v) in enumerate(zip(sums, hot_values)):
+                        if m == 1 or k == 2:  # longer grams have only values
                             s += np.bincount(of[found], weights=v[slot[found]], minlength=n)
-                        gram, of = gram[~found], of[~found]
+                    gram, of = gram[~found], of[~found]
                     order = np.lexsort((gram, of))
                     gram, of = gram[order], of[order]
                     heads = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1]))) if len(gram) else np.zeros(0, dtype=np.int64)
@@ -318,15 +345,15 @@ def score(docs: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     return both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), add("known"), add("base"), add("value"))
 
 
-def score_all(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+def score_all(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, seen: int = SEEN) -> DataFrame:
     """Every text's log10 probability, by a tree of those that are not held out."""
     scratch = Scratch(docs.sparkSession, "suffix-tree")
     docs = with_clear_names(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    tree, seen, distinct = grow(docs.filter(~held_out(F.col("doc_id"))), scratch, depth, least, divergence)
-    each = math.log10(seen + distinct + 1)
+    tree, total, distinct = grow(docs.filter(~held_out(F.col("doc_id"))), scratch, depth, least, divergence, seen)
+    each = math.log10(total + distinct + 1)
     less = lambda c: (F.col(c) - F.col("n_tokens") * each)
     found = score(docs, tree, depth)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(seen).cast("long").alias("train_tokens"), less("base").alias("base_score"), less("value").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), less("base").alias("base_score"), less("value").alias("score"))
 
 
 def op11_lm_scoring(spark, sf_dir: str) -> DataFrame:

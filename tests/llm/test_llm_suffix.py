@@ -13,7 +13,7 @@ from docsect.llm import suffix_tree as S
 END = "\0end"
 
 
-def naive(rows, depth, least, divergence):
+def naive(rows, depth, least, divergence, seen):
     """The tree's definition, with dictionaries; scores of all rows."""
     cut = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").split(" ") if w] + [END]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
@@ -27,18 +27,18 @@ def naive(rows, depth, least, divergence):
                 followers[tuple(t[i - k : i])][w] += 1
 
     def back(f):
-        return len(f) + sum(c == 1 for c in f.values())
+        return len(f) + sum(c for c in f.values() if c < seen)
 
     def p(s, w):
         if not s:
             return (words[w] + 1) / (n + v + 1)
         f = followers[s]
-        return ((f.get(w, 0) if f.get(w, 0) > 1 else 0) + back(f) * p(s[1:], w)) / (sum(f.values()) + len(f))
+        return ((f.get(w, 0) if f.get(w, 0) >= seen else 0) + back(f) * p(s[1:], w)) / (sum(f.values()) + len(f))
 
     def diverges(s):
         f = followers[s]
         b, m = back(f), sum(f.values()) + len(f) - 1
-        return sum(c * math.log((c - 1 + b * p(s[1:], w)) / (m * p(s[1:], w))) for w, c in f.items()) >= divergence
+        return sum(c * math.log(((c - 1) * (c >= seen) + b * p(s[1:], w)) / (m * p(s[1:], w))) for w, c in f.items()) >= divergence
 
     kept = set()
     for s in [s for s, f in followers.items() if sum(f.values()) >= least]:
@@ -72,10 +72,10 @@ def corpus():
 def test_scores_are_those_of_a_naive_tree(spark):
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], "doc_id long, text string, gram long, value int, row string").repartition(3)
-    for depth, least, divergence in ((3, 4, 3.0), (1, 2, 0.0), (2, 6, 20.0)):
-        want, kept = naive(rows, depth, least, divergence)
+    for depth, least, divergence, seen in ((3, 4, 3.0, 2), (1, 3, 0.0, 3), (2, 6, 20.0, 4)):
+        want, kept = naive(rows, depth, least, divergence, seen)
         assert any(len(s) == depth for s in kept) and len(kept) > 3
-        got = [tuple(r) for r in S.score_all(df, depth, least, divergence).collect()]
+        got = [tuple(r) for r in S.score_all(df, depth, least, divergence, seen).collect()]
         key = lambda r: (r[0] is None, r[0] or 0, r[2], r[3])
         got, want = sorted(got, key=key), sorted(want, key=key)
         assert [g[:5] for g in got] == [w[:5] for w in want]
