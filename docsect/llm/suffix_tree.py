@@ -36,7 +36,7 @@ from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_na
 DEPTH, LEAST, DIVERGENCE, SEEN = 3, 16, 3.0, 4
 PARTS, HELD_OUT = 7, 2
 #: Bits of a bitmap, grams whose values go to every task, rows a task counts before it hands them on, bytes it works on at once.
-BITS, HOT, COUNTED, AT_ONCE = 27, 1 << 20, 1 << 21, 4 << 20
+BITS, HOT, COUNTED, AT_ONCE = 27, 1 << 20, 1 << 20, 4 << 20
 PROBES = (37, 27, 16)
 #: Tokens of the corpus for each place where grams are added up.
 SHARD = 1 << 22
@@ -139,7 +139,7 @@ class Tally:
             self.held += len(key)
             if self.held > self.merged + COUNTED:
                 self._merge()
-            if self.merged > 2 * COUNTED:
+            if self.merged > COUNTED:
                 yield from self.take()
 
     def take(self) -> Iterator[tuple[np.ndarray, ...]]:
