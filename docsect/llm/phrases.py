@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsect.llm.common import LOWER, Scratch, groups, mix, text_bytes, with_clear_names, word_hashes
-from docsect.llm.suffix_tree import Bitmap, Tally, pair
+from docsect.llm.tally import SHARD, Bitmap, Tally, dealt, dealt_schema, gathered, pair
 
 LEAST, SHARE, FIRST = 10, 50, 2000
 #: Keys of one hash, arrays added up at once, slots in a row, and bytes a task works on at once.
@@ -124,47 +124,52 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
-def full_buckets(docs: DataFrame, least: int, words: Bitmap, pairs: Bitmap | None = None) -> DataFrame:
+def full_buckets(docs: DataFrame, least: int, shards: int, words: Bitmap, pairs: Bitmap | None = None) -> DataFrame:
     """bucket: the buckets of pairs, or of triples of known pairs, with at least least occurrences."""
     sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = sent.value
-        tally = Tally(["bucket", "n"])
+        tally = Tally(["bucket"])
         for *_, names, joined, _ in _texts(batches):
             _, two, _, three = _grams(names, joined, words, pairs)
             bucket = (two if pairs is None else three) >> np.uint64(16)
-            yield from tally.add(bucket, bucket)
-        yield from tally.rest()
+            yield from dealt(tally.put(bucket, bucket), shards, tally.names)
+        yield from dealt(tally.take(), shards, tally.names)
+
+    def add(table: pa.Table) -> pa.Table:
+        n, bucket = gathered(table, ["bucket"], lambda x: x)
+        return pa.table({"bucket": bucket[n >= least].view(np.int64)})
 
-    # rows of a task are distinct, so adding them up before the shuffle would gain nothing
-    return docs.mapInArrow(run, "bucket long, n long").repartition("bucket").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("bucket")
+    return docs.mapInArrow(run, dealt_schema(["bucket"])).groupBy("shard").applyInArrow(add, "bucket long")
 
 
-def candidates(docs: DataFrame, words: Bitmap, pairs: Bitmap, triples: Bitmap) -> DataFrame:
-    """name, lang, size, head and tail (the names of the gram without its last and its first word) of what stands in full buckets, maybe with others."""
+def candidates(docs: DataFrame, shards: int, words: Bitmap, pairs: Bitmap, triples: Bitmap) -> DataFrame:
+    """name, lang_name, size, head and tail (the names of the gram without its last and its first word) of what stands in full buckets, maybe with others."""
     sent = docs.sparkSession.sparkContext.broadcast((words, pairs, triples))
+    arrays = ["head", "tail", "lang_name", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, triples = sent.value
-        seen = np.zeros(0, dtype=np.uint64)
+        tally = Tally(arrays)
         for batch, text, _, _, _, names, joined, _ in _texts(batches):
+            lang = batch.column("lang_name").to_numpy(zero_copy_only=False).view(np.uint64)
             at, two, at3, three = _grams(names, joined, words, pairs)
             keep = triples.has(three)
             at3, three = at3[keep], three[keep]
             with np.errstate(over="ignore"):
                 parts = ((2, two, at, names[at], names[at + 1]), (3, three, at3, pair(names[at3], names[at3 + 1]), pair(names[at3 + 1], names[at3 + 2])))
             for size, name, where, head, tail in parts:
-                new, first = np.unique(name, return_index=True)
-                fresh = ~np.isin(new, seen)
-                new, first = new[fresh], first[fresh]
-                seen = np.union1d(seen, new)
-                lang = batch.column("lang").take(pa.array(text[where[first]]))
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), lang, pa.array(np.full(len(new), size, dtype=np.int32)), pa.array(head[first].view(np.int64)), pa.array(tail[first].view(np.int64))], ["name", "lang", "size", "head", "tail"])
-            if len(seen) > 1 << 21:
-                seen = seen[:0]
+                yield from dealt(tally.put(name, head, tail, lang[text[where]], np.full(len(name), size, dtype=np.uint64)), shards, arrays)
+        yield from dealt(tally.take(), shards, arrays)
+
+    def add(table: pa.Table) -> pa.Table:
+        _, head, tail, lang, size = gathered(table, arrays, lambda head, tail, *_: pair(head, tail))
+        with np.errstate(over="ignore"):
+            name = pair(head, tail)
+        return pa.table({"name": name.view(np.int64), "lang_name": lang.view(np.int64), "size": size.astype(np.int32), "head": head.view(np.int64), "tail": tail.view(np.int64)})
 
-    return docs.mapInArrow(run, "name long, lang string, size int, head long, tail long")
+    return docs.mapInArrow(run, dealt_schema(arrays)).groupBy("shard").applyInArrow(add, "name long, lang_name long, size int, head long, tail long")
 
 
 def count_slots(docs: DataFrame, keys: PerfectHash, words: Bitmap, pairs: Bitmap) -> np.ndarray:
@@ -257,15 +262,16 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, first:
     lang = F.coalesce("lang", F.lit("und"))
     docs = with_clear_names(docs.withColumn("lang", F.col("lang").cast("string")) if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string")), "lang", "text").select("text", lang.alias("lang"), F.xxhash64(lang).alias("lang_name"))
     unfold = lambda buckets: buckets.select(F.shiftleft("bucket", 16).alias("name"))
-    words = Bitmap(count_words(docs).filter(F.col("n") >= least).select("name"))
-    two = scratch.save(full_buckets(docs, least, words), "pairs")
+    counted = scratch.save(count_words(docs), "words")
+    words, shards = Bitmap(counted.filter(F.col("n") >= least).select("name")), 1 + int(counted.agg(F.sum("n")).first()[0] or 0) // SHARD
+    two = scratch.save(full_buckets(docs, least, shards, words), "pairs")
     pairs = Bitmap(unfold(two))
-    three = scratch.save(full_buckets(docs, least, words, pairs), "triples")
+    three = scratch.save(full_buckets(docs, least, shards, words, pairs), "triples")
     triples = Bitmap(unfold(three))
-    found = candidates(docs, words, pairs, triples).dropDuplicates(["name"])
+    found = candidates(docs, shards, words, pairs, triples)
     full = two.withColumn("size", F.lit(2)).unionByName(three.withColumn("size", F.lit(3)))
-    found = scratch.save(found.withColumn("bucket", F.shiftrightunsigned("name", 16)).join(full, ["size", "bucket"], "left_semi").drop("bucket").withColumn("lang_name", F.xxhash64("lang")), "candidates")
-    scratch.drop(two, three)
+    found = scratch.save(found.withColumn("bucket", F.shiftrightunsigned("name", 16)).join(full, ["size", "bucket"], "left_semi").drop("bucket"), "candidates")
+    scratch.drop(counted, two, three)
     known = found.filter("size = 2")
     # a triple's first and last words are those of its pairs; where a pair is no candidate the triple is not frequent
     a, b = known.select(F.col("name").alias("head"), F.col("head").alias("first")), known.select(F.col("name").alias("tail"), F.col("tail").alias("last"))
@@ -284,20 +290,21 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, first:
     cut = lambda l, r, k: F.struct(ratio(l, r).alias("score"), F.lit(k).alias("k"), F.col(f"f_{l}").alias("l"), F.col(f"f_{r}").alias("r"))
     counted = rows.filter(F.col("f_name") >= least)
     lowest = F.when(F.col("size") == 2, cut("head", "tail", 1)).otherwise(F.least(cut("first", "tail", 1), cut("head", "last", 2)))
-    counted = scratch.save(counted.select("name", "lang", "size", "head", "tail", F.col("f_name").alias("a"), F.col("f_lang_name").alias("n"), lowest.alias("cut")), "counted")
+    counted = scratch.save(counted.select("name", "lang_name", "size", "head", "tail", F.col("f_name").alias("a"), F.col("f_lang_name").alias("n"), lowest.alias("cut")), "counted")
     inside = counted.filter("size = 3").select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("name"), F.col("a").alias("longer")).groupBy("name").agg(F.max("longer").alias("longer"))
     left = counted.join(inside, "name", "left").filter(F.col("longer").isNull() | (F.lit(100).cast("decimal(38,0)") * F.col("longer") < F.lit(share) * F.col("a").cast("decimal(38,0)")))
-    left = scratch.save(left.select("name", "lang", "a", "cut.l", "cut.r", "n", "cut.score"), "scored")
+    left = scratch.save(left.select("name", "lang_name", "a", "cut.l", "cut.r", "n", "cut.score"), "scored")
     # a language is ranked in parts first, so that no task gets all of it; ties at the end of the first are all kept until they are spelled
     part = F.pmod(F.xxhash64("name"), F.lit(64))
     order = [F.desc("score"), F.desc("a")]
-    best = left.withColumn("rank", F.rank().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= first)
-    chosen = scratch.save(best.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= first).drop("rank"), "chosen")
+    best = left.withColumn("rank", F.rank().over(Window.partitionBy("lang_name", part).orderBy(*order))).filter(F.col("rank") <= first)
+    chosen = scratch.save(best.withColumn("rank", F.rank().over(Window.partitionBy("lang_name").orderBy(*order))).filter(F.col("rank") <= first).drop("rank"), "chosen")
     spelled = spell(docs, chosen, words).groupBy("name").agg(F.min("phrase").alias("phrase"))
-    named = scratch.save(chosen.join(spelled, "name"), "spelled")
+    languages = docs.select("lang", "lang_name").distinct()
+    named = scratch.save(chosen.join(spelled, "name").join(languages, "lang_name"), "spelled")
     scratch.leave(named)
-    best = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order, "phrase"))).filter(F.col("rank") <= first)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).filter(F.col("rank") <= first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang_name", part).orderBy(*order, "phrase"))).filter(F.col("rank") <= first)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("lang_name").orderBy(*order, "phrase")).cast("long")).filter(F.col("rank") <= first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_phrase_mining(spark, sf_dir: str) -> DataFrame:

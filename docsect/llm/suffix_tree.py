@@ -32,14 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_names, word_hashes, words
+from docsect.llm.tally import SHARD, Bitmap, Hot, Tally, dealt, dealt_schema, gathered, pair
 
 DEPTH, LEAST, DIVERGENCE, SEEN = 3, 16, 3.0, 4
 PARTS, HELD_OUT = 7, 2
-#: Bits of a bitmap, grams whose values go to every task, rows a task counts before it hands them on, bytes it works on at once.
-BITS, HOT, COUNTED, AT_ONCE = 27, 1 << 20, 1 << 20, 4 << 20
-PROBES = (37, 27, 16)
-#: Tokens of the corpus for each place where grams are added up.
-SHARD = 1 << 22
+#: Grams whose values go to every task, and bytes a task works on at once.
+HOT, AT_ONCE = 1 << 20, 4 << 20
 END = np.uint64(0x8F3B5C6D17A29E41)
 
 
@@ -47,20 +45,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % PARTS == HELD_OUT, F.lit(False))
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The name of a gram by those of its first and last tokens: what xxhash64(a, b) is as a column."""
-    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    out = np.uint64(42)
-    for x in (a, b):
-        out = (out + p5 + np.uint64(8)) ^ turn(x * p2, 31) * p1
-        out = turn(out, 27) * p1 + p4
-        out = (out ^ (out >> np.uint64(33))) * p2
-        out = (out ^ (out >> np.uint64(29))) * p3
-        out ^= out >> np.uint64(32)
-    return out
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of all tokens of some texts, the text of each, and its place there."""
     lower, n = LOWER[data], len(offsets) - 1
@@ -72,96 +56,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, text, np.arange(len(out)) - (first[:-1] + np.arange(n))[text]
 
 
-class Bitmap:
-    """Whether a name may be one of a set: 2**BITS bits, whatever the set, of which a name has three.
-
-    They are taken from the name's first 48 bits.
-    """
-
-    def __init__(self, names: DataFrame):
-        name = names[names.columns[0]]
-        places = F.array(*[F.shiftrightunsigned(name, s).bitwiseAND(F.lit((1 << BITS) - 1)) for s in PROBES])
-        rows = names.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("1L").alias("one"), (F.col("place") % 64).cast("int").alias("bit"))
-        rows = rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()  # 2**(BITS - 6) rows at most
-        self.table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-        self.table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-
-    def has(self, names: np.ndarray) -> np.ndarray:
-        out, todo = np.zeros(len(names), dtype=bool), np.arange(len(names))
-        for s in PROBES:
-            place = (names[todo] >> np.uint64(s)) & np.uint64((1 << BITS) - 1)
-            todo = todo[(self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0]
-        out[todo] = True
-        return out
-
-
-class Hot:
-    """The place of each of some names in a sorted array, found by its first bits."""
-
-    BITS = 21
-
-    def __init__(self, names: np.ndarray):
-        self.names, self.shift = names, np.uint64(64 - self.BITS)
-        self.begin = np.searchsorted(names >> self.shift, np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def find(self, names: np.ndarray) -> np.ndarray:
-        """-1 where there is none."""
-        first = (names >> self.shift).astype(np.int64)
-        at, end = self.begin[first], self.begin[first + 1]
-        out, todo = np.full(len(names), -1, dtype=np.int64), np.flatnonzero(at < end)
-        at, end = at[todo], end[todo]
-        while len(todo):
-            same = self.names[at] == names[todo]
-            out[todo[same]] = at[same]
-            at = at + 1
-            left = np.flatnonzero(~same & (at < end))
-            todo, at, end = todo[left], at[left], end[left]
-        return out
-
-
-class Tally:
-    """Times of rows by key within a task, handed on in batches when there are many."""
-
-    def __init__(self, names: list[str]):
-        self.names, self.parts, self.held, self.merged = names, [], 0, 0
-
-    def _merge(self) -> None:
-        key, n, *more = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(key)
-        key = key[order]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        self.parts = [(key[heads], np.add.reduceat(n[order], heads), *[x[order[heads]] for x in more])]
-        self.held = self.merged = len(heads)
-
-    def put(self, key: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        if len(key):
-            self.parts.append((key, np.ones(len(key), dtype=np.int64), *more))
-            self.held += len(key)
-            if self.held > self.merged + COUNTED:
-                self._merge()
-            if self.merged > COUNTED:
-                yield from self.take()
-
-    def take(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """All that is held: keys, times, and the other columns."""
-        if self.held:
-            self._merge()
-            yield self.parts[0]
-            self.parts, self.held, self.merged = [], 0, 0
-
-    def _batches(self, parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        for _, n, *more in parts:
-            columns = [*[x.view(np.int64) for x in more], n]
-            for i in range(0, len(n), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns], self.names)
-
-    def add(self, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from self._batches(self.put(key, *more))
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        yield from self._batches(self.take())
-
-
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
@@ -189,35 +83,22 @@ def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int,
     shards ranges of names; a shard's arrays are added up in one place.
     """
     sent = docs.sparkSession.sparkContext.broadcast(contexts)
-    arrays = ["context", "tail", "n"]
+    arrays = ["context", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, tally = sent.value, Tally(["context", "tail", "n"])
 
-        def dealt(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            for name, n, context, tail in parts:
-                shard = (name % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), len(order))
-                columns = [x[order] for x in (context, tail, n.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[order][cuts[:-1]]), *[pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in columns]], ["shard", *arrays])
-
         with np.errstate(over="ignore"):
             for _, _, _, names, _, place in _texts(batches):
                 for _ in range(level):
                     before, names = names[:-1], names[1:]
                     after, names = names, pair(before, names)
                 at = np.flatnonzero((place[level:] >= level) & some.has(before))
-                yield from dealt(tally.put(names[at], before[at], after[at]))
-            yield from dealt(tally.take())
+                yield from dealt(tally.put(names[at], before[at], after[at]), shards, arrays)
+            yield from dealt(tally.take(), shards, arrays)
 
     def add(table: pa.Table) -> pa.Table:
-        context, tail, n = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint32 if c == "n" else np.uint64) for c in arrays)
-        with np.errstate(over="ignore"):
-            name = pair(context, tail)
-        order = np.argsort(name)
-        heads = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
-        c, context, tail = np.add.reduceat(n[order].astype(np.int64), heads), context[order[heads]], tail[order[heads]]
+        c, context, tail = gathered(table, arrays, pair)
         often = c >= seen
         lone, of, times = np.unique(context[~often], return_inverse=True, return_counts=True)
         less = np.bincount(of, weights=c[~often], minlength=len(lone)).astype(np.int64)
@@ -226,7 +107,7 @@ def count_followers(docs: DataFrame, level: int, contexts: Bitmap, shards: int,
             "c": np.concatenate([c[often], less]), "types": np.concatenate([np.ones(often.sum(), dtype=np.int64), times]),
         })
 
-    rows = docs.select("text").mapInArrow(run, "shard int, context binary, tail binary, n binary")
+    rows = docs.select("text").mapInArrow(run, dealt_schema(arrays))
     return rows.groupBy("shard").applyInArrow(add, "context long, tail long, c long, types long")
 
 

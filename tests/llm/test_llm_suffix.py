@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docsect.llm import suffix_tree as S
+from docsect.llm import tally
 
 END = "\0end"
 
@@ -99,7 +100,7 @@ def test_names_of_grams(spark):
     a, b = (rng.integers(-(2**63), 2**63 - 1, 200) for _ in range(2))
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
     with np.errstate(over="ignore"):
-        assert [r[0] for r in df.select(F.xxhash64("a", "b")).collect()] == S.pair(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist()
+        assert [r[0] for r in df.select(F.xxhash64("a", "b")).collect()] == tally.pair(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist()
 
 
 def test_empty_tables(spark):
