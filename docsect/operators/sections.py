@@ -24,7 +24,7 @@ CHUNK_LINES = 20
 BLOCK = 256
 
 FILES = "repo string, file string, content string"
-SECTIONS = ("repo", "file", "seq", "id", "path", "title", "depth", "parent", "keywords", "summary", "line_count", "byte_offset", "byte_length", "content")
+SECTIONS = ("repo", "file", "seq", "id", "path", "title", "depth", "parent", "keywords", "summary", "line_count", "byte_offset", "byte_length", "content", "hash")
 #: A section before its place is known.  fixed: kept even if blank, with base as its id.
 PART = "struct<title: string, depth: int, slug: string, base: string, content: string, fixed: boolean>"
 
@@ -208,12 +208,17 @@ def parse(files: DataFrame) -> DataFrame:
 
 def parse_stored(files: DataFrame) -> DataFrame:
     """The same for files whose text is the stored one, in which .mdx files are clean."""
-    return complete(_parse(files, F.lower("file").endswith(".rst")))
+    return complete(cut_stored(files))
+
+
+def cut_stored(files: DataFrame) -> DataFrame:
+    """The same before keywords and summary are told from each section's text."""
+    return _parse(files, F.lower("file").endswith(".rst"))
 
 
 def complete(sections: DataFrame) -> DataFrame:
     out = sections.withColumns({"keywords": X.keywords(F.col("content")), "summary": X.simple_summary(F.col("title"), F.col("content")), "byte_length": F.octet_length("content").cast("long")})
-    return out.select(*SECTIONS)
+    return out.withColumn("hash", F.sha2("content", 256)).select(*SECTIONS)
 
 
 def stored_text(files: DataFrame) -> DataFrame:

@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsect.functions import text as X
+from docsect.operators import sections as S
 
 CONCURRENCY = 8
-MAX_TOKENS = 100
 PATIENCE = 3
+#: The clients' settings (fixed values): what an answer may be long, addresses and models that hold where the environment names none.
+MAX_TOKENS = 100
+OLLAMA_URL, OLLAMA_MODEL = "http://localhost:11434/api/generate", "qwen3:4b"
+ANTHROPIC_URL, ANTHROPIC_VERSION, ANTHROPIC_MODEL = "https://api.anthropic.com/v1/messages", "2023-06-01", "claude-haiku-4-5-20251001"
 
 
 def chain(*clients: Callable[[str], str]) -> Callable[[str], str]:
@@ -64,35 +68,70 @@ def ollama(url: str, model: str, send=post) -> Callable[[str], str]:
 
 
 def anthropic(key: str, model: str, send=post) -> Callable[[str], str]:
-    headers, body = {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": model, "max_tokens": MAX_TOKENS}
-    return lambda prompt: send("https://api.anthropic.com/v1/messages", headers, body | {"messages": [{"role": "user", "content": prompt}]})["content"][0]["text"]
+    headers, body = {"x-api-key": key, "anthropic-version": ANTHROPIC_VERSION}, {"model": model, "max_tokens": MAX_TOKENS}
+    return lambda prompt: send(ANTHROPIC_URL, headers, body | {"messages": [{"role": "user", "content": prompt}]})["content"][0]["text"]
 
 
 def default_client(env=os.environ, send=post) -> Callable[[str], str] | None:
     """The clients that the environment asks for, in order; None where it asks for none."""
     clients = []
     if env.get("USE_OLLAMA", "true").lower() == "true":
-        clients.append(ollama(env.get("OLLAMA_URL", "http://localhost:11434/api/generate"), env.get("OLLAMA_MODEL", "qwen3:4b"), send))
+        clients.append(ollama(env.get("OLLAMA_URL", OLLAMA_URL), env.get("OLLAMA_MODEL", OLLAMA_MODEL), send))
     if env.get("ANTHROPIC_API_KEY"):
-        clients.append(anthropic(env["ANTHROPIC_API_KEY"], env.get("ANTHROPIC_MODEL", "claude-haiku-4-5-20251001"), send))
+        clients.append(anthropic(env["ANTHROPIC_API_KEY"], env.get("ANTHROPIC_MODEL", ANTHROPIC_MODEL), send))
     return chain(*map(patient, clients)) if clients else None
 
 
-def summarize(sections: DataFrame, ask: Callable[[str], str] | None = None) -> DataFrame:
-    """sections with summary filled: short sections at once, others by ask(prompt), or else by their text alone, as if ask fails."""
+def model_name(env=os.environ) -> str:
+    """What answers come from, for telling whether answers of before are of the same source."""
+    names = [f"ollama:{env.get('OLLAMA_MODEL', OLLAMA_MODEL)}"] * (env.get("USE_OLLAMA", "true").lower() == "true") + [f"anthropic:{env.get('ANTHROPIC_MODEL', ANTHROPIC_MODEL)}"] * bool(env.get("ANTHROPIC_API_KEY"))
+    return " ".join(names)
+
+
+def summarize(sections: DataFrame, ask: Callable[[str], str] | None = None, known: str | None = None) -> DataFrame:
+    """sections with summary filled: short sections at once, others by ask(prompt), or else by their text alone, as if ask fails.
+
+    known: a column with an answer of before, null where there is none; those sections are not asked about.  Sections go
+    through in one pass, without their text where there is someone to ask.
+    """
     title, content = F.col("title"), F.col("content")
     if ask is None:
         return sections.withColumn("summary", X.simple_summary(title, content))
     short = X.short_summary(content, F.col("line_count"))
-    done = sections.filter(short.isNotNull()).withColumn("summary", short)
-    schema = sections.withColumn("summary", F.lit("")).schema
-    names, ask = schema.names, chain(ask)
+    names = [*dict.fromkeys([*(c for c in sections.columns if c not in ("content", known)), "summary"])]
+    done = F.coalesce(short, F.col(known)) if known else short
+    rows = sections.withColumn("summary", F.coalesce(done, X.fallback_summary(title, content)))
+    rows = rows.withColumn("_prompt", F.when(done.isNull(), X.prompt(title, content)))
+    ask = chain(ask)
 
     def run(batches):
         with ThreadPoolExecutor(CONCURRENCY) as pool:
             for pdf in batches:
-                answers = list(pool.map(ask, pdf["_prompt"]))
-                yield pdf.assign(summary=pd.Series([a or b for a, b in zip(answers, pdf["_else"])], index=pdf.index))[names]
+                asked = pdf["_prompt"].notna()
+                answers = list(pool.map(ask, pdf.loc[asked, "_prompt"]))
+                told = pdf["summary"].copy()
+                told[asked] = [a or b for a, b in zip(answers, pdf.loc[asked, "summary"])]
+                yield pdf.assign(summary=told)[names]
+
+    return rows.select(*names, "_prompt").mapInPandas(run, rows.select(*names).schema)
+
+
+class Parser:
+    """Files to sections for an index.  With someone to ask, known() asks only about sections that were not told of before."""
+
+    def __init__(self, ask: Callable[[str], str] | None = None, model: str = ""):
+        self.ask, self.model = ask, model if ask else "plain"
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        return summarize(S.parse_stored(files), self.ask)
+
+    def known(self, files: DataFrame, old: DataFrame, same_model: bool = True) -> DataFrame:
+        """old: sections of before; those with the same title and text keep their answers, if they are the same model's.
 
-    rest = sections.filter(short.isNull()).withColumn("summary", F.lit("")).select(*names, X.prompt(title, content).alias("_prompt"), X.fallback_summary(title, content).alias("_else"))
-    return done.select(*names).unionByName(rest.mapInPandas(run, schema))
+        A section that nobody has answered for has its fallback as summary, and is asked about again.
+        """
+        new = S.parse_stored(files)
+        told = old.groupBy("hash", "title").agg(F.max("summary").alias("_told"))
+        both = new.join(told if same_model else told.limit(0), ["hash", "title"], "left")
+        earlier = F.when(F.col("_told") != X.fallback_summary(F.col("title"), F.col("content")), F.col("_told"))
+        return summarize(both.withColumn("_told", earlier), self.ask, "_told")

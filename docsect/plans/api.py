@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsect.functions import safety as S
-from docsect.functions import text as X
 from docsect.operators import navigate as N
-from docsect.operators import sections as P
-from docsect.operators.summarize import default_client, summarize
+from docsect.operators.prepare import prepare
+from docsect.operators.summarize import Parser, default_client, model_name
 from docsect.plans.store import IndexStore
 from docsect.sources import github, local
 
@@ -45,18 +44,12 @@ class Tools:
 
     # --- indexing ---
 
-    def _prepare(self, raw: DataFrame) -> DataFrame:
-        """Clean files (repo, file, content, hash); those with secrets keep their row and lose their content."""
-        blob = F.col("blob") if "blob" in raw.columns else F.lit(None).cast("string")
-        read = raw.select("repo", "file", X.read_text(F.col("content")).alias("content"), F.coalesce(F.when(blob != "", blob), X.file_hash(F.col("content"))).alias("hash"))
-        return P.stored_text(read.withColumn("content", F.when(F.size(S.secrets(F.col("content"))) == 0, F.col("content"))))
-
-    def _parse(self, use_ai: bool):
+    def _parser(self, use_ai: bool) -> Parser:
         ask = (self.ask or default_client()) if use_ai and not local_only() else None
-        return lambda files: summarize(P.parse_stored(files), ask) if ask else P.parse_stored(files)
+        return Parser(ask, "given" if self.ask else model_name())
 
     def _index(self, repo: str, raw: DataFrame, names: list[str], commit: str, use_ai: bool, incremental: bool) -> dict:
-        files, parse = self._prepare(raw), self._parse(use_ai)
+        files, parse = prepare(raw), self._parser(use_ai)
         meta = self.store.update(repo, files, parse, commit) if incremental else None
         meta = meta or self.store.save(repo, files, parse, commit)
         bad = [r["file"] for r in self.store.files(repo).filter("content is null").select("file").orderBy("file").collect()]
@@ -80,7 +73,7 @@ class Tools:
         try:
             owner, name = github.parse_url(url)
             token = github_token or os.environ.get("GITHUB_TOKEN")
-            listed = github.list_tree(owner, name, token, self.get)
+            listed = github.list_tree(owner, name, token, self.get, self.spark)
             names = sorted(listed)
             if not names:
                 return {"success": False, "error": NOTHING}
@@ -110,14 +103,10 @@ class Tools:
         files = [r["file"] for r in self.store.files(repo).select("file").orderBy("file").collect()]
         return {"repo": repo, "indexed_at": meta["indexed_at"], "files": files, "section_count": len(rows), "sections": [{k: v for k, v in r.asDict().items() if v is not None} for r in rows], "_meta": meta}
 
-    def _tree(self, sections: DataFrame, columns: list[str]) -> list[dict]:
-        rows = [(r["file"], r["id"], r["parent"], {c: r[c] for c in columns} | {"children": []}) for r in sections.orderBy("file", "seq").collect()]
-        node = {(file, key): mine for file, key, _, mine in rows}  # of sections with one id, the last
-        roots = []
-        for file, _, parent, mine in rows:
-            above = node.get((file, parent)) if parent else None
-            (above["children"] if above else roots).append(mine)
-        return roots
+    @staticmethod
+    def _tree(sections: DataFrame, columns: list[str]) -> list[dict]:
+        """Trees are made by file where the sections are; the driver gets one file after the other."""
+        return [root for r in N.nested(sections, columns).orderBy("file").toLocalIterator() for root in json.loads(r["tree"])]
 
     @_told
     def get_toc_tree(self, repo: str) -> dict:
@@ -134,10 +123,7 @@ class Tools:
         return {"repo": repo, "file": file_path, "tree": tree, "_meta": meta}
 
     def _fetch(self, repo: str, ids: list[str]) -> list[dict]:
-        asked = self.spark.createDataFrame([(i, repo, x) for i, x in enumerate(ids)], "pos int, repo string, id string")
-        every = N.first_by_id(self.store.sections(repo).join(asked.select("id").distinct(), "id", "left_semi"))
-        got = N.fetch(asked, every, self.store.files(repo)).alias("g").join(every.select("id", "path", "parent", "summary", "keywords", "line_count"), "id", "left")
-        return [r.asDict() for r in got.orderBy("pos").collect()]
+        return [r.asDict() for r in self.store.fetch(repo, ids).orderBy("pos").collect()]
 
     _SECTION = ("id", "file", "path", "title", "depth", "parent", "summary", "keywords", "line_count", "content")
 
@@ -158,7 +144,7 @@ class Tools:
     @_told
     def search_sections(self, repo: str, query: str, max_results: int = 10, path_prefix: str | None = None, max_depth: int | None = None, file_pattern: str | None = None) -> dict:
         repo, meta = self._open(repo)
-        rows = N.search(self.store.sections(repo), query, max_results, path_prefix=path_prefix, max_depth=max_depth, file_pattern=file_pattern).drop("seq", "repo").collect()
+        rows = self.store.search(repo, query, max_results, path_prefix=path_prefix, max_depth=max_depth, file_pattern=file_pattern).drop("seq", "repo").collect()
         return {"repo": repo, "query": query, "result_count": len(rows), "results": [r.asDict() for r in rows], "_meta": meta}
 
     @_told

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,9 +14,11 @@ from pyspark.sql import functions as F
 from docsect.functions import safety as S
 from docsect.functions import text as X
 from docsect.operators import merge as M
+from docsect.operators import merkle as K
 from docsect.operators import navigate as N
 from docsect.operators import sections as P
 from docsect.plans import corpora as C
+from docsect.plans.layout import TARGET
 from docsect.plans.store import IndexStore, from_json, to_json
 
 QUERIES: dict = {}
@@ -398,36 +403,95 @@ def resolve_short_name(spark, sf_dir):
 _REPO = "WITH" + C.PAGES_SQL.replace("'docs/' || lang AS repo", "'docs/all' AS repo") + "," + C.SECTIONS_SQL
 
 
-def _stored(spark, sf_dir) -> tuple[IndexStore, DataFrame]:
-    """All pages as one repository in a new store, in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsect-store-")
-    store = IndexStore(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
-    files = C.pages(spark, sf_dir).select(L("docs/all").alias("repo"), "file", "content", F.sha2("content", 256).alias("hash"))
-    store.save("docs/all", files, P.parse_stored, "abc123")
-    return store, files
+_bases: dict[tuple[str, str], str] = {}
+
+
+def _base(spark: SparkSession) -> str:
+    """A new folder for stores, which all executors see; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docsect-store-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def _as_files(spark, sf_dir) -> DataFrame:
+    return C.pages(spark, sf_dir).select(L("docs/all").alias("repo"), "file", "content", F.sha2("content", 256).alias("hash"))
+
+
+def _new_store(spark, sf_dir, target: int = TARGET) -> IndexStore:
+    store = IndexStore(spark, _base(spark), target)
+    store.save("docs/all", _as_files(spark, sf_dir), P.parse_stored, "abc123")
+    return store
+
+
+def _stored(spark, sf_dir) -> IndexStore:
+    """All pages as one repository; queries that only read share it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bases:
+        _bases[key] = _new_store(spark, sf_dir).base
+    return IndexStore(spark, _bases[key])
+
+
+def _updated(spark, sf_dir) -> IndexStore:
+    """The same in leaves of 256 KB, after an update with changed and deleted files."""
+    store = _new_store(spark, sf_dir, 1 << 18)
+    files, number = _as_files(spark, sf_dir), F.regexp_extract("file", r"doc_(\d+)", 1).cast("long")
+    new = files.filter(number % 7 != 0).withColumn("content", F.when(number % 5 == 0, F.concat("content", L("\n# Added"))).otherwise(F.col("content")))
+    store.update("docs/all", new.withColumn("hash", F.sha2("content", 256)), P.parse_stored)
+    return store
 
 
 @query(_REPO + f" SELECT {_ALL} FROM sections_")
 def index_roundtrip(spark, sf_dir):
     """Sections that were stored and read again, and went through JSON."""
-    store, _ = _stored(spark, sf_dir)
+    store = _stored(spark, sf_dir)
     return _flat(from_json(to_json(store.sections("docs/all"))), *_COLUMNS)
 
 
-@query(_REPO + " SELECT repo, count(*)::BIGINT AS section_count, count(DISTINCT file)::BIGINT AS file_count, 1::BIGINT AS index_version, 'abc123' AS commit_hash FROM sections_ GROUP BY repo")
+@query(_REPO + " SELECT repo, count(*)::BIGINT AS section_count, count(DISTINCT file)::BIGINT AS file_count, 2::BIGINT AS index_version, 'abc123' AS commit_hash FROM sections_ GROUP BY repo")
 def stored_catalog(spark, sf_dir):
-    store, _ = _stored(spark, sf_dir)
+    store = _stored(spark, sf_dir)
     return spark.createDataFrame([tuple(x[k] for k in ("repo", "section_count", "file_count", "index_version", "commit_hash")) for x in store.list()], "repo string, section_count long, file_count long, index_version long, commit_hash string")
 
 
 @query("WITH" + C.PAGES_SQL.replace("'docs/' || lang AS repo", "'docs/all' AS repo") + " SELECT file, sha256(CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || '# Added' ELSE content END) AS hash FROM pages_ WHERE doc_id % 7 <> 0")
 def updated_hashes(spark, sf_dir):
     """File hashes of a stored index after an update with changed and deleted files."""
-    store, files = _stored(spark, sf_dir)
-    number = F.regexp_extract("file", r"doc_(\d+)", 1).cast("long")
-    new = files.filter(number % 7 != 0).withColumn("content", F.when(number % 5 == 0, F.concat("content", L("\n# Added"))).otherwise(F.col("content")))
-    store.update("docs/all", new.withColumn("hash", F.sha2("content", 256)), P.parse_stored)
-    return store.files("docs/all").select("file", "hash")
+    return _updated(spark, sf_dir).files("docs/all").select("file", "hash")
+
+
+_NEWER = _REPO.replace("pages_ AS (", "all_ AS (", 1).replace(",\nlines_ AS", ",\npages_ AS (SELECT repo, file, CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || '# Added' ELSE content END AS content FROM all_ WHERE doc_id % 7 <> 0),\nlines_ AS", 1)
+
+
+@query(_NEWER + f" SELECT {_ALL}, sha256(content) AS hash FROM sections_")
+def updated_sections(spark, sf_dir):
+    """Sections of an index whose leaves an update has rewritten."""
+    return _updated(spark, sf_dir).sections("docs/all").withColumn("keywords", F.array_join("keywords", "|")).select(*_COLUMNS, "hash")
+
+
+@query(_search_sql("Token install theand", 10).replace(ROOT, _REPO))
+def indexed_search(spark, sf_dir):
+    """The best sections by the postings of a stored index."""
+    return _flat(_stored(spark, sf_dir).search("docs/all", "Token install theand"), *_HIT)
+
+
+@query(_search_sql("reou ing", 25, "depth <= 1 AND regexp_full_match(file, '.*/doc_.*[0-4]\\.md')").replace(ROOT, _REPO))
+def indexed_search_filtered(spark, sf_dir):
+    return _flat(_stored(spark, sf_dir).search("docs/all", "reou ing", 25, max_depth=1, file_pattern="*/doc_*[0-4].md"), *_HIT)
+
+
+_POINTS = "SELECT " + C.fill(C.PREFIX, "(lang || '/' || source || '/doc_' || doc_id || '.md')") + " || '-root' AS id FROM (SELECT lang, source, min(doc_id) AS doc_id FROM documents WHERE doc_id % 4 = 0 AND text IS NOT NULL GROUP BY ALL) UNION ALL SELECT 'no-such-id'"
+
+
+@query(_REPO + f", ask_ AS ({_POINTS}), one_ AS (SELECT * FROM sections_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY file, seq) = 1) SELECT a.id, o.file, o.title, o.summary, o.content, CASE WHEN o.file IS NULL THEN 'Section not found: ' || a.id END AS error FROM ask_ a LEFT JOIN one_ o ON a.id = o.id")
+def point_reads(spark, sf_dir):
+    """One section for each language and source, through the locator of a stored index."""
+    least = C.pages(spark, sf_dir).filter("doc_id % 4 = 0").groupBy(F.regexp_extract("file", "^(.*)/", 1)).agg(F.min_by(X.file_prefix(F.col("file")), "doc_id").alias("id"))
+    ids = sorted(r["id"] + "-root" for r in least.collect())  # a row for each language and source
+    return _stored(spark, sf_dir).fetch("docs/all", [*ids, "no-such-id"]).select("id", "file", "title", "summary", "content", "error")
 
 
 # --- incremental indexing ---
@@ -461,5 +525,34 @@ def incremental_merge(spark, sf_dir):
     return M.merge_sections(P.markdown(v1), changes, fresh).select("repo", "file", "seq", "id", "title", "parent", "byte_offset")
 
 
+_BOTH = ROOT.replace("pages_ AS (", "old_ AS (", 1).replace(",\nlines_ AS", f",\nv2_ AS ({_V2.replace('pages_', 'old_')}),\npages_ AS (SELECT repo || '|1' AS repo, file, content FROM old_ UNION ALL SELECT repo || '|2', file, content FROM v2_),\nlines_ AS", 1)
+
+
+@query(_BOTH + """, each_ AS (SELECT regexp_replace(repo, '.[12]$', '') AS repo, right(repo, 1) AS v, file, id, row_number() OVER (PARTITION BY repo, file, id ORDER BY seq) AS nth, content FROM sections_),
+a_ AS (SELECT * FROM each_ WHERE v = '1'), b_ AS (SELECT * FROM each_ WHERE v = '2')
+SELECT repo, file, id, nth, CASE WHEN a_.content IS NULL THEN 'added' WHEN b_.content IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a_ FULL JOIN b_ USING (repo, file, id, nth) WHERE a_.content IS DISTINCT FROM b_.content""")
+def section_changes(spark, sf_dir):
+    """Sections that differ between two versions, by hash trees."""
+    cut = lambda files: P.cut_stored(files.select("repo", "file", "content")).withColumn("hash", F.sha2("content", 256)).drop("content")
+    return K.changes(*map(cut, _versions(spark, sf_dir)))
+
+
+_NODE = "'{{\"seq\":' || s.seq || ',\"children\":[' || coalesce({0}, '') || ']}}'"
+
+
+def _nested_sql(depth: int = 4) -> str:
+    """Trees to a depth, from the leaves up: at each step a section's children are those made in the step before."""
+    sql = THREADS + ", up_ AS (SELECT repo, file, id, max(seq) AS seq FROM sections_ GROUP BY ALL), edge_ AS (SELECT s.repo, s.file, s.seq, u.seq AS above FROM sections_ s LEFT JOIN up_ u ON u.repo = s.repo AND u.file = s.file AND u.id = s.parent), t0_ AS (SELECT s.repo, s.file, s.seq, s.above, " + _NODE.format("''") + " AS node FROM edge_ s)"
+    for i in range(depth):
+        sql += f", t{i + 1}_ AS (SELECT s.repo, s.file, s.seq, s.above, " + _NODE.format("string_agg(c.node, ',' ORDER BY c.seq)") + f" AS node FROM edge_ s LEFT JOIN t{i}_ c ON c.repo = s.repo AND c.file = s.file AND c.above = s.seq GROUP BY ALL)"
+    return sql + f" SELECT repo, file, '[' || string_agg(node, ',' ORDER BY seq) || ']' AS tree FROM t{depth}_ WHERE above IS NULL GROUP BY ALL"
+
+
+@query(_nested_sql())
+def nested_trees(spark, sf_dir):
+    """Each file's sections as one nested JSON."""
+    return N.nested(_threads(spark, sf_dir).drop("content"), ["seq"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_topk(spark, sf_dir)

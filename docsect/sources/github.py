@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -44,16 +45,60 @@ def sensitive(path: str) -> bool:
     return name.lower() in SENSITIVE_NAMES or any(re.match(glob_regex(g).replace("\\z", "\\Z"), name) for g in SENSITIVE_GLOBS)
 
 
-def list_tree(owner: str, name: str, token: str | None = None, get: Transport = http_get) -> dict[str, str]:
-    """Documentation files and their blob hashes; a repository that is not there has none."""
+TRIES, PAUSE = 4, 1.0
+
+
+def fetch_tree(owner: str, name: str, sha: str, recursive: bool, token: str | None, get: Transport, pause: float = PAUSE) -> dict:
+    """One answer of the listing; one that fails for now is asked for again, after a longer pause each time."""
+    url = f"https://api.github.com/repos/{owner}/{name}/git/trees/{sha}" + "?recursive=1" * recursive
+    for again in range(TRIES):
+        try:
+            return json.loads(get(url, _headers(token, "+json")))
+        except (OSError, ValueError) as e:
+            if again == TRIES - 1 or isinstance(e, urllib.error.HTTPError) and e.code not in (403, 408, 429) and e.code < 500:
+                raise
+            time.sleep(pause * 2**again)
+    raise AssertionError
+
+
+def _walk(owner: str, name: str, path: str, sha: str, token: str | None, get: Transport, pause: float) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Files (path, hash) under a folder, and folders (path, hash) to walk: none, unless the answer about all below was cut off."""
+    found = fetch_tree(owner, name, sha, True, token, get, pause)
+    deeper = bool(found.get("truncated"))
+    if deeper:
+        found = fetch_tree(owner, name, sha, False, token, get, pause)
+    rows = lambda kind: [(path + x["path"] + "/" * (kind == "tree"), x.get("sha", "")) for x in found.get("tree", []) if x.get("type") == kind]
+    return rows("blob"), rows("tree") if deeper else []
+
+
+def list_tree(owner: str, name: str, token: str | None = None, get: Transport = http_get, spark: SparkSession | None = None, pause: float = PAUSE) -> dict[str, str]:
+    """Documentation files and their blob hashes; a repository that is not there has none.
+
+    A listing that the server cuts off is walked folder by folder, level by level; with spark the folders of a level are
+    asked for by its tasks.  Names come to the driver.
+    """
     try:
-        raw = get(f"https://api.github.com/repos/{owner}/{name}/git/trees/HEAD?recursive=1", _headers(token, "+json"))
+        rows, folders = _walk(owner, name, "", "HEAD", token, get, pause)
     except urllib.error.HTTPError as e:
         if e.code == 404:
             return {}
         raise
-    rows = [x for x in json.loads(raw).get("tree", []) if x.get("type") == "blob"]
-    return {x["path"]: x.get("sha", "") for x in sorted(rows, key=lambda x: x["path"]) if x["path"].lower().endswith(DOC_SUFFIXES) and not sensitive(x["path"])}
+
+    def run(batches):
+        for pdf in batches:
+            for path, sha in zip(pdf["path"], pdf["sha"]):
+                found = _walk(owner, name, path, sha, token, get, pause)
+                yield pd.DataFrame([(*x, kind) for kind, part in enumerate(found) for x in part], columns=["path", "sha", "kind"])
+
+    while folders:
+        if spark is None:
+            level = [(*x, kind) for path, sha in folders for kind, part in enumerate(_walk(owner, name, path, sha, token, get, pause)) for x in part]
+        else:
+            todo = spark.createDataFrame(folders, "path string, sha string").repartition(min(len(folders), 64))
+            level = [tuple(r) for r in todo.mapInPandas(run, "path string, sha string, kind int").collect()]
+        rows += [(path, sha) for path, sha, kind in level if kind == 0]
+        folders = [(path, sha) for path, sha, kind in level if kind == 1]
+    return {path: sha for path, sha in sorted(rows) if path.lower().endswith(DOC_SUFFIXES) and not sensitive(path)}
 
 
 def head_commit(owner: str, name: str, token: str | None = None, get: Transport = http_get) -> str:

@@ -1,10 +1,12 @@
 import json
 import pathlib
+import random
 import urllib.error
 
 import pytest
 
-from docsect.operators import summarize
+from docsect.operators import merkle, summarize
+from docsect.operators.navigate import nested
 from docsect.plans import tools
 from docsect.plans.api import Tools
 from docsect.sources import github, local
@@ -113,18 +115,19 @@ def test_each_file_is_fetched_once(spark, tmp_path):
             p.unlink()
 
 
-def test_an_update_writes_touched_buckets_only(spark, tree, tmp_path):
+def test_an_update_writes_touched_leaves_only(spark, tree, tmp_path):
     for i in range(40):
         (tree / f"n{i}.md").write_text(f"# N{i}\n")
     t = Tools(spark, str(tmp_path / "store"))
+    t.store.target = 30
     assert t.index_local(str(tree))["success"]
     before = t.store.meta("local/proj")
     (tree / "n7.md").write_text("# Other\n")
     held = t.store.sections("local/proj")
     assert t.index_local(str(tree), incremental=True)["success"]
     after = t.store.meta("local/proj")
-    changed = {k for k in after["buckets"] if after["buckets"][k] != before["buckets"].get(k)}
-    assert len(changed) == 1 and set(after["buckets"]) == set(before["buckets"])
+    changed = {k for k in after["leaves"] if after["leaves"][k] != before["leaves"].get(k)}
+    assert len(changed) == 1 and len(after["leaves"]) == len(before["leaves"]) > 8
     assert "N7" in {r["title"] for r in held.collect()}  # a reader of the snapshot before
     assert t.get_section("proj", "n7-other")["content"] == "# Other\n" and after["section_count"] == before["section_count"]
 
@@ -181,18 +184,90 @@ def test_github(spark, tmp_path, monkeypatch):
 def test_old_index_is_refused(spark, tree, tmp_path):
     t = Tools(spark, str(tmp_path / "store"))
     t.index_local(str(tree))
-    folder = pathlib.Path(t.store.folder("local/proj"))
-    manifest = folder / (folder / "CURRENT").read_text()
-    (folder / f".{manifest.name}.crc").unlink(missing_ok=True)
+    (manifest,) = pathlib.Path(t.store.folder("local/proj")).glob("generation-*.json")
     manifest.write_text(json.dumps({k: v for k, v in json.loads(manifest.read_text()).items() if k != "index_version"}))
     assert "error" in t.get_toc("proj") and t.list_repos()["repos"][0]["index_version"] == 0
 
 
+def land(spark, tmp_path, store, rows, mode="append"):
+    spark.createDataFrame(rows, landing.LANDED).coalesce(1).write.mode(mode).parquet(str(tmp_path / "in"))
+    landing.follow(spark, str(tmp_path / "in"), store, "o/r", str(tmp_path / "cp")).awaitTermination()
+
+
 def test_landing(spark, tmp_path):
     store = Tools(spark, str(tmp_path / "store")).store
-    kind = "file string, content string, deleted boolean"
-    spark.createDataFrame([("a.md", "# A\n", False), ("b.md", "# B\n", False)], kind).write.parquet(str(tmp_path / "in"))
-    landing.follow(spark, str(tmp_path / "in"), store, "o/r", str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([("a.md", None, True), ("c.md", "# C\n", False)], kind).write.mode("append").parquet(str(tmp_path / "in"))
-    landing.follow(spark, str(tmp_path / "in"), store, "o/r", str(tmp_path / "cp")).awaitTermination()
+    land(spark, tmp_path, store, [("a.md", "# A\n", False, None), ("b.md", "# B\n", False, None), ("config.md", "# C AKIA" + "B" * 16, None, 1), ("id_rsa.md", "# no", False, 1), ("x.py", "# no", False, 1), ("node_modules/y.md", "# no", False, 1)])
+    land(spark, tmp_path, store, [("a.md", None, True, None), ("c.md", "# C\r\nx\n", False, None)])
     assert sorted(r["title"] for r in store.sections("o/r").collect()) == ["B", "C"]
+    assert {r["file"]: r["content"] for r in store.files("o/r").collect()} == {"b.md": "# B\n", "c.md": "# C\nx\n", "config.md": None}
+
+
+def test_the_latest_version_wins_in_any_order(spark, tmp_path):
+    versions = [("a.md", f"# A{v}\n", False, v) for v in range(4)] + [("a.md", None, True, 4), ("a.md", "# A5\n", False, 5), ("b.md", "# B1\n", False, 1), ("b.md", None, True, 2), ("c.md", "# C9\n", False, 9), ("c.md", None, True, 8)]
+    for k in range(2):
+        here, rows = tmp_path / str(k), versions[:]
+        random.Random(k).shuffle(rows)
+        store = Tools(spark, str(here / "store")).store
+        for part in (rows[:4], rows[4:7], rows[7:]):
+            land(spark, here, store, part)
+        assert sorted(r["title"] for r in store.sections("o/r").collect()) == ["A5", "C9"]
+        # a version that comes late is refused
+        land(spark, here, store, [("b.md", "# B0\n", False, 0), ("a.md", None, True, 3), ("c.md", "# C10\n", False, 10)])
+        assert sorted(r["title"] for r in store.sections("o/r").collect()) == ["A5", "C10"]
+
+
+def cut_off(calls):
+    """A repository whose listing is cut off at two levels; every third answer fails once."""
+    tree = {"HEAD": [("docs", "tree", "t1"), ("top.md", "blob", "b0"), ("small", "tree", "t3")], "t1": [("deep", "tree", "t2"), ("one.md", "blob", "b1")], "t2": [("two.md", "blob", "b2"), ("x.py", "blob", "b3"), ("more/three.rst", "blob", "b4")], "t3": [("four.md", "blob", "b5")]}
+
+    def get(url, headers):
+        sha, _, recursive = url.rsplit("/", 1)[1].partition("?")
+        seen = pathlib.Path(calls) / url.rsplit("/", 1)[1].replace("?", "_")
+        if not seen.exists():
+            seen.write_text("")
+            if sha in ("t1", "t2"):
+                raise urllib.error.HTTPError(url, 503, "", {}, None)
+        entries = [{"path": p, "type": k, "sha": s} for p, k, s in tree[sha]]
+        return json.dumps({"truncated": True, "tree": entries[:1]} if recursive and sha in ("HEAD", "t1") else {"tree": entries}).encode()
+
+    return get
+
+
+def test_listings_that_are_cut_off_are_walked(spark, tmp_path):
+    for k, session in enumerate((None, spark)):
+        calls = tmp_path / str(k)
+        calls.mkdir()
+        found = github.list_tree("o", "r", get=cut_off(str(calls)), spark=session, pause=0.01)
+        assert found == {"docs/deep/more/three.rst": "b4", "docs/deep/two.md": "b2", "docs/one.md": "b1", "small/four.md": "b5", "top.md": "b0"}
+    with pytest.raises(urllib.error.HTTPError):
+        github.list_tree("o", "r", get=lambda u, h: (_ for _ in ()).throw(urllib.error.HTTPError(u, 401, "", {}, None)), pause=0.01)
+
+
+def test_trees_by_file_are_those_of_the_sections(spark):
+    """Unknown parents make roots; of sections with one id the last is the parent."""
+    rows = [("o/r", "a", 0, "x", None), ("o/r", "a", 1, "y", "x"), ("o/r", "a", 2, "x", None), ("o/r", "a", 3, "z", "nope"), ("o/r", "b", 0, "y", "x")]
+    df = spark.createDataFrame(rows, "repo string, file string, seq long, id string, parent string")
+    got = {r["file"]: json.loads(r["tree"]) for r in nested(df, ["id"]).collect()}
+    leaf = lambda i: {"id": i, "children": []}
+    assert got == {"a": [leaf("x"), {"id": "x", "children": [leaf("y")]}, leaf("z")], "b": [leaf("y")]}
+
+
+def test_changes_inside_files(spark):
+    """Against a comparison of all sections."""
+    rng = random.Random(6)
+    kind = "repo string, file string, seq long, id string, depth int, hash string"
+    make = lambda f: [("o/r", f, i, f"i{rng.randint(0, 5)}", rng.randint(0, 4), rng.choice("abc")) for i in range(rng.randint(1, 12))]
+    old = [x for f in "abcdefgh" for x in make(f)]
+    new = [x for x in old if x[1] in "abcd"] + [x[:5] + ("d",) if rng.random() < 0.2 else x for x in old if x[1] in "ef"] + make("g") + make("new")
+
+    def keyed(rows):
+        seen, out = {}, {}
+        for _, f, _, i, _, h in rows:
+            n = seen[f, i] = seen.get((f, i), 0) + 1
+            out[f, i, n] = h
+        return out
+
+    a, b = keyed(old), keyed(new)
+    want = {(*k, "added" if k not in a else "deleted" if k not in b else "changed") for k in {*a, *b} if a.get(k) != b.get(k)}
+    got = {(r["file"], r["id"], r["nth"], r["change"]) for r in merkle.changes(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind)).collect()}
+    assert got == want and {x[3] for x in want} == {"added", "deleted", "changed"}
