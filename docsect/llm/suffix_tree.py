@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_names, word_hashes, words
 from docsect.llm.tally import SHARD, Bitmap, Hot, Tally, dealt, dealt_schema, gathered, pair
 
-DEPTH, LEAST, DIVERGENCE, SEEN = 3, 16, 3.0, 4
+DEPTH, LEAST, DIVERGENCE, SEEN = 3, 16, 3.0, 8
 PARTS, HELD_OUT = 7, 2
 #: Grams whose values go to every task, and bytes a task works on at once.
-HOT, AT_ONCE = 1 << 20, 4 << 20
+HOT, AT_ONCE = 1 << 17, 4 << 20
 END = np.uint64(0x8F3B5C6D17A29E41)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,12 @@ class Bitmap:
         self.table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
         self.table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.table.tobytes(), 1)  # a small set travels as a few bytes
+
+    def __setstate__(self, raw: bytes) -> None:
+        self.table = np.frombuffer(zlib.decompress(raw), dtype=np.uint64)
+
     def has(self, names: np.ndarray) -> np.ndarray:
         out, todo = np.zeros(len(names), dtype=bool), np.arange(len(names))
         for s in PROBES:
