@@ -544,8 +544,8 @@ def _nested_sql(depth: int = 4) -> str:
     """Trees to a depth, from the leaves up: at each step a section's children are those made in the step before."""
     sql = THREADS + ", up_ AS (SELECT repo, file, id, max(seq) AS seq FROM sections_ GROUP BY ALL), edge_ AS (SELECT s.repo, s.file, s.seq, u.seq AS above FROM sections_ s LEFT JOIN up_ u ON u.repo = s.repo AND u.file = s.file AND u.id = s.parent), t0_ AS (SELECT s.repo, s.file, s.seq, s.above, " + _NODE.format("''") + " AS node FROM edge_ s)"
     for i in range(depth):
-        sql += f", t{i + 1}_ AS (SELECT s.repo, s.file, s.seq, s.above, " + _NODE.format("string_agg(c.node, ',' ORDER BY c.seq)") + f" AS node FROM edge_ s LEFT JOIN t{i}_ c ON c.repo = s.repo AND c.file = s.file AND c.above = s.seq GROUP BY ALL)"
-    return sql + f" SELECT repo, file, '[' || string_agg(node, ',' ORDER BY seq) || ']' AS tree FROM t{depth}_ WHERE above IS NULL GROUP BY ALL"
+        sql += f", l{i}_ AS (SELECT repo, file, above AS seq, string_agg(node, ',' ORDER BY seq) AS x FROM t{i}_ WHERE above IS NOT NULL GROUP BY repo, file, above), t{i + 1}_ AS (SELECT s.repo, s.file, s.seq, s.above, " + _NODE.format("l.x") + f" AS node FROM edge_ s LEFT JOIN l{i}_ l USING (repo, file, seq))"
+    return sql + f" SELECT repo, file, '[' || string_agg(node, ',' ORDER BY seq) || ']' AS tree FROM t{depth}_ WHERE above IS NULL GROUP BY repo, file"
 
 
 @query(_nested_sql())
