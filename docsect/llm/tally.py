@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap, where its three probes are taken from a name, and rows a task counts before it hands them on.
-BITS, PROBES, COUNTED = 27, (37, 27, 16), 1 << 20
+#: Bits of a bitmap, where its three probes are taken from a name, and rows a task counts before it hands them on, and at most as many of them in a batch.
+BITS, PROBES, COUNTED, SENT = 27, (37, 27, 16), 1 << 19, 1 << 17
 #: Tokens of the corpus for each shard.
 SHARD = 1 << 22
 
@@ -135,8 +135,13 @@ def dealt(parts: Iterator[tuple[np.ndarray, ...]], shards: int, names: list[str]
         shard = (key % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), len(order))
-        columns = [x[order] for x in (*more, n.astype(np.uint32))]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[order][cuts[:-1]]), *[pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in columns]], ["shard", *names, "n"])
+        shard, columns = shard[order], [x[order] for x in (*more, n.astype(np.uint32))]
+        first = 0
+        while first < len(cuts) - 1:  # some shards at a time, so that no batch is large
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + SENT, side="right")) - 1)
+            some = list(zip(cuts[first:last], cuts[first + 1 : last + 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[first:last]]), *[pa.array([x[i:j].tobytes() for i, j in some], pa.binary()) for x in columns]], ["shard", *names, "n"])
+            first = last
 
 
 def dealt_schema(names: list[str]) -> str:
