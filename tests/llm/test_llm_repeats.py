@@ -71,16 +71,51 @@ def test_a_line_common_to_many_texts_does_not_hide_a_passage(spark):
     assert lost == 0
 
 
+def edited(words, kind, n, rng):
+    """A copy with n words replaced, put in, taken out, or moved elsewhere, at places apart."""
+    out = list(words)
+    for i, at in enumerate(sorted(rng.sample(range(4, len(words) - 4), n), reverse=True)):
+        if kind == "replaced":
+            out[at] = f"new{i}"
+        elif kind == "inserted":
+            out.insert(at, f"new{i}")
+        elif kind == "deleted":
+            del out[at]
+        else:
+            word = out.pop(at)
+            out.insert(rng.randrange(4, len(out) - 4), word)
+    return out
+
+
+def alike(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+    return len(a & b) / len(a | b)
+
+
+EDITS = [(size, kind, n) for size in (55, 60, 80, 120, 200) for kind in ("replaced", "inserted", "deleted", "moved") for n in (1, 2)]
+
+
 def test_edited_passages_are_found(spark):
+    """Of each edit 200 pairs of passages of 0.78 or more, in 60 words of other text; those that no such pair has are passed over."""
     random.seed(23)
-    rows = []
-    for p in range(300):  # 60 words, of which the second text has one changed: 51 of 61 shingles are common
-        passage = prose(60)
-        edited = passage[:30] + ["changed"] + passage[31:]
-        rows += [(2 * p, prose(60) + passage + prose(60)), (2 * p + 1, prose(60) + edited + prose(60))]
-    got = covered(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3))
+    rng, rows, of = random.Random(5), [], {}
+    for size, kind, n in EDITS:
+        made = tries = 0
+        while made < 200 and tries < 2000:
+            tries += 1
+            passage = prose(size)
+            other = edited(passage, kind, n, rng)
+            if len(other) >= 50 and alike(passage, other) >= 0.78:
+                made += 1
+                d = 2 * len(of)
+                of[d + 1] = (size, kind, n)
+                rows += [(d, prose(60) + passage + prose(60)), (d + 1, prose(60) + other + prose(60))]
+    got = covered(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(8))
     assert all(d % 2 for d in got)
-    assert len(got) >= 290
+    share = {e: (sum(of[d] == e for d in got), sum(x == e for x in of.values())) for e in dict.fromkeys(of.values())}
+    print(share)
+    # two edits leave 53 or so of 55 words, little more than the shortest passage
+    assert len(share) == len(EDITS) and all(found >= (0.9 if e[0] == 55 else 0.95) * total for e, (found, total) in share.items()), share
 
 
 def test_disclosing_terms_are_found_and_masked_in_the_whole_document(spark):
