@@ -10,6 +10,7 @@ import contextlib
 import hashlib
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -59,11 +60,12 @@ class Scratch:
     stays until its caller, who knows when the result has been written, calls clear() on what collected() has gathered.
     """
 
-    _gathered: list[list[Scratch]] = []
+    _thread = threading.local()  # lists that new ones of this thread are put on
+    _cleaning, _lock = 0, threading.Lock()
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count, self.saved = spark, f"{shared_dir(spark)}/docsect-{name}-{uuid.uuid4().hex}", 0, []
-        for each in self._gathered:
+        for each in getattr(self._thread, "lists", ()):
             each.append(self)
 
     @classmethod
@@ -71,23 +73,31 @@ class Scratch:
     def collected(cls):
         """Inside, every new Scratch is put on the list that this gives."""
         mine: list[Scratch] = []
-        cls._gathered.append(mine)
+        before = getattr(cls._thread, "lists", ())
+        cls._thread.lists = (*before, mine)
         try:
             yield mine
         finally:
-            cls._gathered.remove(mine)
+            cls._thread.lists = before
 
     def path(self, tag: str) -> str:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{tag}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
-        path, before = self.path(tag), self.spark.conf.get(CLEAN_UP, "false")
-        self.spark.conf.set(CLEAN_UP, "true")
+        path = self.path(tag)
+        with self._lock:  # the first of several threads turns it on, the last one puts it back
+            if not Scratch._cleaning:
+                Scratch._before = self.spark.conf.get(CLEAN_UP, "false")
+                self.spark.conf.set(CLEAN_UP, "true")
+            Scratch._cleaning += 1
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEAN_UP, before)
+            with self._lock:
+                Scratch._cleaning -= 1
+                if not Scratch._cleaning:
+                    self.spark.conf.set(CLEAN_UP, Scratch._before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.saved.append((out, path))
         return out

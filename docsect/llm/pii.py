@@ -5,13 +5,15 @@ document with an entity discloses it if knowing the word makes the entity nearly
 corpus, PMI(entity; word) = log2(n(both) * N / (n(entity) * n(word))) is held against the entity's information
 IC = log2(N / n(entity)): a word whose PMI reaches REMOVE of the IC is removed, one that reaches GENERALISE is
 replaced by its kind, at every place in the documents that hold the entity.  n(both) counts documents with both
-anywhere.  As n(both) <= n(entity), only words with n(word) <= n(entity) * (N / n(entity)) ** (1 - GENERALISE) can reach
+anywhere.  A high PMI may be chance where counts are low, so the pair's log-likelihood ratio (G2) has to reach SIGNIFICANT
+too: of an entity in a third of all documents a word in three of them says nothing.  As n(both) <= n(entity), only words with n(word) <= n(entity) * (N / n(entity)) ** (1 - GENERALISE) can reach
 the threshold; pairs are made of those alone.  Pairs in fewer than SUPPORT documents are chance and are not judged.
 Word frequencies are counted on hashes inside each task before anything is shuffled.
 
 Each pattern is scanned in time linear in the text.  Null texts are empty.  An empty table has no rows; extra columns are
 ignored, or passed on by sanitise().  Repeated rows get the same spans (they
-count as one document where their doc_id and text are equal).  Overlapping spans are sanitised as one, named by the first.
+count as one document where their doc_id and text are equal).  Very long texts are one row like others, with a row for each
+distinct word while terms are sought.  Overlapping spans are sanitised as one, named by the first.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsect.llm.common import LOWER, Scratch, free_names, groups, text_bytes, with_clear_names, word_hashes, words
@@ -30,6 +32,8 @@ from docsect.llm.common import LOWER, Scratch, free_names, groups, text_bytes, w
 KINDS = ("email", "ip", "card", "phone")
 REMOVE, GENERALISE = 0.95, 0.8
 SUPPORT = 3
+#: G2 that independent words reach once in a million.
+SIGNIFICANT = 24.0
 AT_ONCE = 4 << 20
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED = 1 << 20
@@ -192,6 +196,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long")
 
 
+def association(both: Column, one: Column, other: Column, total: Column) -> Column:
+    """The log-likelihood ratio (G2) of two things that are in one and other of total documents, and in both together."""
+
+    def part(seen: Column, a: Column, b: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen * total / (a * b))).otherwise(0.0)
+
+    return 2 * (part(both, one, other) + part(one - both, one, total - other) + part(other - both, total - one, other) + part(total - one - other + both, total - one, total - other))
+
+
 def find_all(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, counts by kind, base spans, terms (start, end, action) that disclose an entity of the row, and held: the text if it has spans."""
     clean = with_clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -214,9 +227,12 @@ def find_all(docs: DataFrame, scratch: Scratch) -> DataFrame:
     both = both.groupBy("entity", "word", "n_word", "n_entity").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
     ic = F.log2(total / F.col("n_entity"))
     pmi = F.log2(F.col("both") * total / (F.col("n_entity") * F.greatest("n_word", "both")))
+    both = both.filter(association(F.col("both"), F.col("n_entity"), F.greatest("n_word", "both"), total) >= SIGNIFICANT)
     judged = both.select("entity", "word", F.when((ic > 0) & (pmi >= REMOVE * ic), "remove").when((ic > 0) & (pmi >= GENERALISE * ic), "generalise").alias("action")).filter("action is not null")
     judged = scratch.save(judged, "judged")
-    verdicts = holders.select("doc", "entity").join(judged, "entity").select("doc", "word", "action").distinct()
+    # words that are in a document meet its entities, not every word that an entity has anywhere; few words are judged at all
+    some = met.select("doc", "word").join(judged.select("word").distinct(), "word", "left_semi")
+    verdicts = some.join(holders.select("doc", "entity"), "doc").join(judged, ["entity", "word"]).select("doc", "word", "action").distinct()
     places = met.join(verdicts, ["doc", "word"]).select("doc", "action", F.explode("places").alias("p"))
     terms = places.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("p.start", "p.end", "action"))).alias("terms"))
     terms = terms.join(held.select("doc", "doc_id", "text_key"), "doc")

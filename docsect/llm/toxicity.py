@@ -13,7 +13,7 @@ sample, the buckets that take part.  Every document is scored whole, a very long
 scores; extra columns are ignored; an empty table has no rows.
 
 Null and empty texts have no terms and get the bias alone.  Labels may be missing, null or repeated (one toxic label
-makes a document toxic); without both classes the score is the share of toxic labels.  A null doc_id is not held out.
+makes a document toxic); a labelled doc_id on several rows is learned from once; without both classes the score is the share of toxic labels.  A null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -177,7 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(some, pa.binary())], ["doc_id", "toxic", "buckets"])
 
     sample = F.broadcast(sample_labels(labels).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")))
-    found = scratch.save(docs.join(sample, "doc_id").mapInArrow(run, "doc_id long, toxic int, buckets binary"), "sample")
+    # of several rows of a doc_id the one with the least hash is learned from, so that the sample's size bounds what comes to the driver
+    mine = docs.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = scratch.save(mine.mapInArrow(run, "doc_id long, toxic int, buckets binary"), "sample")
     counts = found.mapInArrow(count, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     counts = counts.filter(F.col("other") + F.col("toxic") >= LEAST_DOCUMENTS).orderBy("bucket").toArrow()  # 2**BITS rows at most
     n = found.groupBy("toxic").count().collect()

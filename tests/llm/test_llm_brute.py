@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -144,7 +145,10 @@ def naive_terms(rows):
             for w in words:
                 n_w, both = count(lambda x: w in x[2]), count(lambda x: e in x[0] and w in x[1])
                 ic = math.log2(n / n_e)
-                if n_e >= pii.SUPPORT and both >= pii.SUPPORT and ic > 0 and math.log2(both * n / (n_e * max(n_w, both))) >= pii.GENERALISE * ic:
+                part = lambda x, a, b: x * math.log(x * n / (a * b)) if x else 0
+                all_w = max(n_w, both)
+                g2 = 2 * (part(both, n_e, all_w) + part(n_e - both, n_e, n - all_w) + part(all_w - both, n - n_e, all_w) + part(n - n_e - all_w + both, n - n_e, n - all_w))
+                if n_e >= pii.SUPPORT and both >= pii.SUPPORT and g2 >= pii.SIGNIFICANT and ic > 0 and math.log2(both * n / (n_e * max(n_w, both))) >= pii.GENERALISE * ic:
                     out.add((d, w))
     return out
 
@@ -166,6 +170,27 @@ def test_terms_against_counting_over_all_documents(spark):
     assert got == naive_terms(rows) and got
 
 
+def test_terms_of_an_entity_in_many_documents(spark):
+    """Random words next to an address in a third of all documents disclose nothing; one that goes with it does.  A very long text among them."""
+    rng = random.Random(35)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(20)) + " a@b.org" * (i % 3 == 0) + " insider" * (i % 6 == 0)) for i in range(600)]
+    rows.append((900, " ".join(rng.choice(vocabulary) for _ in range(60_000)) + " a@b.org insider"))
+    got = {(r["doc_id"], dict(rows)[r["doc_id"]][t["start"] : t["end"]]) for r in pii.find_all(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test")).collect() for t in r["terms"]}
+    assert got == {(i, "insider") for i in [*range(0, 600, 6), 900]}
+
+
+def test_a_labelled_document_on_many_rows_is_learned_from_once(spark, monkeypatch):
+    prose, seen = words_of(0, 36), []
+    rows = [(i, " ".join(prose(20) + ["numskull"] * (i % 4 == 0))) for i in range(1, 80)]
+    df = spark.createDataFrame(rows + [(4, f"numskull copy {i}") for i in range(3000)] + [(4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 80)], "doc_id long, toxic int")
+    learn = toxicity.FactorizationMachine.learn
+    monkeypatch.setattr(toxicity.FactorizationMachine, "learn", classmethod(lambda cls, documents, *a: (seen.append(len(documents)), learn(documents, *a))[1]))
+    toxicity.learn(df, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 80))]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     prose = words_of(0, 41)
@@ -212,6 +237,21 @@ def test_pipeline(spark, corpus):
     assert every(corpus_pipeline.run(spark, sf)) == every(seen["best-fit packing"])
 
 
+def test_interleaved_and_retried_stages(spark, corpus, tmp_path):
+    """A stage that is called for another table, or again, takes nothing away from a result that is still to be read."""
+    sf, _, _ = corpus
+    (_, rules), (_, near), *_ = corpus_pipeline.STAGES
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, two = rules(spark, docs, sf), rules(spark, docs.filter("doc_id < 40"), sf)
+    one.write.parquet(str(tmp_path / "one"))
+    first = near(spark, spark.read.parquet(str(tmp_path / "one")), sf)
+    assert two.count() > 0
+    two.write.parquet(str(tmp_path / "two"))
+    second = near(spark, spark.read.parquet(str(tmp_path / "two")), sf)
+    again = near(spark, spark.read.parquet(str(tmp_path / "two")), sf)
+    assert first.count() > 0 and second.count() == again.count() > 0
+
+
 def test_pipeline_of_nothing(spark, corpus, tmp_path):
     sf, _, _ = corpus
     spark.read.parquet(f"{sf}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
