@@ -2,10 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of documents.
+
+Null, empty and too short texts go in the first stage, whose base rule asks for ten words; those that later lose all their
+words go there.  Very long texts are rows like others.  Repeated rows are near duplicates, of which one stays; ties go to the smaller doc_id,
+then to the text; a null doc_id counts as the last.  Extra columns are passed on, whatever they are called, up to the packing, which has its own.
+An empty table has no rows at any stage.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,19 +49,35 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs)
 
 
-#: Tables that the result of a stage still reads, until its successor has that result as Parquet.
-_left: dict[str, list[Scratch]] = {}
+#: By table and stage: what the results of a stage still read, a list for each call, and the calls of its successor so far.
+_left: dict[tuple[str, str], list[list[Scratch]]] = {}
+_followed: dict[tuple[str, str], int] = {}
+_lock = threading.Lock()
+
+
+def _taken(sf_dir: str, before: str | None) -> list[Scratch]:
+    """What may go now that before's successor begins: nothing while there are more results than successors, as one may be unread."""
+    key = (sf_dir, before)
+    with _lock:
+        if before is None or key not in _left:
+            return []
+        _followed[key] = _followed.get(key, 0) + 1
+        if _followed[key] < len(_left[key]):
+            return []
+        _followed.pop(key)
+        return [x for each in _left.pop(key) for x in each]
 
 
 def _stage(name: str, before: str | None, f: Callable[..., DataFrame]) -> tuple[str, Callable[..., DataFrame]]:
     """The stage, which first deletes what its predecessor has left: its docs are that one's result, written and read again."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for x in _left.pop(before, []):
+        for x in _taken(sf_dir, before):
             x.clear()
         with Scratch.collected() as mine:
             out = f(spark, docs, sf_dir)
-        _left.setdefault(name, []).extend(mine)
+        with _lock:
+            _left.setdefault((sf_dir, name), []).append(mine)
         return out
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
