@@ -34,6 +34,8 @@ def local_only() -> bool:
 
 #: Answers that clients know (fixed values).
 NOTHING = "No documentation files found"
+#: Files that the answer of an index run names (fixed value).
+SHOWN = 20
 
 
 class Tools:
@@ -48,22 +50,22 @@ class Tools:
         ask = (self.ask or default_client()) if use_ai and not local_only() else None
         return Parser(ask, "given" if self.ask else model_name())
 
-    def _index(self, repo: str, raw: DataFrame, names: list[str], commit: str, use_ai: bool, incremental: bool) -> dict:
+    def _index(self, repo: str, raw: DataFrame, commit: str, use_ai: bool, incremental: bool) -> dict:
         files, parse = prepare(raw), self._parser(use_ai)
         meta = self.store.update(repo, files, parse, commit) if incremental else None
         meta = meta or self.store.save(repo, files, parse, commit)
+        names = [r["file"] for r in self.store.files(repo).select("file").orderBy("file").limit(SHOWN).collect()]
         bad = [r["file"] for r in self.store.files(repo).filter("content is null").select("file").orderBy("file").collect()]
-        out = {"success": True, "repo": repo, "indexed_at": meta["indexed_at"], "file_count": len(names), "section_count": meta["section_count"], "files": names[:20], "commit_hash": commit}
+        out = {"success": True, "repo": repo, "indexed_at": meta["indexed_at"], "file_count": meta["file_count"], "section_count": meta["section_count"], "files": names, "commit_hash": commit}
         return out | ({"skipped_secrets": bad} if bad else {})
 
     def index_local(self, path: str, use_ai_summaries: bool = True, max_depth: int = 5, include_hidden: bool = False, follow_symlinks: bool = False, extra_ignore_patterns=None, incremental: bool = False) -> dict:
         try:
             base = str(Path(path).expanduser().resolve())
-            names = local.discover(base, max_depth, include_hidden, follow_symlinks, extra_ignore_patterns)
-            if not names:
+            if not any(local.Tree(base, max_depth, include_hidden, follow_symlinks, extra_ignore_patterns).walk()):
                 return {"success": False, "error": NOTHING}
             raw = local.read_local(self.spark, base, max_depth, include_hidden, follow_symlinks, extra_ignore_patterns)
-            return self._index(local.repository_name(base), raw, names, local.head_commit(base), use_ai_summaries, incremental)
+            return self._index(local.repository_name(base), raw, local.head_commit(base), use_ai_summaries, incremental)
         except Exception as e:
             return {"success": False, "error": str(e)}
 
@@ -74,10 +76,9 @@ class Tools:
             owner, name = github.parse_url(url)
             token = github_token or os.environ.get("GITHUB_TOKEN")
             listed = github.list_tree(owner, name, token, self.get, self.spark)
-            names = sorted(listed)
-            if not names:
+            if not listed:
                 return {"success": False, "error": NOTHING}
-            return self._index(f"{owner}/{name}", github.read_github(self.spark, url, token, self.get, listed), names, github.head_commit(owner, name, token, self.get), use_ai_summaries, incremental)
+            return self._index(f"{owner}/{name}", github.read_github(self.spark, url, token, self.get, listed), github.head_commit(owner, name, token, self.get), use_ai_summaries, incremental)
         except Exception as e:
             return {"success": False, "error": str(e)}
 

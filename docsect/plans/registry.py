@@ -17,6 +17,8 @@ from docsect.operators import merge as M
 from docsect.operators import merkle as K
 from docsect.operators import navigate as N
 from docsect.operators import sections as P
+from docsect.operators.prepare import prepare
+from docsect.operators.summarize import summarize
 from docsect.plans import corpora as C
 from docsect.plans.layout import TARGET
 from docsect.plans.store import IndexStore, from_json, to_json
@@ -294,6 +296,29 @@ def prompts(spark, sf_dir):
     return _sections(spark, sf_dir).select("file", "seq", X.prompt(F.col("title"), F.col("content")).alias("prompt"))
 
 
+@query(ROOT + r""", x AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS c, length('Summarize this documentation section in one sentence.' || chr(10) || 'Title: ' || title || chr(10) || chr(10) || substr(content, 1, 2000)) AS n,
+  list_filter(""" + C.fill(C.STRIPPED, "content") + r""", lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS line FROM sections_)
+SELECT file, seq, CASE WHEN c = '' THEN '' WHEN line_count < 3 THEN substr(c, 1, 100) WHEN n % 3 > 0 THEN 'told of ' || n ELSE coalesce(substr(line, 1, 100), title) END AS summary FROM x""")
+def summaries_asked(spark, sf_dir):
+    """Summaries by a stand-in for a model, which is silent about every third length of prompt."""
+    return summarize(_sections(spark, sf_dir), lambda p: f"told of {len(p)}" if len(p) % 3 else "").select("file", "seq", "summary")
+
+
+@query("SELECT 'plain/doc_' || doc_id || '.rst' AS file, 0::BIGINT AS seq, 'plain/doc_' || doc_id || '.rst' AS title, 0::INTEGER AS depth, len(string_split(text, chr(10)))::INTEGER AS line_count, strlen(text)::BIGINT AS byte_length FROM documents WHERE text IS NOT NULL")
+def rst_without_titles(spark, sf_dir):
+    """Documents as reStructuredText: none has a title, so each is one section named by its file."""
+    files = _docs(spark, sf_dir).filter("text is not null").select(L("docs/plain").alias("repo"), F.format_string("plain/doc_%d.rst", "doc_id").alias("file"), F.col("text").alias("content"))
+    return P.complete(P.rst(files)).select("file", "seq", "title", "depth", "line_count", "byte_length")
+
+
+@query("SELECT 'd' || doc_id || '.md' AS file, coalesce(CASE WHEN doc_id % 3 = 0 THEN md5(text) END, sha256(text)) AS hash FROM documents")
+def blob_hashes(spark, sf_dir):
+    """File hashes of a far repository: its own where it has one, else that of the text."""
+    blobs = _docs(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", F.md5("text").alias("blob"))
+    raw = _docs(spark, sf_dir).join(blobs, "doc_id", "left").select(L("o/r").alias("repo"), F.format_string("d%d.md", "doc_id").alias("file"), F.encode("text", "UTF-8").alias("content"), "blob")
+    return prepare(raw).select("file", "hash")
+
+
 # --- navigation ---
 
 @query(ROOT + " SELECT repo, file, seq, id, title, depth, parent, nullif(summary, '') AS summary FROM sections_")

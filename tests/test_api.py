@@ -43,6 +43,28 @@ def test_discovery(tree, tmp_path):
         local.discover(str(tree / "nope"))
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The same names as one walk, from few folders near the root or many; the driver lists no folder below those."""
+    base = tmp_path / "deep"
+    for i in range(6):
+        for j in range(5):
+            for k in range(2):
+                p = base / f"a{i}" / f"b{j}" / f"c{k}" / f"f{i}{j}{k}.md"
+                p.parent.mkdir(parents=True, exist_ok=True)
+                p.write_text("# T\n")
+        (base / f"a{i}" / ("top.md" if i % 2 else ".hidden.md")).write_text("x")
+    (base / ".gitignore").write_text("a3/\nc1/f*0*\n!a5/b0/c1/f501.md\n")
+    for tasks in (1, 4, 20, 1000):
+        monkeypatch.setattr(local, "TASKS", tasks)
+        for more in ({}, {"max_depth": 2}, {"extra_ignore_patterns": ["b2/"]}):
+            want = local.discover(str(base), **more)
+            assert sorted(r["file"] for r in local.read_local(spark, str(base), **more).select("file").collect()) == want and want
+            files, folders = local.Tree(str(base), **more).parts(tasks)
+            assert set(files) <= set(want) and (len(folders) >= tasks or not folders)
+    with pytest.raises(ValueError):
+        local.Tree(str(base / "a0" / "top.md"))
+
+
 def test_tools(spark, tree, tmp_path):
     t = Tools(spark, str(tmp_path / "store"))
     done = t.index_local(str(tree))
