@@ -1,6 +1,7 @@
 """A probabilistic suffix tree of word contexts, and the probability of every text under it.
 
-Tokens are words and one end a text.  A context of k words (1 to DEPTH) seen at least LEAST times is a candidate state.  Its
+Tokens are words and one end a text.  A context of k words (1 to DEPTH) is a candidate state if it is seen at least LEAST
+times and makes at least SHARE of all tokens (the method's least probability, which bounds the tree at any size of corpus).  Its
 next-symbol distribution is smoothed towards that of its parent, the context without its oldest word, by Witten and
 Bell's weights, with followers seen less than SEEN times left to the parent too: P(w | s) = (c(s, w) + B * P(w | parent)) / (n(s) + T(s)),
 where c counts from SEEN, T is the number of distinct followers and B that and the occurrences of those that do not count; the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from docsect.llm.common import LOWER, Scratch, groups, text_bytes, with_clear_names, word_hashes, words
 from docsect.llm.tally import SHARD, Bitmap, Hot, Tally, dealt, dealt_schema, gathered, pair
 
-DEPTH, LEAST, DIVERGENCE, SEEN = 3, 16, 3.0, 8
+DEPTH, LEAST, SHARE, DIVERGENCE, SEEN = 3, 16, 1e-6, 3.0, 8
 PARTS, HELD_OUT = 7, 2
 #: Grams whose values go to every task, and bytes a task works on at once.
 HOT, AT_ONCE = 1 << 17, 4 << 20
@@ -144,7 +145,7 @@ def judge(docs: DataFrame, vocabulary: DataFrame, tokens_seen: int, distinct: in
     return kept
 
 
-def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, seen: int = SEEN) -> tuple[DataFrame, int, int]:
+def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, seen: int = SEEN, share: float = SHARE) -> tuple[DataFrame, int, int]:
     """The tree of docs as (gram, n, known, base, value), and the numbers of tokens and of distinct ones.
 
     A text's log10 probability is the sum of its grams' values less log10(N + V + 1) for each token; base gives that of the root alone.
@@ -153,7 +154,7 @@ def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEA
     total, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
     own, none = F.log10(F.col("n") + 1.0), (F.lit(0).alias("known"), F.lit(0.0).alias("base"))
     values = vocabulary.select(F.col("word").alias("gram"), "n", F.lit(1).alias("known"), own.alias("base"), own.alias("value"))
-    for states, more in judge(docs, vocabulary, total, distinct, scratch, depth, least, divergence, seen):
+    for states, more in judge(docs, vocabulary, total, distinct, scratch, depth, max(least, math.ceil(share * total)), divergence, seen):
         entries = more.join(states.select("context", "rest"), "context").select("gram", F.col("c").alias("n"), *none, (F.log10("p") - F.log10("p_up") - F.col("rest")).alias("value"))
         values = values.unionByName(entries).unionByName(states.select(F.col("context").alias("gram"), "n", *none, F.col("rest").alias("value")))
     tree = values.groupBy("gram").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
@@ -226,11 +227,11 @@ def score(docs: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     return both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), add("known"), add("base"), add("value"))
 
 
-def score_all(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, seen: int = SEEN) -> DataFrame:
+def score_all(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, seen: int = SEEN, share: float = SHARE) -> DataFrame:
     """Every text's log10 probability, by a tree of those that are not held out."""
     scratch = Scratch(docs.sparkSession, "suffix-tree")
     docs = with_clear_names(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    tree, total, distinct = grow(docs.filter(~held_out(F.col("doc_id"))), scratch, depth, least, divergence, seen)
+    tree, total, distinct = grow(docs.filter(~held_out(F.col("doc_id"))), scratch, depth, least, divergence, seen, share)
     each = math.log10(total + distinct + 1)
     less = lambda c: (F.col(c) - F.col("n_tokens") * each)
     found = score(docs, tree, depth)

@@ -73,10 +73,11 @@ def corpus():
 def test_scores_are_those_of_a_naive_tree(spark):
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], "doc_id long, text string, gram long, value int, row string").repartition(3)
-    for depth, least, divergence, seen in ((3, 4, 3.0, 2), (1, 3, 0.0, 3), (2, 6, 20.0, 4)):
-        want, kept = naive(rows, depth, least, divergence, seen)
+    for depth, least, divergence, seen, share in ((3, 4, 3.0, 2, 0.0), (1, 3, 0.0, 3, 0.0), (2, 6, 20.0, 4, 1e-3)):
+        n = naive(rows, 1, 1, 0.0, 1)[0][0][4]
+        want, kept = naive(rows, depth, max(least, math.ceil(share * n)), divergence, seen)
         assert any(len(s) == depth for s in kept) and len(kept) > 3
-        got = [tuple(r) for r in S.score_all(df, depth, least, divergence, seen).collect()]
+        got = [tuple(r) for r in S.score_all(df, depth, least, divergence, seen, share).collect()]
         key = lambda r: (r[0] is None, r[0] or 0, r[2], r[3])
         got, want = sorted(got, key=key), sorted(want, key=key)
         assert [g[:5] for g in got] == [w[:5] for w in want]
