@@ -39,16 +39,16 @@ SHOWN = 20
 
 
 class Tools:
-    """spark, base: where indexes are kept.  ask: a summarizer for index tools, prompt to answer."""
+    """spark, base: where indexes are kept.  ask: a summarizer for index tools, prompt to answer; calls_a_second: of all its tasks together."""
 
-    def __init__(self, spark: SparkSession, base: str, ask=None, get=github.http_get):
-        self.spark, self.store, self.ask, self.get = spark, IndexStore(spark, base), ask, get
+    def __init__(self, spark: SparkSession, base: str, ask=None, get=github.http_get, calls_a_second: float | None = None):
+        self.spark, self.store, self.ask, self.get, self.calls_a_second = spark, IndexStore(spark, base), ask, get, calls_a_second
 
     # --- indexing ---
 
     def _parser(self, use_ai: bool) -> Parser:
         ask = (self.ask or default_client()) if use_ai and not local_only() else None
-        return Parser(ask, "given" if self.ask else model_name())
+        return Parser(ask, "given" if self.ask else model_name(), self.calls_a_second)
 
     def _index(self, repo: str, raw: DataFrame, commit: str, use_ai: bool, incremental: bool) -> dict:
         files, parse = prepare(raw), self._parser(use_ai)

@@ -183,6 +183,25 @@ def test_summary_clients():
     assert summarize.default_client({"USE_OLLAMA": "no"}) is None
 
 
+def test_calls_are_paced():
+    clock, slept = [0.0], []
+
+    def sleep(x):
+        slept.append(x)
+        clock[0] += x
+
+    ask = summarize.Pace(4, lambda: clock[0], sleep)(lambda p: p)
+    assert [ask(str(i)) for i in range(5)] == list("01234") and slept == [0.0, 0.25, 0.25, 0.25, 0.25]
+    clock[0] += 10  # time in which nobody has asked is not saved up
+    assert ask("x") == "x" and ask("y") == "y" and slept[-2:] == [0.0, 0.25]
+
+
+def test_all_tasks_share_a_limit(spark, tree, tmp_path):
+    t = Tools(spark, str(tmp_path / "store"), ask=lambda p: "told", calls_a_second=100.0)
+    assert t.index_local(str(tree))["success"]
+    assert "told" in {s.get("summary") for s in t.get_toc("proj")["sections"]}
+
+
 def test_a_failing_client_leaves_the_plain_summary(spark, tree, tmp_path):
     def ask(prompt):
         raise OSError("gone")
