@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsect.llm import pii, substrings
 from docsect.llm.common import Scratch
@@ -95,6 +96,18 @@ def alike(x, y):
 EDITS = [(size, kind, n) for size in (55, 60, 80, 120, 200) for kind in ("replaced", "inserted", "deleted", "moved") for n in (1, 2)]
 
 
+def test_equal_bytes_are_counted(spark):
+    rng = random.Random(9)
+    rows = [(0, 0), (-1, -1), (1, 0), (-(2**63), -(2**63)), (2**63 - 1, -1)]
+    for _ in range(200):
+        x, y = ([rng.choice((0, 1, 128, 255, rng.randint(0, 255))) for _ in range(8)] for _ in range(2))
+        y = [a if rng.random() < 0.5 else b for a, b in zip(x, y)]
+        rows.append(tuple(int.from_bytes(bytes(v), "little", signed=True) for v in (x, y)))
+    got = [r[0] for r in spark.createDataFrame(rows, "x long, y long").select(substrings.equal_runs(F.col("x"), F.col("y"))).collect()]
+    bytes_of = lambda v: v.to_bytes(8, "little", signed=True)
+    assert got == [sum(a == b != 0 for a, b in zip(bytes_of(x), bytes_of(y))) for x, y in rows]
+
+
 def test_edited_passages_are_found(spark):
     """Of each edit 200 pairs of passages of 0.78 or more, in 60 words of other text; those that no such pair has are passed over."""
     random.seed(23)
