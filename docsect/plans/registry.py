@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
-import shutil
 import tempfile
 import uuid
 
@@ -20,6 +20,7 @@ from docsect.operators import sections as P
 from docsect.operators.prepare import prepare
 from docsect.operators.summarize import summarize
 from docsect.plans import corpora as C
+from docsect.plans.folder import Folder
 from docsect.plans.layout import TARGET
 from docsect.plans.store import IndexStore, from_json, to_json
 
@@ -438,8 +439,14 @@ def _base(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docsect-store-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    name, folder = f"store-{uuid.uuid4().hex}", Folder(spark, base)
+
+    def forget() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            folder.delete(name)
+
+    atexit.register(forget)
+    return f"{folder.base}/{name}"
 
 
 def _as_files(spark, sf_dir) -> DataFrame:
