@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,68 @@ def test_disclosing_terms_are_found_and_masked_in_the_whole_document(spark):
     assert all(not found[10 + i] for i in range(80))
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert all("zebra" not in clean[i].lower() and "x@y.org" not in clean[i] for i in range(6))
+
+
+def test_a_pair_meets_although_neither_is_like_the_groups_earliest_text(spark):
+    """Three texts or more share a block, but only the later ones a passage."""
+    random.seed(25)
+    rng, rows, later = random.Random(6), [], []
+    for _ in range(40):
+        block, n = prose(30), len(rows)
+        passage = prose(25) + block + prose(25)
+        other = edited(passage, "replaced", 2, rng)
+        rows += [(n, prose(70) + block + prose(70)), (n + 1, prose(60) + passage + prose(60)), (n + 2, prose(60) + other + prose(60))]
+        if alike(passage, other) >= substrings.SIMILARITY:
+            later.append((n + 2, n + 1))
+    got = {(r["doc_id"], r["partner_id"]) for r in substrings.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)).filter("first").collect()}
+    assert len(later) > 30 and got == set(later)
+
+
+def test_edited_passages_in_a_large_group_are_found(spark):
+    """A line of 20 words that 150 texts have is in 30 pairs of passages, edited on both sides of it and near it."""
+    random.seed(26)
+    line, rows, later = prose(20), [(i, prose(60)) for i in range(150)], []
+    rows = [(i, w[:30] + line + w[30:]) for i, w in rows]
+    for i in range(30):
+        passage, n = prose(40) + line + prose(40), 1000 + 2 * i
+        other = [*passage[:36], "one", *passage[37:64], "two", *passage[65:]]
+        assert alike(passage, other) >= substrings.SIMILARITY
+        rows += [(n, prose(60) + passage + prose(60)), (n + 1, prose(60) + other + prose(60))]
+        later.append((n + 1, n))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    found = substrings.repeated_passages(df).filter("first").collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in found} == set(later)
+    assert all(r["start_word"] <= 64 and r["end_word"] >= 155 for r in found)
+
+
+def test_classes_of_what_many_share(spark):
+    """A line of 46 words that 80 texts have, and 20 of them with 4 more: too few shingles are left to be seen alone."""
+    random.seed(27)
+    line, more = prose(46), prose(4)
+    rows = [(i, prose(60) + line + (more if i % 4 == 3 else []) + prose(60)) for i in range(80)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    want, got = brute_covered(rows), covered(df)
+    assert sum(map(bool, want.values())) == 19 and all(want[d] <= got.get(d, set()) for d, _ in rows)
+
+
+def test_every_passage_of_a_pair_that_is_alike_enough():
+    """Words put in in a row, edits beside an edge, and a part that is not alike."""
+    hashes = {}
+
+    def coded(words):
+        return np.array([hashes.setdefault(tuple(words[i : i + 5]), len(hashes)) for i in range(len(words) - 4)], dtype=np.uint64)
+
+    random.seed(28)
+    a, b, c = prose(45), prose(45), prose(60)
+    one, two = prose(60) + a + b + prose(60), prose(60) + a + prose(12) + b + prose(60)
+    assert alike(a + b, two[60:162]) >= substrings.SIMILARITY
+    (found,) = substrings.passages(coded(one), coded(two), [(0, 60, 100)])
+    assert found[:4] == (60, 145, 60, 157)
+    edge = c[:4] + ["new", "er"] + c[6:55]
+    assert len(edge) == 55 and alike(c[:55], edge) >= substrings.SIMILARITY
+    ((x, y, *_),) = substrings.passages(coded(prose(60) + c[:55] + prose(60)), coded(prose(60) + edge + prose(60)), [(0, 70, 100)])
+    assert (x, y) == (66, 110)
+    # two parts with a wide gap, and a part that is not alike: no cut at the widest gap
+    places = np.r_[0:41, 57:98, 110:200:7]
+    first, last = substrings.longest(places, places, 46, 0.7)
+    assert (first[0], last[0]) == (0, 81)
