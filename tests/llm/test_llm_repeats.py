@@ -214,3 +214,29 @@ def test_every_passage_of_a_pair_that_is_alike_enough():
     places = np.r_[0:41, 57:98, 110:200:7]
     first, last = substrings.longest(places, places, 46, 0.7)
     assert (first[0], last[0]) == (0, 81)
+
+
+def test_edited_passages_of_three_holders_are_cut(spark):
+    """The later two say a passage with words replaced on both sides of what all three share."""
+    random.seed(29)
+    rows = []
+    for i in range(0, 30, 3):
+        block = prose(24)
+        passage = prose(40) + block + prose(40)
+        other = [*passage[:39], "one", *passage[40:64], "two", *passage[65:]]
+        assert alike(passage, other) >= substrings.SIMILARITY
+        rows += [(i, prose(70) + block + prose(70)), (i + 1, prose(60) + passage + prose(60)), (i + 2, prose(60) + other + prose(60))]
+    texts = {d: " ".join(w) for d, w in rows}
+    left = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert all(len(left[d].split()) <= 130 if d % 3 == 2 else left[d] == texts[d] for d in texts)
+
+
+def test_a_passage_with_words_put_in_in_a_row_is_cut(spark):
+    random.seed(30)
+    rows = []
+    for i in range(0, 20, 2):
+        a, b = prose(45), prose(45)
+        assert alike(a + b, (other := a + prose(12) + b)) >= substrings.SIMILARITY
+        rows += [(i, prose(60) + a + b + prose(60)), (i + 1, prose(60) + other + prose(60))]
+    left = {r["doc_id"]: len(r["text"].split()) for r in substrings.remove_repeats(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    assert left == {d: 120 if d % 2 else len(w) for d, w in rows}
