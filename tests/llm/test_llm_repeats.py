@@ -240,3 +240,17 @@ def test_a_passage_with_words_put_in_in_a_row_is_cut(spark):
         rows += [(i, prose(60) + a + b + prose(60)), (i + 1, prose(60) + other + prose(60))]
     left = {r["doc_id"]: len(r["text"].split()) for r in substrings.remove_repeats(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
     assert left == {d: 120 if d % 2 else len(w) for d, w in rows}
+
+
+def test_a_pair_whose_class_has_an_earliest_text_unlike_both(spark):
+    """34 texts say the same two halves with seven words of their own between them; two say them with none and with one."""
+    random.seed(31)
+    rows, later = [], []
+    for i in range(0, 1200, 100):
+        a, b = prose(25), prose(25)
+        rows += [(i + k, prose(50) + a + prose(7) + b + prose(50)) for k in range(34)]
+        assert alike(a + b, a + ["one"] + b) >= substrings.SIMILARITY > alike(a + b, a + prose(7) + b)
+        rows += [(i + 50, prose(50) + a + b + prose(50)), (i + 51, prose(50) + a + ["one"] + b + prose(50))]
+        later.append((i + 51, i + 50))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"], r["partner_id"]) for r in substrings.repeated_passages(df).filter("first").collect()} == set(later)
