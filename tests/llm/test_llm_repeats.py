@@ -254,3 +254,36 @@ def test_a_pair_whose_class_has_an_earliest_text_unlike_both(spark):
         later.append((i + 51, i + 50))
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
     assert {(r["doc_id"], r["partner_id"]) for r in substrings.repeated_passages(df).filter("first").collect()} == set(later)
+
+
+def test_words_said_again_and_again_have_few_windows(spark):
+    """2,000 places that differ in alignment alone, between other words, and the same of a phrase of three words."""
+    random.seed(32)
+    rows = [(1, prose(60) + ["of"] * 2000 + prose(60)), (2, prose(60) + prose(3) * 700 + prose(60)), (3, prose(120))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "text_key long, text string")
+    found = substrings.windows(df).filter("near is not null").groupBy("text_key").count().collect()
+    few = {r["text_key"]: r["count"] for r in found}
+    assert few[1] < few[3] + 2000 / substrings.EVERY + 30 and few[2] < few[3] + 2100 / substrings.EVERY + 60
+
+
+def test_a_windows_shingles_are_told_once(spark):
+    words = ["of"] * 60 + "a b c d e f g h".split()
+    row = (5, 1, 1, 20, 0, True, False, 10, " ".join(words).encode(), [{"start": 10, "end": 60}])
+    parts = spark.createDataFrame([row], f"{substrings.WINDOW}, from int, words binary, spans array<struct<start:bigint,end:bigint>>")
+    got = sorted((r["many"], r["open"], r["place"], r["last"]) for r in substrings.contexts(parts).collect())
+    # the span holds the places 10 to 55, the run begins at 10 and goes on to 69
+    assert got == sorted([(56, True, 56, 65), *[(1, True, p, p) for p in range(66, 74)]])
+
+
+def test_runs_of_one_word_in_many_texts_are_found(spark):
+    """40 texts say one word 60 to 300 times in a row; pairs of them say the same words before and after it too."""
+    random.seed(33)
+    rows = []
+    for i in range(20):
+        before, after, ids = prose(45), prose(45), random.sample(range(100), 2)
+        for k in ids:
+            n = random.randint(60, 300)
+            rows.append((100 * i + k, prose(60) + before + ["of"] * n + after + prose(60)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    want, got = brute_covered(rows), covered(df)
+    assert sum(map(bool, want.values())) == 39 and all(want[d] <= got.get(d, set()) for d, _ in rows)
