@@ -89,14 +89,16 @@ def _markdown_parts() -> Column:
     return F.transform("texts", lambda t: F.when(t.rlike(HEADING), headed(t)).otherwise(_lead(t)))
 
 
-def _headingless(files: DataFrame) -> DataFrame:
-    """Adds bare: files without headings as one section, or in chunks that end at two blank lines after CHUNK_LINES lines or more.
+def _headingless(files: DataFrame, chunked: bool) -> DataFrame:
+    """Adds bare: files without headings as one section, or, if chunked and long, in chunks that end at two blank lines after CHUNK_LINES lines or more.
 
     Columns: file, prefix, content, lines (none where there are headings).
     """
     _, named = strip_front_matter(F.col("content"))
     candidate = F.filter(F.transform("lines", X.strip), lambda x: (x != "") & ~x.startswith("---") & (F.length(x) < 100))
     out = files.withColumn("title", F.coalesce(F.when(named != "", named), F.try_element_at(candidate, F.lit(1)), F.col("file")))
+    if not chunked:
+        return out.withColumn("bare", _whole(F.col("title")))
     out = out.withColumn("blank", F.when(F.size("lines") > MAX_LINES, F.transform("lines", lambda x: X.strip(x) == "")).otherwise(F.array().cast("array<boolean>")))
     # each line: whether a chunk ends with it
     state = F.struct(F.lit(0).alias("held"), F.lit(0).alias("blank"))
@@ -173,8 +175,11 @@ def _place(files: DataFrame) -> DataFrame:
     )
 
 
-def _parse(files: DataFrame, is_rst: Column) -> DataFrame:
-    """Sections of files by one pass; is_rst tells which are reStructuredText, the others are Markdown."""
+def _parse(files: DataFrame, is_rst: Column, chunked: bool = True) -> DataFrame:
+    """Sections of files by one pass; is_rst tells which are reStructuredText, the others are Markdown.
+
+    Long files without headings are cut into chunks, or else are one section as short ones are.
+    """
     no_lines = F.array().cast("array<string>")
     out = files.select("repo", "file", "content", is_rst.alias("is_rst"), X.file_prefix(F.col("file")).alias("prefix"))
     out = out.withColumn("texts", F.when(F.col("is_rst"), no_lines).otherwise(F.split("content", NEXT_HEADING)))
@@ -182,13 +187,13 @@ def _parse(files: DataFrame, is_rst: Column) -> DataFrame:
     out = out.withColumn("cut", F.when(F.col("headed"), _markdown_parts()))
     lines = F.split("content", "\n")
     out = out.withColumns({"lines": F.when(F.col("is_rst") | F.col("headed"), no_lines).otherwise(lines), "rows": F.when(F.col("is_rst"), lines).otherwise(no_lines)})
-    out = _rst(_headingless(out.select("repo", "file", "prefix", "content", "is_rst", F.col("cut").alias("md"), "lines", "rows")))
+    out = _rst(_headingless(out.select("repo", "file", "prefix", "content", "is_rst", F.col("cut").alias("md"), "lines", "rows"), chunked))
     return _place(out.select("repo", "file", F.when(F.col("is_rst"), F.col("titled")).otherwise(F.coalesce("md", "bare")).alias("parts")))
 
 
-def markdown(files: DataFrame) -> DataFrame:
+def markdown(files: DataFrame, chunked: bool = True) -> DataFrame:
     """Sections of Markdown files (repo, file, content)."""
-    return _parse(files, F.lit(False))
+    return _parse(files, F.lit(False), chunked)
 
 
 def mdx(files: DataFrame) -> DataFrame:
@@ -206,14 +211,14 @@ def parse(files: DataFrame) -> DataFrame:
     return parse_stored(stored_text(files))
 
 
-def parse_stored(files: DataFrame) -> DataFrame:
+def parse_stored(files: DataFrame, chunked: bool = True) -> DataFrame:
     """The same for files whose text is the stored one, in which .mdx files are clean."""
-    return complete(cut_stored(files))
+    return complete(cut_stored(files, chunked))
 
 
-def cut_stored(files: DataFrame) -> DataFrame:
+def cut_stored(files: DataFrame, chunked: bool = True) -> DataFrame:
     """The same before keywords and summary are told from each section's text."""
-    return _parse(files, F.lower("file").endswith(".rst"))
+    return _parse(files, F.lower("file").endswith(".rst"), chunked)
 
 
 def complete(sections: DataFrame) -> DataFrame:
