@@ -13,7 +13,7 @@ def tables(spark, tmp_path_factory):
     """Documents and conversations, each text with headings (of C.pages) and without."""
     base = str(tmp_path_factory.mktemp("long"))
     texts = [*LONG, "short\ntext", "", None]
-    docs = [(d + 4 * i + k, t, lang, f"src{k}") for d, lang in ((0, "en"), (100, "de")) for i, t in enumerate(texts) for k in (0, 1)]
+    docs = [(d + 4 * i + k, t, lang, f"src{1 - k}") for d, lang in ((0, "en"), (100, "de")) for i, t in enumerate(texts) for k in (0, 1)]
     spark.createDataFrame([(d, t, lang, s, len(t or "")) for d, t, lang, s in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
     turns = [(i, 0, "system", t) for i, t in enumerate(texts)] + [(9, 0, "user", LONG[1]), (9, 1, "assistant", "yes")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{base}/conversations.parquet")
@@ -32,6 +32,6 @@ def agrees(spark, tables, name):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
-@pytest.mark.parametrize("name", ["md_sections", "md_preamble", "sections_batch", "toc"])
+@pytest.mark.parametrize("name", ["md_sections", "md_preamble", "sections_batch", "toc", "toc_filtered"])
 def test_long_files_without_headings_are_one_section(spark, tables, name):
     agrees(spark, tables, name)
