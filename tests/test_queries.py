@@ -32,6 +32,6 @@ def agrees(spark, tables, name):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
-@pytest.mark.parametrize("name", ["md_sections", "md_preamble", "sections_batch", "toc", "toc_filtered", "index_roundtrip"])
+@pytest.mark.parametrize("name", ["md_sections", "md_preamble", "sections_batch", "toc", "toc_filtered", "index_roundtrip", "updated_sections", "incremental_merge", "section_changes"])
 def test_long_files_without_headings_are_one_section(spark, tables, name):
     agrees(spark, tables, name)
