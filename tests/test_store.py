@@ -203,3 +203,34 @@ def test_manifests_are_json(spark, tmp_path):
     for bad in ("o/..", "./x", "o/", "o/a\\b"):
         with pytest.raises(ValueError):
             store.folder(bad)
+
+
+def test_small_leaves_share_tasks_and_paths(spark, tmp_path):
+    store, texts = IndexStore(spark, str(tmp_path / "s"), target=100), corpus(200)
+    meta = store.save("o/r", files(spark, texts), P.parse_stored)
+    tasks = {p.name.split("-")[1] for p in Path(store.folder("o/r")).glob("*/files/leaf=*/part-*.parquet")}
+    assert len(meta["leaves"]) > 200 and len(tasks) <= 2 * spark.sparkContext.defaultParallelism + 1
+    assert sorted(r["file"] for r in store.files("o/r").collect()) == sorted(texts)
+    # a write of which a leaf has been replaced is read leaf by leaf
+    after = store.update("o/r", files(spark, {**texts, "d0/f0.md": "# Other\n"}), P.parse_stored)
+    assert {r["content"] for r in store.files("o/r").filter("file = 'd0/f0.md'").collect()} == {"# Other\n"} and store.files("o/r").count() == 200 and after["file_count"] == 200
+
+
+@pytest.mark.parametrize("at_once", [4, 1 << 16])
+def test_leaves_are_split_by_tasks(spark, monkeypatch, at_once):
+    monkeypatch.setattr(L, "FILES_AT_ONCE", at_once)
+    sizes = {f"f{i}": 1 + (i * 7) % 50 + 900 * (i == 3) for i in range(120)}
+    rows = spark.createDataFrame(list(sizes.items()), "file string, size long").withColumn("number", L.number("file"))
+    for regions in ([""], ["0", "100", "1010000000", "1010000001", "10110"]):
+        mine = {f: n for f, n in sizes.items() if any(format(L.number_of(f), "060b").startswith(r) for r in regions)}
+        table = rows.filter(F.col("file").isin(list(mine)))
+        found = L.leaves(table, regions, 100)
+        assert sum(2.0 ** -len(p) for p in found) == sum(2.0 ** -len(r) for r in regions)
+        want: dict[str, list[int]] = {p: [] for p in found}
+        for f, n in mine.items():
+            want[L.leaf_of(f, found)].append(n)
+        assert {p: sum(x) for p, x in want.items()} == found and all(n <= 100 or len(want[p]) == 1 for p, n in found.items())
+        assert all(p in regions or sum(want[p]) + sum(sum(x) for q, x in want.items() if q.startswith(p[:-1]) and q != p) > 100 for p in found)
+        met, tasks = L.dealt(table, found, "file", 150)
+        got = met.select("file", "leaf", "task").collect()
+        assert {r["file"]: r["leaf"] for r in got} == {f: L.leaf_of(f, found) for f in mine} and {r["task"] for r in got} <= set(range(tasks))
